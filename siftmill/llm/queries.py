@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm import byte_bpe, byte_cnn, chat, mixing, near_embed, qda, quality_rules, warc_fixity
+from siftmill.llm import byte_bpe, byte_cnn, chat, jaccard, mixing, near_embed, qda, quality_rules, warc_fixity
 from siftmill.plans.scratch import Scratch
 
 
@@ -72,6 +72,10 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = Scratch(spark, "op7").save(qda.featurise(read(spark, sf_dir, "documents")))
     model = qda.fit(features.where(~held_out()), read(spark, sf_dir, "labels"))
@@ -96,5 +100,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op5_warc_fixity, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op5_warc_fixity, op6_ngram_jaccard, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
