@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm import byte_bpe, byte_cnn, chat, jaccard, mixing, near_embed, qda, quality_rules, warc_fixity
+from siftmill.llm import byte_bpe, byte_cnn, chat, jaccard, mixing, near_embed, qda, quality_rules, suffix_dedup, warc_fixity
 from siftmill.plans.scratch import Scratch
 
 
@@ -49,6 +49,10 @@ def op3_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embed.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.Repeats(read(spark, sf_dir, "documents"), min_len=400).cut()
+
+
 def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """WARC records of all pages, 512 ids to a file, and a replica of them with known damage: every page whose id leaves
     7 modulo 101 has its last byte changed, every one that leaves 5 modulo 211 is gone."""
@@ -100,5 +104,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op5_warc_fixity, op6_ngram_jaccard, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op4_suffix_dedup, op5_warc_fixity, op6_ngram_jaccard, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
