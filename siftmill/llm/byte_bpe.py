@@ -149,8 +149,8 @@ def _map(docs: DataFrame, id_col: str, text_col: str, out: str, names: list[str]
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, {out}").withColumnRenamed("id", id_col)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, starts array<int>, ends array<int>): token ids and byte offsets of every whole text.
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
+    """(id, ids array<int>[, starts array<int>, ends array<int>]): token ids and, with `offsets`, byte offsets of every whole text.
 
     A null text counts as empty: no ids. Strings of special tokens are ordinary text. One row per input row,
     repeated rows included; other columns are not read; an empty table gives an empty result.
@@ -162,6 +162,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         spans = c.offsets(ids)
         return ids, [s for s, _ in spans], [e for _, e in spans]
 
+    if not offsets:
+        return _map(docs, id_col, text_col, "ids array<int>", ["ids"], lambda text: (codec(path, pattern).encode(text),))
     return _map(docs, id_col, text_col, "ids array<int>, starts array<int>, ends array<int>", ["ids", "starts", "ends"], one)
 
 

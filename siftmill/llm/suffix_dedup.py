@@ -245,15 +245,18 @@ class Repeats:
     """
 
     def __init__(self, docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_col: str = "text"):
-        self.min_len, self.id_col = min_len, id_col
+        self.min_len, self.id_col, self.docs, self.text_col = min_len, id_col, docs, text_col
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "repeats")
         self.src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.kind = self.src.schema["id"].dataType.simpleString()
         self._sample()
 
-    def _packed(self) -> DataFrame:
-        """(id, th, z): texts, compressed before they are shuffled; th tells texts of one id apart."""
+    def _packed(self, carry: tuple[str, ...] = ()) -> DataFrame:
+        """(id, th, z[, c]): texts, compressed before they are shuffled; th tells texts of one id apart, c is a struct of `carry`."""
+        src = self.src
+        if carry:
+            src = self.docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text"), F.struct(*carry).alias("c"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
@@ -261,9 +264,9 @@ class Repeats:
             z = zstandard.ZstdCompressor(level=1)
             for b in batches:
                 t = [x or b"" for x in bt.texts(b.column("text"))]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_text_hash(x) for x in t], pa.int64()), pa.array([z.compress(x) for x in t], pa.binary())], ["id", "th", "z"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_text_hash(x) for x in t], pa.int64()), pa.array([z.compress(x) for x in t], pa.binary()), *([b.column("c")] if carry else [])], ["id", "th", "z"] + ["c"] * bool(carry))
 
-        return self.src.mapInArrow(run, f"id {self.kind}, th long, z binary")
+        return src.mapInArrow(run, f"id {self.kind}, th long, z binary" + (f", c {src.schema['c'].dataType.simpleString()}" if carry else ""))
 
     def _sample(self) -> None:
         min_len = self.min_len
@@ -397,22 +400,23 @@ class Repeats:
             out = out.unionByName(s)
         return out.distinct().withColumnRenamed("id", self.id_col)
 
-    def cut(self, with_text: bool = False) -> DataFrame:
-        """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of every row.
+    def cut(self, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+        """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept string][, c struct of the columns in `carry`]) of every row.
 
         Removed is each byte that some string of min_len bytes covers which also starts anywhere else, as
-        judged on the input; n_spans counts maximal removed runs.
+        judged on the input; n_spans counts maximal removed runs. `kept` is the text that is left: where a cut split
+        a character, what is left of it goes too (the digest is of all remaining bytes).
         """
         reach = self.reach()
         spans = reach.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # bounded by a text's length
         s = spans.select(F.col("id").alias("sid"), F.col("th").alias("sth"), "spans")
-        j = self._packed().join(s, F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")), "left").select("id", "z", "spans")
+        j = self._packed(carry).join(s, F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")), "left").select("id", "z", "spans", *["c"] * bool(carry))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
 
             z = zstandard.ZstdDecompressor()
-            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text + ["c"] * bool(carry)
             for b in batches:
                 for at in range(0, b.num_rows, 500):
                     part = b.slice(at, 500)
@@ -431,11 +435,13 @@ class Repeats:
                         gone.append(len(data) - len(left))
                         runs.append(count)
                         sha.append(hashlib.sha256(left).hexdigest())
-                        kept.append(left)
+                        kept.append(left.decode("utf-8", "ignore"))
                     cols = [part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())]
-                    yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * with_text, names)
+                    yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * with_text + ([part.column("c")] if carry else []), names)
 
-        schema = f"id {self.kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+        schema = f"id {self.kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+        if carry:
+            schema += f", c {j.schema['c'].dataType.simpleString()}"
         return j.mapInArrow(run, schema).withColumnRenamed("id", self.id_col)
 
 
