@@ -75,10 +75,11 @@ def prefix_length(n: int, share: int, percent: int = PERCENT) -> int:
     return min(n, n - -(-percent * n // 100) + share)
 
 
-def choose_boundary(sizes: dict[int, int], list_length: float, percent: int = PERCENT) -> int:
+def choose_boundary(sizes: dict[int, int], rounds: float, percent: int = PERCENT) -> int:
     """Largest size of a small set: where enumerating subsets of small sets and scanning lists for the rest cost least.
 
-    `sizes`: set size -> sets. A subset costs one row; a scanned posting costs one and the list it meets.
+    `sizes`: set size -> sets. A subset costs one row; a scanned posting costs one row, and one for each of the
+    `rounds` in which its list is compared on average: about log2 of the list's length, as each round joins components.
     """
     order = sorted(sizes)
     best, at = math.inf, 0
@@ -90,7 +91,7 @@ def choose_boundary(sizes: dict[int, int], list_length: float, percent: int = PE
                 q = prefix_length(n, 2, percent)
                 cost += sizes[n] * q * (q - 1) / 2
             if n > b * percent // 100:
-                cost += sizes[n] * p * (1 + list_length)
+                cost += sizes[n] * p * (1 + rounds)
         if cost < best:
             best, at = cost, b
     return at
@@ -186,11 +187,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     rank = np.arange(len(top), 0, -1)
     by = np.argsort(frequent)
     broad = spark.sparkContext.broadcast((frequent[by], rank[by]))
-    # the boundary: sizes on a logarithmic scale (a few hundred numbers) and the mean length of lists of shingles that are not frequent
+    # the boundary: sizes on a logarithmic scale (a few hundred numbers) and the mean number of rounds a posting takes part in
     step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 16) / 16)))
     classes = meta.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     sizes = {int(r.size): r["count"] for r in classes.groupBy(step.alias("size")).count().collect()}
-    rare = seen.where("kind = 2").groupBy("token").agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("a"), F.sum("m").alias("b")).first()
+    rare = seen.where("kind = 2").groupBy("token").agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * F.log2("m")).alias("a"), F.sum("m").alias("b")).first()
     boundary = choose_boundary(sizes, (rare.a or 0) / max(rare.b or 1, 1), percent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
