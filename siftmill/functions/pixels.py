@@ -230,7 +230,12 @@ def image_size_of(data: bytes | None) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("width int, height int")
-def image_size(content: pd.Series) -> pd.DataFrame:
-    got = [image_size_of(c) or (None, None) for c in content]
-    return pd.DataFrame(got, columns=["width", "height"]).astype("Int32")
+def image_size(content: Column) -> Column:
+    """struct<width, height> of encoded images."""
+
+    @F.pandas_udf("width int, height int")
+    def run(data: pd.Series) -> pd.DataFrame:
+        got = [image_size_of(c) or (None, None) for c in data]
+        return pd.DataFrame(got, columns=["width", "height"]).astype("Int32")
+
+    return run(content)
