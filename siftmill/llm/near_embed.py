@@ -189,7 +189,7 @@ def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -
     return root
 
 
-def _groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+def _groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Rows of each group, from batches in which equal groups are adjacent; keeps one group and one batch at a time."""
     held: list[pa.Table] = []
     last: tuple | None = None
@@ -206,9 +206,13 @@ def _groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[tup
         for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
             key = tuple(b.column(c)[int(s)].as_py() for c in group)
             if key != last and held:
-                yield last, pa.concat_tables(held).combine_chunks()
+                yield last, _one_batch(held)
                 held = []
             last = key
             held.append(table.slice(int(s), int(e - s)))
     if held:
-        yield last, pa.concat_tables(held).combine_chunks()
+        yield last, _one_batch(held)
+
+
+def _one_batch(parts: list[pa.Table]) -> pa.RecordBatch:
+    return pa.concat_tables(parts).combine_chunks().to_batches()[0]

@@ -23,14 +23,17 @@ def tokenizer_path() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-#: Even-numbered sources count as reference text, the others as web text; web text is to give 60 % of the mixture,
-#: and English half of that. What is not stated weighs as much as it has.
-DOMAIN = F.when(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") % 2 == 0, "reference").otherwise("web")
+def domain() -> Column:
+    """Even-numbered sources count as reference text, the others as web text."""
+    return F.when(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") % 2 == 0, "reference").otherwise("web")
+
+
+#: Web text is to give 60 % of the mixture, and English half of that. What is not stated weighs as much as it has.
 MIX_WEIGHTS = {("reference",): 0.4, ("web",): 0.6, ("web", "en"): 0.5}
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"), None, MIX_WEIGHTS, DOMAIN, max_epochs=3)
+    return mixing.mix(read(spark, sf_dir, "documents"), None, MIX_WEIGHTS, domain(), max_epochs=3)
 
 
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
