@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm import byte_bpe, jaccard, mixing, qda, suffix_dedup
-from siftmill.llm.queries import DOMAIN, MIX_WEIGHTS, held_out, read, tokenizer_path
+from siftmill.llm.queries import MIX_WEIGHTS, domain, held_out, read, tokenizer_path
 from siftmill.plans.scratch import Scratch
 
 
@@ -37,7 +37,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mixture, as often as their epochs take them."""
     columns = docs.columns
-    got = mixing.mix(docs, None, MIX_WEIGHTS, DOMAIN, max_epochs=3, carry=tuple(c for c in columns if c != "doc_id"))
+    got = mixing.mix(docs, None, MIX_WEIGHTS, domain(), max_epochs=3, carry=tuple(c for c in columns if c != "doc_id"))
     return got.select("doc_id", *[F.col(f"c_{c}").alias(c) for c in columns if c != "doc_id"]).select(*columns)
 
 
