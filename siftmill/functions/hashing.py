@@ -58,21 +58,6 @@ def cache_key(path: Column, size: Column, mtime: Column, hash_size: Column | Non
     return F.substr(F.md5(F.concat_ws("_", *parts)), F.lit(1), F.lit(16))
 
 
-def simhash(text: Column, words: int = 3, bits: int = 52) -> Column:
-    """SimHash of a text's word n-grams as a bigint of `bits` bits: similar texts get close fingerprints.
-
-    Words are runs other than white space, lower case; a text without words gets 0. Stays in the JVM: each bit is the
-    sign of a sum over the n-grams' hashes.
-    """
-    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
-    each = lambda b: F.aggregate(grams, F.lit(0), lambda s, h: s + F.shiftright(h, b).bitwiseAND(F.lit(1)).cast("int") * 2 - 1)
-    out = F.lit(0).cast("bigint")
-    for b in range(bits):
-        out = out + F.when(each(b) > 0, F.lit(1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return F.when(F.size(w) > 0, out).otherwise(F.lit(0).cast("bigint"))
-
-
 def hash_params(text: Column) -> Column:
     """map<string,string> of `hash_size=10;hash_version=1`."""
     return F.str_to_map(text, F.lit(";"), F.lit("="))

@@ -22,6 +22,10 @@ def _rank(order: dict[str, int], c: Column) -> Column:
     return out
 
 
+def _time(c: str) -> Column:
+    return F.col(c).cast("timestamp")  # times may come without a zone
+
+
 def keep_first(items: DataFrame, group: str, order: Sequence[Column], item: str = "item_id") -> DataFrame:
     """All rows with `rank` 1, 2... in their group."""
     return items.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order, item)))
@@ -54,7 +58,7 @@ def progressive(items: DataFrame, group: str, tiers: Sequence[tuple[str, Column,
 def newest(items: DataFrame, group: str, time: str, item: str = "item_id") -> DataFrame:
     """The newest stays; reason: whole seconds older."""
     w = Window.partitionBy(group)
-    seconds = F.floor(F.unix_micros(F.max(time).over(w)) / 1_000_000 - F.unix_micros(time) / 1_000_000).cast("long")
+    seconds = F.floor(F.unix_micros(F.max(_time(time)).over(w)) / 1_000_000 - F.unix_micros(_time(time)) / 1_000_000).cast("long")
     x = items.withColumn("_s", seconds)
     return losers(x, group, [F.desc_nulls_last(time)], "time", F.concat(F.col("_s").cast("string"), F.lit(" s older")), item)
 
@@ -177,7 +181,7 @@ def islands(items: DataFrame, order: Column, inside: Column, group: Column | Non
 def sessions(items: DataFrame, key: str, time: str, gap_seconds: float) -> DataFrame:
     """Adds `session`: 1, 2... per key; a gap of more than `gap_seconds` begins a new one."""
     w = Window.partitionBy(key).orderBy(time)
-    gap = (F.unix_micros(time) - F.unix_micros(F.lag(time).over(w))) > int(gap_seconds * 1_000_000)
+    gap = (F.unix_micros(_time(time)) - F.unix_micros(F.lag(_time(time)).over(w))) > int(gap_seconds * 1_000_000)
     return items.withColumn("session", F.sum(F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).over(w))
 
 
