@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.llm import bytetext as bt
+from siftmill.llm.near_embed import adjacent_groups
 from siftmill.operators.components import connected_components
 from siftmill.plans.scratch import Scratch
 
@@ -29,8 +31,10 @@ CHUNK_SHINGLES = 4_000_000
 #: Frequent shingles that are ordered last: a broadcast of at most this many numbers. Which shingles they are changes
 #: the work to be done, never the result.
 MAX_FREQUENT = 200_000
-#: Members of an inverted list that are compared with the rest of the list in one round.
-LEADERS = 48
+#: Lists of up to so many members are paired by a join; longer ones are scanned block by block against bitmaps.
+SHORT_LIST = 32
+#: Members of a long list in one block.
+BLOCK = 512
 #: One in so many shingles is counted to estimate the length of inverted lists, for the cost of the boundary only.
 COST_SAMPLE = 16_384
 
@@ -166,10 +170,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     a shingle is one shingle; null, empty and wordless texts have none and link with nothing.
 
     Classes of equal sets are found first and compared once. In each inverted list, first every member is
-    compared with one leader; what this leaves in one component needs no more comparing. Lists that still hold
-    several components are compared in rounds, LEADERS members with the members after them, until all
-    pairs that could join two components have been tested. No round makes more rows than LEADERS times its
-    postings; lists are aggregated or joined (skewed ones are split by AQE), never collected.
+    compared with one leader; what this leaves in one component needs no more comparing. Of lists that still hold
+    several components, all pairs across components are tested: short lists are joined with themselves, long ones are cut
+    into blocks, and each pair of blocks is scanned in a task of its own that puts out only the pairs that a bitmap cannot
+    rule out. Lists are aggregated or joined (skewed ones are split by AQE), never collected.
 
     Rows that repeat an id share its component; null ids link with nothing and keep a null component. An
     empty table gives an empty result; other columns are not read.
@@ -239,28 +243,80 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     links = links.unionByName(verified(_apart(star, comp)))
     scratch.drop(star)
     comp = scratch.save(connected_components(links))
-    remaining = lists.select("k", "id", "n")
-    while True:
-        c = comp.select(F.col("node").alias("id"), "component")
-        open_ = remaining.join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = open_.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
-        open_ = scratch.save(open_.join(split, "k", "left_semi"))
-        if open_.limit(1).count() == 0:
-            break
-        first = open_.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("id"))).where(F.col("r") <= LEADERS)
-        first = scratch.save(first.select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")))
-        pairs = open_.join(first, "k").where((F.col("id") > F.col("a")) & (F.col("component") != F.col("ca")) & fits("n", "na"))
-        links = scratch.save(links.unionByName(verified(pairs.select("a", F.col("id").alias("b")).distinct())))
-        comp = scratch.save(connected_components(links))
-        last = first.groupBy("k").agg(F.max("a").alias("last"))
-        remaining = scratch.save(open_.join(last, "k").where("id > last").select("k", "id", "n"))
-        scratch.drop(open_, first)
-        scratch.release()
+    # lists that still hold several components: every pair across components is tested, in one of two ways
+    c = comp.select(F.col("node").alias("id"), "component")
+    open_ = lists.select("k", "id", "n").join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = open_.groupBy("k").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k", "m")
+    open_ = scratch.save(open_.join(split, "k"))
+    scratch.drop(lists)
+    short = open_.where(F.col("m") <= SHORT_LIST).drop("m")
+    other = short.select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    pairs = short.join(other, "k").where((F.col("id") > F.col("a")) & (F.col("component") != F.col("ca")) & fits("n", "na")).select("a", F.col("id").alias("b"))
+    links = scratch.save(links.unionByName(verified(pairs.distinct().unionByName(_long_lists(open_, bits, percent, kind)).distinct())))
+    scratch.drop(open_)
+    scratch.release()
+    comp = scratch.save(connected_components(links))
 
     out = meta.select("id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _long_lists(members: DataFrame, bits: DataFrame, percent: int, kind: str) -> DataFrame:
+    """(a, b) of long lists (k, id, n, component, m): pairs across components that their bitmaps do not rule out."""
+    x = members.where(F.col("m") > SHORT_LIST).withColumn("parts", F.ceil(F.col("m") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    x = x.select("id", "n", "component", "k", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part")
+    x = x.join(bits.select("id", "bits"), "id").repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi")
+    code = F.xxhash64("component")  # only compared for equality within a block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in adjacent_groups(batches, ["k", "lo", "hi"]):
+            i, j = close_pairs(
+                rows.column("n").to_numpy(), rows.column("part").to_numpy(), rows.column("component").to_numpy(), rows.column("bits").to_pylist(), percent
+            )
+            if len(i):
+                x, y = rows.column("id").take(pa.array(i)), rows.column("id").take(pa.array(j))
+                yield pa.RecordBatch.from_arrays([pc.min_element_wise(x, y), pc.max_element_wise(x, y)], ["a", "b"])
+
+    return x.withColumn("component", code).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def close_pairs(n: np.ndarray, part: np.ndarray, component: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of two blocks (or of one) in different components whose bitmaps allow a link.
+
+    Linked sets differ in size by less than a factor of two, so a bitmap meets those of its width and those of twice its width, folded.
+    """
+    two = part.min() != part.max()
+    widths: dict[int, list[int]] = {}
+    for r, x in enumerate(bits):
+        widths.setdefault(len(x), []).append(r)
+    table = {w: np.frombuffer(b"".join(bits[r] for r in rows), np.uint64).reshape(len(rows), w // 8) for w, rows in widths.items()}
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for w, rows in widths.items():
+        a = np.array(rows)
+        for v in (w, 2 * w):
+            if v not in widths:
+                continue
+            b, m = np.array(widths[v]), table[v]
+            if v > w:
+                m = m[:, : w // 8] ^ m[:, w // 8 :]
+            step = max(1, (1 << 24) // max(len(b) * w, 1))
+            for at in range(0, len(a), step):
+                x = a[at : at + step]
+                differ = np.bitwise_count(table[w][at : at + step, None, :] ^ m[None, :, :]).sum(2, dtype=np.int64)
+                total = n[x][:, None] + n[b][None, :]
+                need = -(-percent * total // (100 + percent))
+                ok = (differ <= total - 2 * need) & (component[x][:, None] != component[b][None, :])
+                if two:
+                    ok &= part[x][:, None] != part[b][None, :]
+                if v == w:
+                    ok &= x[:, None] < b[None, :]
+                p, q = np.nonzero(ok)
+                left.append(x[p])
+                right.append(b[q])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     a, b = (comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
     j = pairs.join(a, "a", "left").join(b, "b", "left")

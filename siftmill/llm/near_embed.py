@@ -119,7 +119,7 @@ def near_duplicates(
     work = work.select("g", *group, "part", "cid", "rep", "copies", "unit", "sigs").repartition("g").sortWithinPartitions(*["g", *group, "cid"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows_ in _groups(batches, group):
+        for key, rows_ in adjacent_groups(batches, group):
             t, lo, hi = key[1], key[3], key[4]
             unit = np.stack([np.frombuffer(u.as_py()) for u in rows_.column("unit")])
             sigs = np.stack(rows_.column("sigs").to_numpy(zero_copy_only=False))
@@ -189,7 +189,7 @@ def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -
     return root
 
 
-def _groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+def adjacent_groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Rows of each group, from batches in which equal groups are adjacent; keeps one group and one batch at a time."""
     held: list[pa.Table] = []
     last: tuple | None = None
