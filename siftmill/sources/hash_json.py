@@ -64,6 +64,10 @@ def latest_pointer(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.size("l") > 0).select(F.trim(F.element_at("l", -1)).alias("path"))
 
 
+def _by_uri(entries: Column) -> Column:
+    return F.array_sort(entries, lambda a, b: F.when(a["uri"] < b["uri"], -1).when(a["uri"] > b["uri"], 1).otherwise(0))
+
+
 def hash_json(catalog: DataFrame, new_format: bool = True, params: str = "hash_size=10;hash_version=1") -> DataFrame:
     """(value): one JSON text of the whole catalog, which a file of this format is by definition; for per-folder exports.
 
@@ -73,7 +77,7 @@ def hash_json(catalog: DataFrame, new_format: bool = True, params: str = "hash_s
     entry = F.map_concat(F.map_filter(F.from_json(F.to_json(base), _MAP), lambda k, v: ~F.coalesce(F.map_contains_key(F.from_json(F.col("metadata"), _MAP), k), F.lit(False))), F.coalesce(F.from_json(F.col("metadata"), _MAP), F.create_map().cast(_MAP)))
     if not new_format:
         entry = F.map_filter(entry, lambda k, v: k.isin("hash", "size"))
-    m = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("uri"), entry.alias("e")))))
+    m = F.map_from_entries(_by_uri(F.collect_list(F.struct(F.col("uri"), entry.alias("e")))))
     one = catalog.agg(m.alias("m"))
     if new_format:
         return one.select(F.to_json(F.struct(F.lit(params).alias("_hash_params"), F.col("m").alias("hashes"))).alias("value"))
@@ -86,7 +90,7 @@ def write_hash_json(catalog: DataFrame, path: str, new_format: bool = True, by:
         hash_json(catalog, new_format).coalesce(1).write.mode("overwrite").text(path)
         return
     entry = F.struct(F.col("hash_value").alias("hash"), F.col("hash_size").alias("size"))
-    m = catalog.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("uri"), entry.alias("e"))))).alias("hashes"))
+    m = catalog.groupBy(by).agg(F.map_from_entries(_by_uri(F.collect_list(F.struct(F.col("uri"), entry.alias("e"))))).alias("hashes"))
     m.select(by, F.to_json(F.struct("hashes")).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
 
 
