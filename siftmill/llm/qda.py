@@ -148,7 +148,9 @@ def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t or b"") for t in bt.texts(b.column(text_col))]).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(model.score(x) >= 0.5))
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                x = np.array([statistics(t or b"") for t in bt.texts(part.column(text_col))]).reshape(-1, len(FEATURES))
+                yield part.filter(pa.array(model.score(x) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

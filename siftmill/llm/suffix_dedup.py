@@ -118,11 +118,12 @@ def intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], min_len: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], min_len: int, nested: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(left length, right length, members, their farthest left agreement) of the repeats around one anchor.
 
     `lefts` are the contexts before the anchor, reversed. Yields, for each interval of the suffix array, the
-    sets of members that agree over min_len bytes around the anchor; the left length is what all of a set share.
+    sets of members that agree over min_len bytes around the anchor; the left length is what all of a set share, and beyond it
+    they differ. With `nested` also the sets within these that agree on more to the left, by the intervals of the left agreements.
     Sets that some deeper interval holds entirely (not right-maximal) are left to it.
     """
     n = len(rights)
@@ -155,19 +156,26 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], min_len: int) -> It
                 continue
             own = agree[s:e]
             far = np.maximum(np.concatenate(([0], own)), np.concatenate((own, [0])))
-            yield int(own.min()), length, members, far
+            if not nested:
+                yield int(own.min()), length, members, far
+                continue
+            for left, i, j in intervals(np.concatenate(([0], own))):
+                if left >= need and i < j:
+                    at = place[members[i : j + 1]]
+                    if int(right_min(at.min()[None], at.max()[None])[0]) == length:
+                        yield left, length, members[i : j + 1], far[i : j + 1]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, int, bytes]]]]:
-    """(group, its (core, ctx, left, bytes)) from batches sorted by group; holds one group."""
+    """(group, its (core, ctx, left, bytes)) of at least two rows, from batches sorted by group; holds one group."""
     last, held = None, []
     for b in batches:
-        for g, core, ctx, left, data in zip(*(b.column(c).to_pylist() for c in ("g", "core", "ctx", "left", "data")), strict=True):
+        for g, *row in zip(*(b.column(c).to_pylist() for c in ("g", "core", "ctx", "left", "data")), strict=True):
             if g != last:
                 if len(held) > 1:
                     yield last, held
                 last, held = g, []
-            held.append((core, ctx, left, data))
+            held.append(tuple(row))
     if len(held) > 1:
         yield last, held
 
@@ -179,16 +187,18 @@ def _scan(min_len: int, groups: bool):
         names = ["repeat", "length", "core", "ctx", "l"] if groups else ["core", "ctx", "l", "r"]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32()] if groups else [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         out: list[tuple] = []
-        for g, rows in _slices(batches):
+        name = lambda content: hashlib.sha256(content).hexdigest()[:32]
+        for _, rows in _slices(batches):
             lefts = [d[:left][::-1] for _, _, left, d in rows]
             rights = [d[left:] for _, _, left, d in rows]
             reach = np.zeros((len(rows), 2), np.int64)
-            for left, length, members, far in maximal_repeats(lefts, rights, min_len):
+            for left, length, members, far in maximal_repeats(lefts, rights, min_len, groups):
                 if groups:
                     x = rows[members[0]]
                     content = x[3][x[2] - left : x[2] + length]
-                    name = hashlib.blake2b(content, digest_size=16).hexdigest()
-                    out += [(name, left + length, rows[i][0], rows[i][1], left) for i in members]
+                    # only from anchors of windows within it, which all its occurrences have
+                    if left in anchors(bt.as_array(content), min_len)[0]:
+                        out += [(name(content), left + length, rows[i][0], rows[i][1], left) for i in members]
                 else:
                     reach[members, 0] = np.maximum(reach[members, 0], far)
                     reach[members, 1] = np.maximum(reach[members, 1], length)
@@ -214,13 +224,13 @@ def _halves(min_len: int):
         return int.from_bytes(hashlib.blake2b(b"|".join(p if isinstance(p, bytes) else str(p).encode() for p in parts), digest_size=8).digest(), "little", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g", "o1", "o2", "u", "reach_l", "reach_r", "core", "ctx", "left", "data"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["g", "o1", "o2", "u", "reach_l", "reach_r", "core", "ctx", "left", "data", "n"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 out = []
-                for g, o1, o2, core, ctx, left, data in zip(*(part.column(c).to_pylist() for c in ("g", "o1", "o2", "core", "ctx", "left", "data")), strict=True):
+                for g, o1, o2, core, ctx, left, data, n in zip(*(part.column(c).to_pylist() for c in ("g", "o1", "o2", "core", "ctx", "left", "data", "n")), strict=True):
                     mid = (o1 + o2) // 2
                     right = len(data) - left
                     for lo, hi in ((o1, mid), (mid + 1, o2)):
@@ -228,7 +238,7 @@ def _halves(min_len: int):
                             continue
                         shared = data[left - lo : left + min_len - hi]
                         l, r = min(left, hi), min(right, min_len - lo)
-                        out.append((key(g, lo, hi, shared), lo, hi, key(l, data[left - l : left + r]), l, r, core, ctx, left, data))
+                        out.append((key(g, lo, hi, shared), lo, hi, key(l, data[left - l : left + r]), l, r, core, ctx, left, data, n))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -298,11 +308,11 @@ class Repeats:
         self.scratch.release()
 
     def _contexts(self) -> DataFrame:
-        """(core, ctx, left, data): one row per class of equal contexts of mixed cores."""
+        """(core, ctx, left, data, n): one row per class of equal contexts of mixed cores; n: how often it occurs."""
         place = F.struct("id", "th", "pos", "rt")
         #: Classes: equal contexts of a core, with how often they occur.
         self.classes = self.scratch.save(self.spots.where("mixed").groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("at")))
-        wanted = self.classes.select("at.id", "at.th", F.struct(F.col("at.pos").alias("pos"), F.col("at.rt").alias("rt"), "core", "ctx").alias("s"))
+        wanted = self.classes.select("at.id", "at.th", F.struct(F.col("at.pos").alias("pos"), F.col("at.rt").alias("rt"), "core", "ctx", "n").alias("s"))
         wanted = wanted.groupBy("id", "th").agg(F.collect_list("s").alias("spots"))  # bounded by a text's length
         w = wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"), "spots")
         j = self._packed().join(w, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("z", "spots")
@@ -321,41 +331,41 @@ class Repeats:
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([s["core"] for s in part], pa.int64()), pa.array([s["ctx"] for s in part], pa.int64()), pa.array(left, pa.int32()),
-                                pa.array([data[s["pos"] - n : s["pos"] + s["rt"]] for s, n in zip(part, left, strict=True)], pa.binary()),
+                                pa.array([data[s["pos"] - n : s["pos"] + s["rt"]] for s, n in zip(part, left, strict=True)], pa.binary()), pa.array([s["n"] for s in part], pa.int64()),
                             ],
-                            ["core", "ctx", "left", "data"],
+                            ["core", "ctx", "left", "data", "n"],
                         )
 
         # repeated rows of one text give a class's context once each
-        return j.mapInArrow(run, "core long, ctx long, left int, data binary").dropDuplicates(["core", "ctx"])
+        return j.mapInArrow(run, "core long, ctx long, left int, data binary, n long").dropDuplicates(["core", "ctx"])
 
     def _scanned(self, groups: bool) -> tuple[DataFrame, DataFrame | None]:
         """The scan of all groups, and the reach (core, ctx, l, r) that dividing large groups has settled by counting."""
         schema = "repeat string, length int, core long, ctx long, l int" if groups else "core long, ctx long, l int, r int"
-        rows = self.scratch.save(self._contexts())
+        rows = self.rows = self.scratch.save(self._contexts())
         self.scratch.release()
         sizes = rows.groupBy("core").count()
         large = self.scratch.save(sizes.where(F.col("count") > GROUP_MAX).select("core"))
         settled, parts = None, []
         if large.limit(1).count():
-            hot = rows.join(large, "core", "left_semi").select(F.col("core").alias("g"), F.lit(0).alias("o1"), F.lit(self.min_len - core_length(self.min_len)).alias("o2"), "core", "ctx", "left", "data")
-            parts.append(rows.join(large, "core", "left_anti").select(F.col("core").alias("g"), "core", "ctx", "left", "data"))
+            hot = rows.join(large, "core", "left_semi").select(F.col("core").alias("g"), F.lit(0).alias("o1"), F.lit(self.min_len - core_length(self.min_len)).alias("o2"), "core", "ctx", "left", "data", "n")
+            parts.append(rows.join(large, "core", "left_anti").select(F.col("core").alias("g"), "core", "ctx", "left", "data", "n"))
             hot = self.scratch.save(hot)
             while hot.limit(1).count():
-                cols = "g long, o1 int, o2 int, u long, reach_l int, reach_r int, core long, ctx long, left int, data binary"
+                cols = "g long, o1 int, o2 int, u long, reach_l int, reach_r int, core long, ctx long, left int, data binary, n long"
                 halves = self.scratch.save(hot.mapInArrow(_halves(self.min_len), cols))
                 same = halves.groupBy("g", "u").agg(F.count("*").alias("c"), F.min(F.struct("core", "ctx")).alias("one"))
                 same = self.scratch.save(same)
                 kinds = same.groupBy("g").agg(F.count("*").alias("m"))
                 j = self.scratch.save(halves.join(same.join(kinds, "g").where("m > 1 OR c > 1"), ["g", "u"]))
-                done = j.where("c > 1").select("core", "ctx", F.col("reach_l").alias("l"), F.col("reach_r").alias("r"))
+                done = j.where("c > 1").select("u", "core", "ctx", F.col("reach_l").alias("l"), F.col("reach_r").alias("r"))
                 settled = done if settled is None else settled.unionByName(done)
                 left_over = j.where((F.col("m") > 1) & (F.struct("core", "ctx") == F.col("one")))
-                parts.append(left_over.where(F.col("m") <= GROUP_MAX).select("g", "core", "ctx", "left", "data"))
+                parts.append(left_over.where(F.col("m") <= GROUP_MAX).select("g", "core", "ctx", "left", "data", "n"))
                 self.scratch.drop(hot, halves, same)
-                hot = self.scratch.save(left_over.where(F.col("m") > GROUP_MAX).select("g", "o1", "o2", "core", "ctx", "left", "data"))
+                hot = self.scratch.save(left_over.where(F.col("m") > GROUP_MAX).select("g", "o1", "o2", "core", "ctx", "left", "data", "n"))
         else:
-            parts.append(rows.select(F.col("core").alias("g"), "core", "ctx", "left", "data"))
+            parts.append(rows.select(F.col("core").alias("g"), "core", "ctx", "left", "data", "n"))
         work = parts[0]
         for p in parts[1:]:
             work = work.unionByName(p)
@@ -367,7 +377,7 @@ class Repeats:
         """(id, th, start long, stop long): for every anchor in repeated bytes, the repeated bytes around it."""
         found, settled = self._scanned(False)
         if settled is not None:
-            found = found.unionByName(settled)
+            found = found.unionByName(settled.drop("u"))
         found = found.groupBy("core", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))
         # a class of several occurrences repeats whole
         whole = self.classes.select("core", "ctx", (F.col("n") > 1).alias("whole"))
@@ -383,20 +393,23 @@ class Repeats:
         """(repeat string, length int, id, start long): maximal repeats of min_len bytes or more, with all occurrences.
 
         `repeat` is a digest of the repeated bytes. A repeat is looked for within the contexts of its anchors, so
-        one longer than these is given as overlapping pieces that together cover it.
+        one longer than these is given as overlapping pieces that together cover it; around anchors with more than
+        GROUP_MAX different contexts, a repeat may be given in several parts, each with occurrences of its own.
         """
         found, settled = self._scanned(True)
         place = self.spots.select("core", "ctx", "id", "pos", "rt")
         mixed = found.join(place, ["core", "ctx"]).select("repeat", "length", "id", (F.col("pos") - F.col("l")).alias("start"))
-        # contexts that occur whole several times: their own bytes repeat; also where all contexts of a core are equal
-        several = self.spots.groupBy("core", "ctx").agg(F.count("*").alias("n")).where("n > 1").select("core", "ctx")
+        # contexts that occur whole several times
+        several = self.rows.where("n > 1").select(F.substr(F.sha2("data", 256), F.lit(1), F.lit(32)).alias("repeat"), F.octet_length("data").alias("length"), "core", "ctx", "left")
+        mixed = mixed.unionByName(several.join(place, ["core", "ctx"]).select("repeat", "length", "id", (F.col("pos") - F.col("left")).alias("start")))
+        # where all contexts of a core are equal they repeat whole, and nothing else does around it
         left = F.least(F.col("pos"), F.lit(self.min_len - core_length(self.min_len)).cast("long"))
-        whole = place.join(several, ["core", "ctx"]).select(
+        whole = self.spots.where("NOT mixed").select(
             F.format_string("%016x%016x", "core", "ctx").alias("repeat"), (left + F.col("rt")).cast("int").alias("length"), "id", (F.col("pos") - left).alias("start")
         )
         out = mixed.unionByName(whole)
         if settled is not None:
-            s = settled.join(place, ["core", "ctx"]).select(F.format_string("%016x-%d-%d", "core", "l", "r").alias("repeat"), (F.col("l") + F.col("r")).alias("length"), "id", (F.col("pos") - F.col("l")).alias("start"))
+            s = settled.join(place, ["core", "ctx"]).select(F.format_string("%016x", "u").alias("repeat"), (F.col("l") + F.col("r")).alias("length"), "id", (F.col("pos") - F.col("l")).alias("start"))
             out = out.unionByName(s)
         return out.distinct().withColumnRenamed("id", self.id_col)
 
