@@ -12,10 +12,9 @@ from siftmill.plans.scratch import Scratch
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant, fitted on the labelled ones outside the held-out fold, predicts to be good."""
-    labels = read(spark, sf_dir, "labels")
-    wanted = labels.select(F.col("doc_id").alias("_labelled")).distinct()
-    fold = docs.where(~held_out()).join(wanted, F.col("doc_id") == F.col("_labelled"), "left_semi")
-    return qda.keep_good(docs, qda.fit(qda.featurise(fold), labels))
+    features = Scratch(spark, "quality").save(qda.featurise(docs))
+    model = qda.fit(features.where(~held_out()), read(spark, sf_dir, "labels"))
+    return qda.keep_good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
