@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from siftmill.llm import bytetext as bt
 
-#: Pieces kept per worker; the cache is emptied when full. Longer pieces are encoded but never kept.
-CACHE_PIECES, CACHE_PIECE_CHARS = 150_000, 64
+#: Pieces kept per worker; the cache is emptied before it grows further. Longer pieces are encoded but never kept.
+CACHE_PIECES, CACHE_PIECE_CHARS = 200_000, 64
 
 
 def byte_chars() -> dict[int, str]:
@@ -78,33 +79,38 @@ class Codec:
         self.bytes_of = [b""] * len(self.tokens)
         for chars, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in chars)
+        self.names = [str(i) for i in range(len(self.tokens))]
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, tuple[tuple[int, ...], str]]:
-        as_chars = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in pieces]
-        new = {}
-        for p, e in zip(pieces, self.model.encode_batch(as_chars, add_special_tokens=False), strict=True):
-            new[p] = (tuple(e.ids), " ".join(map(str, e.ids)))
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-        self.cache.update((p, x) for p, x in new.items() if len(p) <= CACHE_PIECE_CHARS)
-        return new
-
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """(ids, ids as text) of each match of the pattern, in order."""
-        found = self.split(text)
-        cache = self.cache
-        missing = [p for p in set(found) if p not in cache]
-        if not missing:
-            return [cache[p] for p in found]
-        known = {p: cache[p] for p in set(found) if p in cache}  # encoding may empty the cache
-        for i in range(0, len(missing), CACHE_PIECES // 2):
-            known.update(self._encode_pieces(missing[i : i + CACHE_PIECES // 2]))
-        return [known[p] for p in found]
+        self.ids_of: dict[str, tuple[int, ...]] = {}
+        self.text_of: dict[str, str] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes pieces that are not in the cache."""
+        # printable ASCII stands for itself, but for the space
+        space, names, todo = self.table[0x20], self.names, list(pieces)
+        as_chars = [p.replace(" ", space) if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self.table) for p in todo]
+        for p, e in zip(todo, self.model.encode_batch_fast(as_chars, add_special_tokens=False), strict=True):
+            ids = tuple(e.ids)
+            self.ids_of[p] = ids
+            self.text_of[p] = " ".join([names[i] for i in ids])
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """(ids, ids as text joined by spaces) of each text. The cache holds CACHE_PIECES pieces and those of the texts at hand."""
+        if len(self.ids_of) > CACHE_PIECES:
+            self.ids_of.clear()
+            self.text_of.clear()
+        found = [self.split(t) for t in texts]
+        missing = set().union(*found) - self.ids_of.keys()
+        self._learn(missing)
+        ids_of, text_of = self.ids_of.__getitem__, self.text_of.__getitem__
+        for f in found:
+            yield list(chain.from_iterable(map(ids_of, f))), " ".join(map(text_of, f))
+        for p in missing:
+            if len(p) > CACHE_PIECE_CHARS:
+                del self.ids_of[p], self.text_of[p]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.pieces(text) for i in ids]
+        return next(iter(list(self.encode_all([text]))))[0]
 
     def offsets(self, ids: list[int]) -> list[tuple[int, int]]:
         """Byte span of each id in the encoded text."""
@@ -114,7 +120,7 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decode_text(self, ids: list[int]) -> str:
         """Text of a whole or cut id list; bytes of a character cut at an end become U+FFFD."""
@@ -131,15 +137,16 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _map(docs: DataFrame, id_col: str, text_col: str, out: str, names: list[str], one) -> DataFrame:
+def _map(docs: DataFrame, id_col: str, text_col: str, out: str, names: list[str], all_of: Callable[[list[str]], list[tuple]]) -> DataFrame:
+    bt.small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # small output batches: ids and offsets of one input batch can be many times its size
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                rows = [one(t or "") for t in part.column("text").to_pylist()]
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
+                rows = all_of([t or "" for t in part.column("text").to_pylist()])
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
                 schema = run_schema[1:]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(list(c), t) for c, t in zip(cols, schema, strict=True))], ["id", *names])
@@ -156,15 +163,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     repeated rows included; other columns are not read; an empty table gives an empty result.
     """
 
-    def one(text: str):
+    def all_of(texts: list[str]) -> list[tuple]:
         c = codec(path, pattern)
-        ids = c.encode(text)
-        spans = c.offsets(ids)
-        return ids, [s for s, _ in spans], [e for _, e in spans]
+        spans = [(ids, c.offsets(ids)) for ids, _ in c.encode_all(texts)]
+        return [(ids, [s for s, _ in x], [e for _, e in x]) for ids, x in spans]
 
-    if not offsets:
-        return _map(docs, id_col, text_col, "ids array<int>", ["ids"], lambda text: (codec(path, pattern).encode(text),))
-    return _map(docs, id_col, text_col, "ids array<int>, starts array<int>, ends array<int>", ["ids", "starts", "ends"], one)
+    return _map(docs, id_col, text_col, "ids array<int>, starts array<int>, ends array<int>", ["ids", "starts", "ends"], all_of)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -172,6 +176,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     Null id lists decode to nothing. Ids out of range raise.
     """
+    bt.small_batches(encoded.sparkSession)
     src = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def run(batches):
@@ -189,10 +194,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     The same encoder and decoder as `encode` and `decode`, in one pass, so that no ids are shipped between them.
     """
 
-    def one(text: str):
+    def all_of(texts: list[str]) -> list[tuple]:
         c = codec(path, pattern)
-        got = c.pieces(text)
-        ids = [i for p, _ in got for i in p]
-        return len(ids), hashlib.sha256(" ".join([s for _, s in got]).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+        return [(len(ids), digest(text.encode()), digest(c.decode(ids))) for ids, text in c.encode_all(texts)]
 
-    return _map(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], one)
+    return _map(docs, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], all_of)

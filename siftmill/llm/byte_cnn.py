@@ -156,6 +156,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     texts_per_lang * windows_per_text * languages windows of WINDOW bytes. Rows with null text or language are
     not used. More than `max_langs` languages raise. Without rows the model predicts "und".
     """
+    bt.small_batches(labelled.sparkSession)
     src = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = {r.lang: r.n for r in src.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
@@ -190,6 +191,7 @@ def predict(docs: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col: s
     Null, empty and letterless texts give ("und", 0.0). Repeated rows give repeated results; other columns
     are not read.
     """
+    bt.small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,6 @@ depend on the bytes of a span only, never on where it stands.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +107,12 @@ def texts(column: pa.Array) -> Iterator[bytes | None]:
         yield x.as_py()
 
 
-def crc_fold(doc_id) -> int:
-    """crc32 of the id written as text, modulo 3."""
-    return zlib.crc32(str(doc_id).encode()) % 3
+#: Rows that Spark puts into one Arrow batch for these operators. Texts may be long, and a worker and the JVM each hold a batch and copies of it.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Lowers the session's Arrow batch size to BATCH_ROWS where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)

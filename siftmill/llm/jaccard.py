@@ -27,7 +27,7 @@ from siftmill.plans.scratch import Scratch
 PERCENT = 80
 WORDS = 5
 #: Shingles whose frequency is tracked while a task reads this many; what is frequent anywhere is so in some chunk.
-CHUNK_SHINGLES = 4_000_000
+CHUNK_SHINGLES = 1_000_000
 #: Frequent shingles that are ordered last: a broadcast of at most this many numbers. Which shingles they are changes
 #: the work to be done, never the result.
 MAX_FREQUENT = 200_000
@@ -179,6 +179,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
+    bt.small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()

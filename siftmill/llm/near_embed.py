@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.llm import bytetext as bt
 from siftmill.operators.components import connected_components
 from siftmill.plans.scratch import Scratch
 
@@ -57,6 +58,7 @@ def near_duplicates(
     An empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
+    bt.small_batches(spark)
     scratch = Scratch(spark, "near-embed")
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     src = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), label.alias("label"))

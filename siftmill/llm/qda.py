@@ -54,6 +54,7 @@ def statistics(data: bytes) -> list[float]:
 
 def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, f array<double>): one row per input row; null text as empty; other columns are not read."""
+    bt.small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +147,8 @@ def score(features: DataFrame, model: Discriminant, id_col: str = "doc_id") -> D
 def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that the model predicts label 1 for, all columns as they are; in one pass, without a shuffle."""
 
+    bt.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):

@@ -87,6 +87,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     null ids keep one ledger row each. Other columns of `docs` are not read, whatever their names. An empty
     table gives an empty ledger. Texts of any length are measured whole; hashing works in blocks.
     """
+    bt.small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out_type = f"id {src.schema['id'].dataType.simpleString()}, {MEASURES}"
     names = [x.split()[0] for x in MEASURES.split(", ")]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmill.llm import byte_bpe, byte_cnn, chat, jaccard, mixing, near_embed, qda, quality_rules, suffix_dedup, warc_fixity
+from siftmill.llm.oracles import ORACLES  # noqa: F401  the driver's entry reads it here
 from siftmill.plans.scratch import Scratch
 
 
@@ -108,4 +109,3 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op4_suffix_dedup, op5_warc_fixity, op6_ngram_jaccard, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}

@@ -257,6 +257,7 @@ class Repeats:
     def __init__(self, docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_col: str = "text"):
         self.min_len, self.id_col, self.docs, self.text_col = min_len, id_col, docs, text_col
         self.spark = docs.sparkSession
+        bt.small_batches(self.spark)
         self.scratch = Scratch(self.spark, "repeats")
         self.src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.kind = self.src.schema["id"].dataType.simpleString()
