@@ -41,11 +41,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         nxt = scratch.save(star(big, False))
         scratch.drop(big)
         # done when the edges are stars: no node is both a child and a parent, and no child has two parents
-        bad = nxt.join(nxt.select(F.col("u").alias("x")), nxt.v == F.col("x"), "left_semi").limit(1).count()
-        two = 0 if bad else nxt.groupBy("u").count().where("count > 1").limit(1).count()
+        ends = nxt.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(nxt.select("v", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").limit(1).count()
         scratch.drop(cur)
         cur = nxt
-        if not bad and not two:
+        if not open_:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import hashing, language, ocr, pixels, rules, titles, uris
 from siftmill.operators import catalog, components, dedup, fingerprint, grouping, joins, metrics, prune, ranking, similarity
-from siftmill.plans import cascade
+from siftmill.plans import cascade, workflows
 from siftmill.plans.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -623,3 +623,101 @@ def structure_components(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     s = StandardScaler(withMean=True, inputCol="v", outputCol="s").fit(e).transform(e)
     return PCA(k=8, inputCol="s", outputCol="p").fit(s).transform(s).select("vec_id", vector_to_array("p").alias("components"))
+
+
+# ---- workflows
+
+
+@query("""WITH r AS (SELECT *, conv_id * 1000 + turn AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn) k, count(*) OVER (PARTITION BY conv_id) n FROM conversations)
+SELECT i AS item_id, 'watermark' AS stage, 'watermark' AS reason FROM r WHERE (k <= 1 OR k > n - 2) AND length(text) % 3 = 0""")
+def cover_cleaner(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return workflows.clean_covers(c, cascade.predicate("watermark", F.length("text") % 3 == 0), "conv_id", F.col("turn"), 1, 2)
+
+
+@query("""WITH s AS (SELECT p_partkey AS item_id, p_brand AS archive, 'small_image' AS stage, 'small_image' AS reason FROM part WHERE p_size < 10),
+l AS (SELECT * FROM part WHERE p_size >= 10), d AS (SELECT p_partkey AS item_id, p_brand AS archive, 'size' AS stage, (m - p_retailprice)::BIGINT || ' smaller' AS reason
+ FROM (SELECT *, max(p_retailprice) OVER (PARTITION BY p_brand) m, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) r FROM l) WHERE r > 1)
+SELECT * REPLACE (CASE WHEN stage = 'size' THEN '' ELSE reason END AS reason) FROM (SELECT * FROM s UNION ALL SELECT * FROM d)""")
+def archive_cleaner(spark, sf_dir):
+    stages = [cascade.small_items("p_size", "p_size", 10), cascade.group_filter({"type": "size", "params": {"size": "p_retailprice"}})]
+    x = workflows.clean_archives(_parts(spark, sf_dir), "p_brand", stages)
+    return x.withColumn("reason", F.when(F.col("stage") == "size", "").otherwise(F.col("reason")))
+
+
+@query("""WITH i AS (SELECT p_brand AS name, CASE WHEN p_size BETWEEN 0 AND 25 THEN 0 WHEN p_size >= 26 THEN 1 END AS r FROM part), c AS (SELECT name, r, count(*) c FROM i GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY c DESC, r) k FROM c)
+SELECT name, '/lib/' || name || '.zip' AS path, r::INT AS rule, CASE r WHEN 0 THEN 'narrow' ELSE 'wide' END AS folder FROM b WHERE k = 1 AND name NOT IN (SELECT p_brand FROM part WHERE p_partkey < 3) AND NOT contains(lower(name), '#1')""")
+def archive_router(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    arch = p.select(F.col("p_brand").alias("name"), F.concat(F.lit("/lib/"), "p_brand", F.lit(".zip")).alias("path")).distinct()
+    images = p.select(F.col("p_brand").alias("archive"), F.col("p_size").alias("width"), F.lit(1).alias("height"))
+    done = p.where("p_partkey < 3").select(F.upper("p_brand").alias("name"))
+    return workflows.route_archives(arch, images, done, [rules.DimensionRule("narrow", 0, 25), rules.DimensionRule("wide", 26)], ["#1"])
+
+
+@query("""WITH m AS (SELECT event_id i, user_id a, event_type || '[hash-' || substr(md5(event_type), 1, 4) || '].jpg' AS n, event_type t, value v, ts FROM events), g AS (SELECT a FROM m GROUP BY 1 HAVING count(*) FILTER (t = 'error') > 0 AND count(*) FILTER (t = 'error') <= count(*) * 0.3),
+x AS (SELECT m.*, t = 'error' AND g.a IS NOT NULL AS ad FROM m LEFT JOIN g ON m.a = g.a), w AS (SELECT *, first_value(v) OVER o f, row_number() OVER o r FROM x WHERE NOT ad WINDOW o AS (PARTITION BY a, t ORDER BY ts, i)),
+c AS (SELECT *, CASE WHEN r = 1 THEN 'keep' WHEN v = f THEN 'trash' ELSE 'rename' END act FROM w), k AS (SELECT *, sum((act = 'rename')::INT) OVER (PARTITION BY a, t ORDER BY ts, i ROWS UNBOUNDED PRECEDING) k FROM c)
+SELECT a AS archive, i AS item_id, act AS action, CASE act WHEN 'keep' THEN nm || '.jpg' WHEN 'rename' THEN nm || '_' || k || '.jpg' END AS new_name FROM (SELECT *, CASE WHEN t = 'error' THEN 'credits' ELSE t END AS nm FROM k)
+UNION ALL SELECT a, i, 'ad', NULL FROM x WHERE ad""")
+def name_cleaner(spark, sf_dir):
+    t = F.when(F.col("event_type") == "error", "credits").otherwise(F.col("event_type"))
+    e = read(spark, sf_dir, "events").withColumn("name", F.concat(t, F.lit("[hash-"), F.substr(F.md5("event_type"), F.lit(1), F.lit(4)), F.lit("].jpg")))
+    return workflows.tidy_names(e, "user_id", "name", "value", "ts", 0.3, "event_id")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name || ' ' || p_type AS id FROM part), h AS (SELECT id, ('0x' || substr(md5(id), 1, 4))::BIGINT a, ('0x' || substr(md5(id), 1, 10))::BIGINT b FROM n),
+p AS (SELECT 4 AS s, bit_count(xor(x.a, y.a))::INT d FROM h x JOIN h y ON x.id < y.id UNION ALL SELECT 10, bit_count(xor(x.b, y.b))::INT FROM h x JOIN h y ON x.id < y.id)
+SELECT s AS hash_size, count(*) AS n_pairs, round(avg(d), 6) AS avg_distance, min(d) AS min_distance, max(d) AS max_distance, quantile_cont(d, 0.5)::DOUBLE AS median_distance, round(stddev_pop(d), 6) AS std_distance,
+greatest(1, floor(avg(d) * 0.3))::INT AS suggested_threshold FROM p GROUP BY s""")
+def hash_size_benchmark(spark, sf_dir):
+    fp = _fingerprints(spark, sf_dir).select("id", F.md5("id").alias("m"))
+    h = fp.select("id", F.explode(F.array(F.lit(4), F.lit(10))).alias("hash_size"), "m").withColumn("hash", F.substr("m", F.lit(1), F.col("hash_size")))
+    x = workflows.hash_size_benchmark(h, [4, 10])
+    return x.withColumn("avg_distance", F.round("avg_distance", 6)).withColumn("std_distance", F.round("std_distance", 6))
+
+
+@query("""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS pair_id, l_discount, l_tax FROM lineitem), u AS (SELECT pair_id, 'l_discount' AS algorithm, l_discount AS s FROM l UNION ALL SELECT pair_id, 'l_tax', l_tax FROM l)
+SELECT algorithm, round(avg(s), 6) AS mean_score, round(stddev_samp(s), 6) AS std_score, min(s) AS min_score, max(s) AS max_score, round(quantile_cont(s, 0.5), 6) AS median_score FROM u GROUP BY 1""")
+def algorithm_comparison(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id"), "l_discount", "l_tax")  # noqa: E741
+    x = metrics.score_stats(workflows.compare_algorithms(l, ["l_discount", "l_tax"]), "algorithm", "similarity_score")
+    return x.select("algorithm", *[F.round(c, 6).alias(c) for c in x.columns[1:]])
+
+
+@query("""SELECT o_orderkey AS item_id, b AS text, length(b) AS text_length, CASE WHEN o_orderkey % 2 = 0 THEN 'chinese' ELSE 'english' END AS language, 'o' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '_zh' ELSE '_en' END || '.jpg' AS new_name
+FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN '汉化组翻译 全文' ELSE 'some plain text' END AS b FROM orders)""")
+def language_renames(spark, sf_dir):
+    even = F.col("o_orderkey") % 2 == 0
+    part = lambda a, b: F.struct(F.when(even, a).otherwise(b).alias("text"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.array(part("汉化组翻译", "some"), part("全文", "plain text")).alias("blocks"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("name"))
+    return workflows.language_names(o, "blocks", "name", "o_orderkey")
+
+
+@query(_PAGES + """SELECT uri, md5(base || '.jpg') AS hash_value FROM (SELECT DISTINCT base || 'p.jpg' AS uri, base FROM q WHERE page_id % 2 = 1)""")
+def warm_up(spark, sf_dir):
+    cat, asked = _page_catalog(spark, sf_dir)
+    items = asked.select("uri", F.lit(1.0).alias("calculated_time")).distinct()
+    fresh = F.md5(F.regexp_replace("uri", "p(.jpg)$", "$1"))
+    return workflows.warm_up(items, cat, fresh).select("uri", "hash_value")
+
+
+@query(_PAGES + """SELECT q.page_id, q.uri, CASE WHEN q.page_id % 2 = 0 THEN h ELSE md5('m' || q.uri) END AS hash_value, CASE WHEN q.page_id % 2 = 0 THEN 'table' ELSE 'memory' END AS tier FROM q JOIN (SELECT DISTINCT base, h FROM c) m ON m.base = q.base""")
+def tiered_lookup(spark, sf_dir):
+    cat, asked = _page_catalog(spark, sf_dir)
+    memory = asked.select("uri", F.md5(F.concat(F.lit("m"), "uri")).alias("hash_value"))
+    return catalog.tiered_lookup(asked, [("table", cat), ("memory", memory)])
+
+
+@query("""SELECT page_id, 'archive:///' || '/lib/x.zip' || '!' || page_id || '/a.png' AS uri, 'a.png' AS filename, 'png' AS file_format, 'x.zip' AS archive_name FROM pages""")
+def canonical_uris(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select("page_id", uris.canonical(F.concat(F.lit("/lib/merged_7.zip!x/"), F.col("page_id").cast("string"), F.lit("/a.png"))).alias("uri"))
+    return p.select("page_id", "uri", uris.display_parts(F.col("uri")).alias("d")).select("page_id", "uri", "d.filename", "d.file_format", "d.archive_name")
+
+
+@query("""WITH g AS (SELECT o_custkey, epoch(o_orderdate) AS y, epoch(o_orderdate) - lag(epoch(o_orderdate) + 10) OVER (PARTITION BY o_custkey ORDER BY epoch(o_orderdate)) AS gap FROM orders)
+SELECT o_custkey AS "group", count(*) AS n_lines, round(CASE WHEN avg(gap) > 0 THEN 1 - least(1.0, var_pop(gap) / (avg(gap) * avg(gap))) ELSE 0 END, 6) AS uniformity FROM g GROUP BY 1""")
+def line_uniformity(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_custkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us")).select("o_custkey", (F.col("us") / 1_000_000.0).alias("y"), F.lit(10.0).alias("h"))
+    return ranking.line_uniformity(o, "o_custkey", "y", "h").withColumn("uniformity", F.round("uniformity", 6))
