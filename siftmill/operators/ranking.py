@@ -31,9 +31,22 @@ def keep_first(items: DataFrame, group: str, order: Sequence[Column], item: str
     return items.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order, item)))
 
 
-def losers(items: DataFrame, group: str, order: Sequence[Column], stage: str, reason: Column, item: str = "item_id") -> DataFrame:
-    ranked = keep_first(items, group, order, item).where("rank > 1")
-    return ranked.select(F.col(group).alias("group"), F.col(item).alias("item_id"), F.lit(stage).alias("stage"), reason.alias("reason"))
+def beside_winner(items: DataFrame, group: str, order: Sequence[Column], item: str, values: dict[str, Column]) -> DataFrame:
+    """Rows with the winner of their group: `_w` (its item) and `values` of it, under the given names.
+
+    The winner is a row_number() = 1, which Spark limits per group before the shuffle, and comes back by a join that AQE can split:
+    a group that holds a large part of all rows is no hot spot.
+    """
+    w = Window.partitionBy(group).orderBy(*order, item)
+    best = items.withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
+    best = best.select(F.col(group).alias("_g"), F.col(item).alias("_w"), *[v.alias(n) for n, v in values.items()])
+    return items.join(best, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def losers(items: DataFrame, group: str, order: Sequence[Column], stage: str, reason: Column, item: str = "item_id", values: dict[str, Column] | None = None) -> DataFrame:
+    """All rows but each group's first; `reason` may use `values` of the winner."""
+    x = beside_winner(items, group, order, item, values or {}).where(F.col(item) != F.col("_w"))
+    return x.select(F.col(group).alias("group"), F.col(item).alias("item_id"), F.lit(stage).alias("stage"), reason.alias("reason"))
 
 
 def progressive(items: DataFrame, group: str, tiers: Sequence[tuple[str, Column, bool]], item: str = "item_id", stage: str = "comprehensive") -> DataFrame:
@@ -47,9 +60,7 @@ def progressive(items: DataFrame, group: str, tiers: Sequence[tuple[str, Column,
     for c, (_, value, _) in zip(cols, tiers, strict=True):
         x = x.withColumn(c, value)
     order = [F.desc_nulls_last(c) if up else F.asc_nulls_last(c) for c, (_, _, up) in zip(cols, tiers, strict=True)]
-    w = Window.partitionBy(group).orderBy(*order, item)
-    for c in cols:
-        x = x.withColumn(f"{c}_best", F.first(c).over(w))
+    x = beside_winner(x, group, order, item, {f"{c}_best": F.col(c) for c in cols})
     behind = [~F.col(c).eqNullSafe(F.col(f"{c}_best")) for c in cols]
     reason = F.coalesce(*[F.when(b, F.lit(name)) for b, (name, _, _) in zip(behind, tiers, strict=True)])
     return x.withColumn("reason", reason).where("reason IS NOT NULL").select(F.col(group).alias("group"), F.col(item).alias("item_id"), F.lit(stage).alias("stage"), "reason")
@@ -57,16 +68,14 @@ def progressive(items: DataFrame, group: str, tiers: Sequence[tuple[str, Column,
 
 def newest(items: DataFrame, group: str, time: str, item: str = "item_id") -> DataFrame:
     """The newest stays; reason: whole seconds older."""
-    w = Window.partitionBy(group)
-    seconds = F.floor(F.unix_micros(F.max(_time(time)).over(w)) / 1_000_000 - F.unix_micros(_time(time)) / 1_000_000).cast("long")
-    x = items.withColumn("_s", seconds)
-    return losers(x, group, [F.desc_nulls_last(time)], "time", F.concat(F.col("_s").cast("string"), F.lit(" s older")), item)
+    seconds = F.floor(F.unix_micros("_newest") / 1_000_000 - F.unix_micros(_time(time)) / 1_000_000).cast("long").cast("string")
+    return losers(items, group, [F.desc_nulls_last(time)], "time", F.concat(seconds, F.lit(" s older")), item, {"_newest": _time(time)})
 
 
 def largest(items: DataFrame, group: str, size: str, item: str = "item_id", stage: str = "quality") -> DataFrame:
     """The largest stays; reason: the bytes it is smaller by."""
-    x = items.withColumn("_d", F.max(size).over(Window.partitionBy(group)) - F.coalesce(size, F.lit(0)))
-    return losers(x, group, [F.desc_nulls_last(size)], stage, F.concat(F.col("_d").cast("long").cast("string"), F.lit(" smaller")), item)
+    less = (F.col("_largest") - F.coalesce(F.col(size), F.lit(0))).cast("long").cast("string")
+    return losers(items, group, [F.desc_nulls_last(size)], stage, F.concat(less, F.lit(" smaller")), item, {"_largest": F.col(size)})
 
 
 def by_language(items: DataFrame, group: str, language: str, density: str, count: str, size: str, item: str = "item_id") -> DataFrame:
@@ -87,8 +96,8 @@ def best_by_language(items: DataFrame, group: str, language: str, density: str,
 
 def watermarked(items: DataFrame, group: str, marked: str, item: str = "item_id") -> DataFrame:
     """Marked rows go where the group has a clean one; where it has none, nothing goes."""
-    clean = F.bool_or(~F.col(marked)).over(Window.partitionBy(group))
-    x = items.withColumn("_c", clean).where(F.col("_c") & F.col(marked))
+    clean = items.where(~F.col(marked)).select(F.col(group).alias("_g")).distinct()
+    x = items.where(marked).join(clean, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
     return x.select(F.col(group).alias("group"), F.col(item).alias("item_id"), F.lit("watermark").alias("stage"), F.lit("watermark").alias("reason"))
 
 
@@ -109,10 +118,9 @@ def collision_numbers(items: DataFrame, name: str, item: str = "item_id") -> Dat
 
 def newest_version(items: DataFrame, group: str, version: str, size: str, item: str = "item_id") -> DataFrame:
     """The highest version stays, the largest row at a tie; no version is version 1; groups without a version above 1 keep all."""
-    v = F.coalesce(version, F.lit(1))
-    top = F.max(v).over(Window.partitionBy(group))
-    x = items.withColumn("_v", v).withColumn("_top", top).where("_top >= 2")
-    return losers(x, group, [F.desc("_v"), F.desc_nulls_last(size)], "version", F.concat(F.lit("v"), F.col("_v").cast("string"), F.lit(" < v"), F.col("_top").cast("string")), item)
+    x = items.withColumn("_v", F.coalesce(version, F.lit(1)))
+    reason = F.when(F.col("_top") >= 2, F.concat(F.lit("v"), F.col("_v").cast("string"), F.lit(" < v"), F.col("_top").cast("string")))
+    return losers(x, group, [F.desc("_v"), F.desc_nulls_last(size)], "version", reason, item, {"_top": F.col("_v")}).where("reason IS NOT NULL")
 
 
 def sample_by_size(items: DataFrame, group: str, size: str, k: int = 3, item: str = "item_id") -> DataFrame:

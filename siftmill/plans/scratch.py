@@ -45,18 +45,23 @@ class Scratch:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
+        if self._n == 1:
+            fs, base = self._fs(self.base)
+            fs.deleteOnExit(base)  # results may read these tables until the application ends
         return out
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished stages: it does so once their plans are garbage."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for f in frames:
             path = self._paths.pop(id(f), None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                fs, p = self._fs(path)
+                fs.delete(p, True)
