@@ -47,6 +47,15 @@ def heuristic(text: Column, min_total: int = MIN_TOTAL, min_count: int = MIN_COU
     return F.when(F.coalesce(enough, F.lit(False)), winner).otherwise("unknown")
 
 
+def detect(text: Column, library: Column | None = None) -> Column:
+    """What an outside detector says (`library`, a column; only zh, ja and en count), else the heuristic."""
+    own = heuristic(text)
+    if library is None:
+        return own
+    said = F.when(library.isin("zh", "chinese"), "chinese").when(library.isin("ja", "japanese"), "japanese").when(library.isin("en", "english"), "english")
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "unknown").otherwise(F.coalesce(said, own))
+
+
 def language_suffix(language: Column) -> Column:
     return F.when(language == "chinese", "_zh").when(language == "english", "_en").when(language == "japanese", "_ja").otherwise("_unk")
 

@@ -93,6 +93,28 @@ def colour_stats_of(x: np.ndarray, std_limit: float = 800.0, diff: int = 30, sha
     }
 
 
+def sampled_kind_of(x: np.ndarray, points: int = 100, white: int = 240, black: int = 15, diff: int = 5) -> str:
+    """`white`, `black`, `gray` or `colour` by at most `points` pixels of an even grid."""
+    side = int(points**0.5)
+    rows = np.linspace(0, x.shape[0] - 1, min(side, x.shape[0])).astype(int)
+    cols = np.linspace(0, x.shape[1] - 1, min(side, x.shape[1])).astype(int)
+    p = x[np.ix_(rows, cols)][:, :, : min(3, x.shape[2])].astype(np.int16)
+    if (p > white).all():
+        return "white"
+    if (p < black).all():
+        return "black"
+    return "gray" if (p.max(2) - p.min(2) < diff).all() else "colour"
+
+
+def sampled_kind(height: Column, width: Column, channels: Column, data: Column) -> Column:
+    return _image_udf(sampled_kind_of, "string")(height, width, channels, data)
+
+
+def is_monochrome(score: Column, least: float = 0.85) -> Column:
+    """By the score of an outside model, given as a column."""
+    return F.coalesce(score >= least, F.lit(False))
+
+
 COLOUR_STATS = "is_grayscale boolean, is_white_image boolean, is_pure_white boolean, is_pure_black boolean, channel_std double, grayscale_score double, white_score double, black_score double, colorfulness double"
 
 

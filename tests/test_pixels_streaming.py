@@ -15,6 +15,10 @@ def test_measures():
     assert not pixels.colour_stats_of(np.dstack([np.full((8, 8), v, np.uint8) for v in (0, 0, 255)]))["is_grayscale"]
     assert abs(pixels.ssim_of(x, x) - 1) < 1e-9 > pixels.ssim_of(x, 255 - x) - 1
     assert pixels.image_size_of(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (5).to_bytes(4, "big") + (7).to_bytes(4, "big")) == (5, 7)
+    assert pixels.sampled_kind_of(np.full((8, 8, 3), 255, np.uint8)) == "white"
+    assert pixels.sampled_kind_of(np.zeros((8, 8, 3), np.uint8)) == "black"
+    assert pixels.sampled_kind_of(np.full((8, 8, 3), 100, np.uint8)) == "gray"
+    assert pixels.sampled_kind_of(x) == "colour"
     assert pixels.image_size_of(b"nothing") is None
 
 
