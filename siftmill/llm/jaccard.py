@@ -194,7 +194,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     broad = spark.sparkContext.broadcast((frequent[by], rank[by]))
     # the boundary: sizes on a logarithmic scale (a few hundred numbers) and the mean number of rounds a posting takes part in
     step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 16) / 16)))
-    classes = meta.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    classes = scratch.save(meta.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
     sizes = {int(r.size): r["count"] for r in classes.groupBy(step.alias("size")).count().collect()}
     rare = seen.where("kind = 2").groupBy("token").agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * F.log2("m")).alias("a"), F.sum("m").alias("b")).first()
     boundary = choose_boundary(sizes, (rare.a or 0) / max(rare.b or 1, 1), percent)
@@ -216,8 +216,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     scratch.release()
     postings = listed.select("id", "n", F.explode("keys").alias("k"))
     lists = postings.groupBy("k").agg(F.count("*").alias("m"), F.min("id").alias("leader")).where("m > 1")
-    lists = scratch.save(postings.join(lists.select("k", "leader"), "k"))
-    scratch.drop(listed)
+    heads = scratch.save(lists.select("k", "leader"))  # written, so that AQE can split a hot list in the join
+    lists = scratch.save(postings.join(heads, "k"))
+    scratch.drop(listed, heads)
     scratch.release()
 
     bits = meta.select("id", "n", "bits").join(lists.select("id").distinct(), "id", "left_semi")
@@ -248,7 +249,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     c = comp.select(F.col("node").alias("id"), "component")
     open_ = lists.select("k", "id", "n").join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = open_.groupBy("k").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k", "m")
-    open_ = scratch.save(open_.join(split, "k"))
+    open_ = scratch.save(open_.join(scratch.save(split), "k"))
     scratch.drop(lists)
     short = open_.where(F.col("m") <= SHORT_LIST).drop("m")
     other = short.select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))

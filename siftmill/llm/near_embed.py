@@ -110,7 +110,7 @@ def near_duplicates(
     # (table, bucket) of every class, and the bucket's size, which says into how many blocks it is cut
     spots = signed.select("cid", "label", F.posexplode("sigs").alias("t", "bucket"))
     sizes = spots.groupBy("label", "t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    spots = spots.join(sizes, ["label", "t", "bucket"]).withColumn("parts", F.ceil(F.col("n") / BLOCK))
+    spots = spots.join(scratch.save(sizes), ["label", "t", "bucket"]).withColumn("parts", F.ceil(F.col("n") / BLOCK))
     spots = spots.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(seed)), F.col("parts")))
     # block pairs (lo, hi): a row joins one group per block of its bucket
     spots = spots.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))

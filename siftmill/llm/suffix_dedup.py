@@ -304,8 +304,10 @@ class Repeats:
         spots = self.scratch.save(self.src.mapInArrow(run, f"id {self.kind}, th long, pos long, rt int, core long, ctx long"))
         cores = spots.groupBy("core").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
         #: Anchors whose core occurs again. Not `mixed`: all of its contexts are equal, so all of them repeat whole.
-        self.spots = self.scratch.save(spots.join(cores.select("core", (F.col("lo") != F.col("hi")).alias("mixed")), "core"))
-        self.scratch.drop(spots)
+        # written first, so that the join reads two tables and AQE can split a hot core
+        cores = self.scratch.save(cores.select("core", (F.col("lo") != F.col("hi")).alias("mixed")))
+        self.spots = self.scratch.save(spots.join(cores, "core"))
+        self.scratch.drop(spots, cores)
         self.scratch.release()
 
     def _contexts(self) -> DataFrame:
@@ -358,7 +360,8 @@ class Repeats:
                 same = halves.groupBy("g", "u").agg(F.count("*").alias("c"), F.min(F.struct("core", "ctx")).alias("one"))
                 same = self.scratch.save(same)
                 kinds = same.groupBy("g").agg(F.count("*").alias("m"))
-                j = self.scratch.save(halves.join(same.join(kinds, "g").where("m > 1 OR c > 1"), ["g", "u"]))
+                judged = self.scratch.save(same.join(self.scratch.save(kinds), "g").where("m > 1 OR c > 1"))
+                j = self.scratch.save(halves.join(judged, ["g", "u"]))
                 done = j.where("c > 1").select("u", "core", "ctx", F.col("reach_l").alias("l"), F.col("reach_r").alias("r"))
                 settled = done if settled is None else settled.unionByName(done)
                 left_over = j.where((F.col("m") > 1) & (F.struct("core", "ctx") == F.col("one")))
