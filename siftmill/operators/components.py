@@ -23,12 +23,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     # each edge once, larger end first
     cur = scratch.save(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
+    minima: list[DataFrame] = []
+
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         # pairs (u, v) with u > v.  large: neighbours above a node go to the node's minimum;
         # small: a node and its neighbours below go to that minimum.
         both = pairs.union(pairs.select(F.col("v"), F.col("u"))) if large else pairs
         m = both.groupBy("u").agg(F.min("v").alias("m"))
-        m = m.withColumn("m", F.least("u", "m"))
+        # written first, so that the join reads two tables and AQE can split a node with very many neighbours
+        m = scratch.save(m.withColumn("m", F.least("u", "m")))
+        minima.append(m)
         j = both.join(m, "u")
         if large:
             out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -39,7 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         big = scratch.save(star(cur, True))
         nxt = scratch.save(star(big, False))
-        scratch.drop(big)
+        scratch.drop(big, *minima)
+        minima.clear()
         # done when the edges are stars: no node is both a child and a parent, and no child has two parents
         ends = nxt.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(nxt.select("v", F.lit(0), F.lit(1)))
         open_ = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").limit(1).count()
