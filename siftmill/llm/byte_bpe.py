@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from siftmill.llm import bytetext as bt
 
 #: Pieces kept per worker; the cache is emptied before it grows further. Longer pieces are encoded but never kept.
-CACHE_PIECES, CACHE_PIECE_CHARS = 200_000, 64
+CACHE_PIECES, CACHE_PIECE_CHARS = 400_000, 64
 
 
 def byte_chars() -> dict[int, str]:
@@ -82,32 +82,29 @@ class Codec:
         self.names = [str(i) for i in range(len(self.tokens))]
         self.split = regex.compile(pattern).findall
         self.ids_of: dict[str, tuple[int, ...]] = {}
-        self.text_of: dict[str, str] = {}
 
     def _learn(self, pieces: set[str]) -> None:
         """Encodes pieces that are not in the cache."""
         # printable ASCII stands for itself, but for the space
-        space, names, todo = self.table[0x20], self.names, list(pieces)
+        space, todo = self.table[0x20], list(pieces)
         as_chars = [p.replace(" ", space) if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self.table) for p in todo]
         for p, e in zip(todo, self.model.encode_batch_fast(as_chars, add_special_tokens=False), strict=True):
-            ids = tuple(e.ids)
-            self.ids_of[p] = ids
-            self.text_of[p] = " ".join([names[i] for i in ids])
+            self.ids_of[p] = tuple(e.ids)
 
     def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """(ids, ids as text joined by spaces) of each text. The cache holds CACHE_PIECES pieces and those of the texts at hand."""
         if len(self.ids_of) > CACHE_PIECES:
             self.ids_of.clear()
-            self.text_of.clear()
         found = [self.split(t) for t in texts]
         missing = set().union(*found) - self.ids_of.keys()
         self._learn(missing)
-        ids_of, text_of = self.ids_of.__getitem__, self.text_of.__getitem__
+        ids_of, name = self.ids_of.__getitem__, self.names.__getitem__
         for f in found:
-            yield list(chain.from_iterable(map(ids_of, f))), " ".join(map(text_of, f))
+            ids = list(chain.from_iterable(map(ids_of, f)))
+            yield ids, " ".join(map(name, ids))
         for p in missing:
             if len(p) > CACHE_PIECE_CHARS:
-                del self.ids_of[p], self.text_of[p]
+                del self.ids_of[p]
 
     def encode(self, text: str) -> list[int]:
         return next(iter(list(self.encode_all([text]))))[0]

@@ -287,23 +287,29 @@ class Repeats:
             for b in batches:
                 for at in range(0, b.num_rows, 200):
                     part = b.slice(at, 200)
-                    row, cols = [], [[], [], [], [], []]
+                    row, cols = [], [[], [], [], [], [], []]
                     for i, t in enumerate(bt.texts(part.column("text"))):
                         if t is None or len(t) < min_len:
                             continue
                         buf = bt.as_array(t)
                         pos, core = anchors(buf, min_len)
                         _, right, ctx = contexts(buf, pos, min_len)
-                        row.append(np.full(len(pos), i))
-                        for c, x in zip(cols, (np.full(len(pos), _text_hash(t)), pos, right.astype(np.int32), core.view(np.int64), ctx.view(np.int64)), strict=True):
+                        # one row per context of a text: bytes that repeat with a short period have an anchor in every period
+                        order = np.lexsort((pos, ctx, core))
+                        fresh = np.flatnonzero(np.concatenate(([True], (np.diff(core[order]) != 0) | (np.diff(ctx[order]) != 0))))
+                        at = order[fresh]
+                        row.append(np.full(len(at), i))
+                        for c, x in zip(cols, (np.full(len(at), _text_hash(t)), pos[order], right[at].astype(np.int32), core[at].view(np.int64), ctx[at].view(np.int64), np.diff([*fresh, len(pos)])), strict=True):
                             c.append(x)
                     if row:
                         ids = part.column("id").take(pa.array(np.concatenate(row)))
-                        yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(c)) for c in cols)], names)
+                        th, pos, rt, core, ctx, size = (np.concatenate(c) for c in cols)
+                        pos = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(pos, pa.int64()))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(th), pos, pa.array(rt), pa.array(core), pa.array(ctx)], names)
 
-        spots = self.scratch.save(self.src.mapInArrow(run, f"id {self.kind}, th long, pos long, rt int, core long, ctx long"))
-        cores = spots.groupBy("core").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
-        #: Anchors whose core occurs again. Not `mixed`: all of its contexts are equal, so all of them repeat whole.
+        spots = self.scratch.save(self.src.mapInArrow(run, f"id {self.kind}, th long, pos array<bigint>, rt int, core long, ctx long"))
+        cores = spots.groupBy("core").agg(F.sum(F.size("pos")).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
+        #: Contexts of texts whose core occurs again, with the positions of their anchors. Not `mixed`: all of its contexts are equal, so all of them repeat whole.
         # written first, so that the join reads two tables and AQE can split a hot core
         cores = self.scratch.save(cores.select("core", (F.col("lo") != F.col("hi")).alias("mixed")))
         self.spots = self.scratch.save(spots.join(cores, "core"))
@@ -312,9 +318,9 @@ class Repeats:
 
     def _contexts(self) -> DataFrame:
         """(core, ctx, left, data, n): one row per class of equal contexts of mixed cores; n: how often it occurs."""
-        place = F.struct("id", "th", "pos", "rt")
+        place = F.struct("id", "th", F.col("pos")[0].alias("pos"), "rt")
         #: Classes: equal contexts of a core, with how often they occur.
-        self.classes = self.scratch.save(self.spots.where("mixed").groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("at")))
+        self.classes = self.scratch.save(self.spots.where("mixed").groupBy("core", "ctx").agg(F.sum(F.size("pos")).alias("n"), F.min(place).alias("at")))
         wanted = self.classes.select("at.id", "at.th", F.struct(F.col("at.pos").alias("pos"), F.col("at.rt").alias("rt"), "core", "ctx", "n").alias("s"))
         wanted = wanted.groupBy("id", "th").agg(F.collect_list("s").alias("spots"))  # bounded by a text's length
         w = wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"), "spots")
@@ -378,7 +384,7 @@ class Repeats:
         return work.mapInArrow(_scan(self.min_len, groups), schema), settled
 
     def reach(self) -> DataFrame:
-        """(id, th, start long, stop long): for every anchor in repeated bytes, the repeated bytes around it."""
+        """(id, th, spans array<struct<start, stop>>): for the anchors in repeated bytes, the repeated bytes around them."""
         found, settled = self._scanned(False)
         if settled is not None:
             found = found.unionByName(settled.drop("u"))
@@ -386,12 +392,15 @@ class Repeats:
         # a class of several occurrences repeats whole
         whole = self.classes.select("core", "ctx", (F.col("n") > 1).alias("whole"))
         found = self.scratch.save(whole.join(found, ["core", "ctx"], "left").where("whole OR r IS NOT NULL"))
-        left = F.least(F.col("pos"), F.lit(self.min_len - core_length(self.min_len)).cast("long"))
-        full = [(F.col("pos") - left).alias("start"), (F.col("pos") + F.col("rt")).alias("stop")]
+        left = F.lit(self.min_len - core_length(self.min_len)).cast("long")
+
+        def around(before, after):
+            return F.transform("pos", lambda p: F.struct((p - F.least(p, before)).alias("start"), (p + after).alias("stop")))
+
+        rt = F.col("rt").cast("long")
         mixed = self.spots.where("mixed").join(found, ["core", "ctx"])
-        start = F.when(F.col("whole"), F.col("pos") - left).otherwise(F.col("pos") - F.col("l"))
-        stop = F.when(F.col("whole"), F.col("pos") + F.col("rt")).otherwise(F.col("pos") + F.col("r"))
-        return self.spots.where("NOT mixed").select("id", "th", *full).unionByName(mixed.select("id", "th", start.alias("start"), stop.cast("long").alias("stop")))
+        spans = around(F.when(F.col("whole"), left).otherwise(F.col("l").cast("long")), F.when(F.col("whole"), rt).otherwise(F.col("r").cast("long")))
+        return self.spots.where("NOT mixed").select("id", "th", around(left, rt).alias("spans")).unionByName(mixed.select("id", "th", spans.alias("spans")))
 
     def groups(self) -> DataFrame:
         """(repeat string, length int, id, start long): maximal repeats of min_len bytes or more, with all occurrences.
@@ -401,14 +410,14 @@ class Repeats:
         GROUP_MAX different contexts, a repeat may be given in several parts, each with occurrences of its own.
         """
         found, settled = self._scanned(True)
-        place = self.spots.select("core", "ctx", "id", "pos", "rt")
+        place = self.spots.select("core", "ctx", "id", F.explode("pos").alias("pos"), "rt", "mixed")
         mixed = found.join(place, ["core", "ctx"]).select("repeat", "length", "id", (F.col("pos") - F.col("l")).alias("start"))
         # contexts that occur whole several times
         several = self.rows.where("n > 1").select(F.substr(F.sha2("data", 256), F.lit(1), F.lit(32)).alias("repeat"), F.octet_length("data").alias("length"), "core", "ctx", "left")
         mixed = mixed.unionByName(several.join(place, ["core", "ctx"]).select("repeat", "length", "id", (F.col("pos") - F.col("left")).alias("start")))
         # where all contexts of a core are equal they repeat whole, and nothing else does around it
         left = F.least(F.col("pos"), F.lit(self.min_len - core_length(self.min_len)).cast("long"))
-        whole = self.spots.where("NOT mixed").select(
+        whole = place.where("NOT mixed").select(
             F.format_string("%016x%016x", "core", "ctx").alias("repeat"), (left + F.col("rt")).cast("int").alias("length"), "id", (F.col("pos") - left).alias("start")
         )
         out = mixed.unionByName(whole)
@@ -425,7 +434,7 @@ class Repeats:
         a character, what is left of it goes too (the digest is of all remaining bytes).
         """
         reach = self.reach()
-        spans = reach.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # bounded by a text's length
+        spans = reach.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by a text's length
         s = spans.select(F.col("id").alias("sid"), F.col("th").alias("sth"), "spans")
         j = self._packed(carry).join(s, F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")), "left").select("id", "z", "spans", *["c"] * bool(carry))
 
