@@ -237,7 +237,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     sized = bits.select(F.col("id").alias("leader"), F.col("n").alias("nl"))
     star = lists.where("id <> leader").select(F.col("id"), "n", "leader").distinct().join(sized, "leader").where(fits("n", "nl"))
-    star = scratch.save(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    # distinct before the join, not after it: an aggregation by leader above the join would keep AQE from splitting a hot leader
+    star = scratch.save(star.select(F.col("leader").alias("a"), F.col("id").alias("b")))
     same = meta.where("id is not null").join(classes.select("key", "rep"), "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     # first each text with its smallest leader, then what is still apart
     links = scratch.save(same.unionByName(verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))))
