@@ -183,7 +183,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     scratch = Scratch(spark, "jaccard")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    seen = scratch.save(src.mapInArrow(_survey, f"kind tinyint, id {kind}, n long, key binary, bits binary, token long"), ["kind"])
+    seen = scratch.save(src.mapInArrow(bt.tidied(_survey), f"kind tinyint, id {kind}, n long, key binary, bits binary, token long"), ["kind"])
     meta = seen.where("kind = 0").select("id", "n", "key", "bits")
 
     # frequent shingles last, the most frequent at the very end; a bounded list
@@ -212,7 +212,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "keys"])
 
     reps = scratch.save(classes.select(F.col("rep").alias("id")))
-    listed = scratch.save(src.mapInArrow(prefixes, f"id {kind}, n long, keys array<bigint>").join(reps, "id", "left_semi"))
+    listed = scratch.save(src.mapInArrow(bt.tidied(prefixes), f"id {kind}, n long, keys array<bigint>").join(reps, "id", "left_semi"))
     scratch.release()
     postings = listed.select("id", "n", F.explode("keys").alias("k"))
     lists = postings.groupBy("k").agg(F.count("*").alias("m"), F.min("id").alias("leader")).where("m > 1")
@@ -281,7 +281,7 @@ def _long_lists(members: DataFrame, bits: DataFrame, percent: int, kind: str) ->
                 x, y = rows.column("id").take(pa.array(i)), rows.column("id").take(pa.array(j))
                 yield pa.RecordBatch.from_arrays([pc.min_element_wise(x, y), pc.max_element_wise(x, y)], ["a", "b"])
 
-    return x.withColumn("component", code).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return x.withColumn("component", code).mapInArrow(bt.tidied(run), f"a {kind}, b {kind}").distinct()
 
 
 def close_pairs(n: np.ndarray, part: np.ndarray, component: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,7 +336,7 @@ def _packed(src: DataFrame, kind: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([z.compress(t or b"") for t in bt.texts(b.column("text"))], pa.binary())], ["id", "z"])
 
-    return src.mapInArrow(run, f"id {kind}, z binary")
+    return src.mapInArrow(bt.tidied(run), f"id {kind}, z binary")
 
 
 def _by_bitmap(percent: int):

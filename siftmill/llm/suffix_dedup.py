@@ -31,7 +31,7 @@ from siftmill.plans.scratch import Scratch
 MIN_LEN = 400
 CORE_SHARE = 4  # the core has a quarter of min_len
 #: Contexts (of less than 2 * min_len bytes) that one suffix array may hold.
-GROUP_MAX = 3000
+GROUP_MAX = 1000
 _STEP = 1 << 19
 
 
@@ -277,7 +277,7 @@ class Repeats:
                 t = [x or b"" for x in bt.texts(b.column("text"))]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_text_hash(x) for x in t], pa.int64()), pa.array([z.compress(x) for x in t], pa.binary()), *([b.column("c")] if carry else [])], ["id", "th", "z"] + ["c"] * bool(carry))
 
-        return src.mapInArrow(run, f"id {self.kind}, th long, z binary" + (f", c {src.schema['c'].dataType.simpleString()}" if carry else ""))
+        return src.mapInArrow(bt.tidied(run), f"id {self.kind}, th long, z binary" + (f", c {src.schema['c'].dataType.simpleString()}" if carry else ""))
 
     def _sample(self) -> None:
         min_len = self.min_len
@@ -307,7 +307,7 @@ class Repeats:
                         pos = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(pos, pa.int64()))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(th), pos, pa.array(rt), pa.array(core), pa.array(ctx)], names)
 
-        spots = self.scratch.save(self.src.mapInArrow(run, f"id {self.kind}, th long, pos array<bigint>, rt int, core long, ctx long"))
+        spots = self.scratch.save(self.src.mapInArrow(bt.tidied(run), f"id {self.kind}, th long, pos array<bigint>, rt int, core long, ctx long"))
         cores = spots.groupBy("core").agg(F.sum(F.size("pos")).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
         #: Contexts of texts whose core occurs again, with the positions of their anchors. Not `mixed`: all of its contexts are equal, so all of them repeat whole.
         # written first, so that the join reads two tables and AQE can split a hot core
@@ -346,7 +346,7 @@ class Repeats:
                         )
 
         # repeated rows of one text give a class's context once each
-        return j.mapInArrow(run, "core long, ctx long, left int, data binary, n long").dropDuplicates(["core", "ctx"])
+        return j.mapInArrow(bt.tidied(run), "core long, ctx long, left int, data binary, n long").dropDuplicates(["core", "ctx"])
 
     def _scanned(self, groups: bool) -> tuple[DataFrame, DataFrame | None]:
         """The scan of all groups, and the reach (core, ctx, l, r) that dividing large groups has settled by counting."""
@@ -362,7 +362,7 @@ class Repeats:
             hot = self.scratch.save(hot)
             while hot.limit(1).count():
                 cols = "g long, o1 int, o2 int, u long, reach_l int, reach_r int, core long, ctx long, left int, data binary, n long"
-                halves = self.scratch.save(hot.mapInArrow(_halves(self.min_len), cols))
+                halves = self.scratch.save(hot.mapInArrow(bt.tidied(_halves(self.min_len)), cols))
                 same = halves.groupBy("g", "u").agg(F.count("*").alias("c"), F.min(F.struct("core", "ctx")).alias("one"))
                 same = self.scratch.save(same)
                 kinds = same.groupBy("g").agg(F.count("*").alias("m"))
@@ -381,7 +381,7 @@ class Repeats:
             work = work.unionByName(p)
         # a group of one context has nothing to compare
         work = work.repartition("g").sortWithinPartitions("g")
-        return work.mapInArrow(_scan(self.min_len, groups), schema), settled
+        return work.mapInArrow(bt.tidied(_scan(self.min_len, groups)), schema), settled
 
     def reach(self) -> DataFrame:
         """(id, th, spans array<struct<start, stop>>): for the anchors in repeated bytes, the repeated bytes around them."""
@@ -444,8 +444,8 @@ class Repeats:
             z = zstandard.ZstdDecompressor()
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text + ["c"] * bool(carry)
             for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    part = b.slice(at, 500)
+                for at in range(0, b.num_rows, 100):
+                    part = b.slice(at, 100)
                     n, gone, runs, sha, kept = [], [], [], [], []
                     for text, spans in zip(part.column("z"), part.column("spans"), strict=True):
                         data = z.decompress(text.as_py())
@@ -461,14 +461,15 @@ class Repeats:
                         gone.append(len(data) - len(left))
                         runs.append(count)
                         sha.append(hashlib.sha256(left).hexdigest())
-                        kept.append(left.decode("utf-8", "ignore"))
+                        if with_text:
+                            kept.append(left.decode("utf-8", "ignore"))
                     cols = [part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())]
                     yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * with_text + ([part.column("c")] if carry else []), names)
 
         schema = f"id {self.kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
         if carry:
             schema += f", c {j.schema['c'].dataType.simpleString()}"
-        return j.mapInArrow(run, schema).withColumnRenamed("id", self.id_col)
+        return j.mapInArrow(bt.tidied(run), schema).withColumnRenamed("id", self.id_col)
 
 
 def _text_hash(data: bytes) -> int:
