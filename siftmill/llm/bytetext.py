@@ -8,7 +8,6 @@ depend on the bytes of a span only, never on where it stands.
 
 from __future__ import annotations
 
-
 import ctypes
 from collections.abc import Callable, Iterator
 
