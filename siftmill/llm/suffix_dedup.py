@@ -31,7 +31,7 @@ from siftmill.plans.scratch import Scratch
 MIN_LEN = 400
 CORE_SHARE = 4  # the core has a quarter of min_len
 #: Contexts (of less than 2 * min_len bytes) that one suffix array may hold.
-GROUP_MAX = 1000
+GROUP_MAX = 3000
 _STEP = 1 << 19
 
 
