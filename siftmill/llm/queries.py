@@ -108,4 +108,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op4_suffix_dedup, op5_warc_fixity, op6_ngram_jaccard, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe)}
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents grouped by links of Jaccard 0.8 or more over five-word shingles: every link counts, and each is verified.
+
+    The name is kept from the time when 52-bit SimHashes decided. Texts without words are groups of their own.
+    """
+    return jaccard.join(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("item_id"), F.col("component_id").alias("group_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op4_suffix_dedup, op5_warc_fixity, op6_ngram_jaccard, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe, simhash_groups)}

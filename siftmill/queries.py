@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.functions import hashing, language, ocr, pixels, rules, titles, uris
-from siftmill.operators import catalog, components, dedup, fingerprint, grouping, joins, metrics, prune, ranking, similarity
+from siftmill.operators import catalog, components, dedup, grouping, joins, metrics, prune, ranking, similarity
 from siftmill.plans import cascade, workflows
-from siftmill.plans.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,17 +133,6 @@ def customer_components(spark, sf_dir):
     return components.connected_components(_user_edges(spark, sf_dir))
 
 
-@query()
-def simhash_groups(spark, sf_dir):
-    """Documents grouped by SimHash within three bits: near copies of texts by the Hamming machinery."""
-    fp = fingerprint.simhash(read(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("id"), F.array("simhash").alias("chunks"))
-    fp = Scratch(spark, "simhash").save(fp)
-    classes = fp.groupBy("chunks").agg(F.min("id").alias("rep"))
-    near = similarity.hamming_join(classes, classes, 3, 52, "rep").where("l < r").select(F.col("l").alias("a"), F.col("r").alias("b"))
-    same = fp.join(classes, "chunks").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    return grouping.similarity_groups(fp, near.unionByName(same))
-
-
 @query()
 def star_groups(spark, sf_dir):
     """Greedy stars over names of parts within 18 bits."""
