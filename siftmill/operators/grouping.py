@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.operators.components import connected_components
+from siftmill.plans.scratch import Scratch
 
 
 def similarity_groups(items: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFrame:
@@ -61,14 +62,32 @@ def two_stage_groups(items: DataFrame, blocks: DataFrame, fine_pairs: DataFrame,
     return similarity_groups(items, fine_pairs.join(a, "a").join(b, "b").where("ga = gb").select("a", "b"), id_col)
 
 
-def density_clusters(items: DataFrame, pairs: DataFrame, id_col: str = "id", min_samples: int = 2) -> DataFrame:
+def by_class(items: DataFrame, key: str, group, id_col: str = "id") -> DataFrame:
+    """Groups of rows, from those of their classes: rows of one `key` are one class, named by its smallest id.
+
+    `group` takes the classes (id, key, n = rows) and returns (item_id, ...); each row gets what its class got. Right where
+    equal rows are partners, as then a class is never divided: its rows have the same partners, and an order by id meets its first row first.
+    """
+    classes = Scratch(items.sparkSession, "classes").save(items.groupBy(key).agg(F.min(id_col).alias("id"), F.count("*").alias("n")))
+    member = items.join(classes.select(key, F.col("id").alias("_rep")), key).select(F.col(id_col).alias("_id"), "_rep")
+    found = group(classes).withColumnRenamed("item_id", "_rep")
+    return member.join(found, "_rep").drop("_rep").withColumnRenamed("_id", "item_id")
+
+
+def density_clusters(items: DataFrame, pairs: DataFrame, id_col: str = "id", min_samples: int = 2, n_col: str | None = None) -> DataFrame:
     """(item_id, label): density clustering over the pairs' graph.
 
     An item with at least min_samples - 1 partners is a core; connected cores make a cluster, labelled by its smallest core; other
-    items take their smallest core partner's label; the rest is noise, label null here and -1 in `labelled`.
+    items take their smallest core partner's label; the rest is noise, label null here and -1 in `labelled`. With `n_col` an item
+    stands for that many equal ones, which are partners of each other.
     """
     e = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("x", "y").distinct()
-    core = e.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples - 1).select("x")
+    if n_col is None:
+        core = e.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples - 1).select("x")
+    else:
+        size = items.select(F.col(id_col).alias("y"), F.col(n_col).alias("n"))
+        met = e.join(size, "y").select("x", "n").unionByName(size.select(F.col("y").alias("x"), (F.col("n") - 1).alias("n")))
+        core = met.groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples - 1).select("x")
     among = e.join(core, "x", "left_semi").join(core.withColumnRenamed("x", "y"), "y", "left_semi")
     comp = similarity_groups(core.withColumnRenamed("x", "id"), among.select(F.col("x").alias("a"), F.col("y").alias("b")))
     border = e.join(core, "x", "left_anti").join(comp.withColumnRenamed("item_id", "y"), "y").groupBy(F.col("x").alias("item_id")).agg(F.min("group_id").alias("group_id"))

@@ -22,6 +22,22 @@ def all_pairs(items: DataFrame, distance, id_col: str = "id", keep: tuple[str, .
     return side("a").join(side("b"), F.col("a") < F.col("b")).withColumn("distance", distance("a_", "b_"))
 
 
+def class_pairs(items: DataFrame, distance, key: str, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., distance, n): how many pairs of rows have each distance, over all pairs of rows.
+
+    Rows of one `key` are a class that is compared once; a pair of classes counts for the product of their sizes, and a class
+    for the pairs within it, at distance 0. Quadratic in classes, not in rows. `distance` is as in `all_pairs`, of the keys.
+    """
+    classes = items.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.count(id_col).alias("m"))
+    a, b = (classes.select(*[F.col(c).alias(f"{p}_{c}") for c in (*by, key, "m")]) for p in "ab")
+    on = F.col(f"a_{key}") < F.col(f"b_{key}")
+    for c in by:
+        on = on & (F.col(f"a_{c}") == F.col(f"b_{c}"))
+    across = a.join(b, on).select(*[F.col(f"a_{c}").alias(c) for c in by], distance("a_", "b_").alias("distance"), (F.col("a_m") * F.col("b_m")).alias("n"))
+    within = classes.where("m > 1").select(*by, F.lit(0).alias("distance"), F.expr("m * (m - 1) div 2").alias("n"))
+    return across.unionByName(within).where("distance IS NOT NULL").groupBy(*by, "distance").agg(F.sum("n").alias("n"))
+
+
 def band_plan(bits: int, threshold: int, min_width: int = 12) -> tuple[list[tuple[int, int]], int]:
     """([(start, width)...], flips): hashes within `threshold` agree on one of the bands up to `flips` bits.
 
@@ -131,6 +147,17 @@ def distance_stats(pairs: DataFrame, by: tuple[str, ...] = (), distance_col: str
     )
 
 
+def counted_stats(counts: DataFrame, by: tuple[str, ...] = (), distance_col: str = "distance", n_col: str = "n") -> DataFrame:
+    """As `distance_stats`, of rows (distance, n) that stand for n pairs each."""
+    d, n = F.col(distance_col), F.col(n_col)
+    mean = F.sum(d * n) / F.sum(n)
+    return counts.groupBy(*by).agg(
+        F.sum(n).alias("n_pairs"), mean.alias("avg_distance"), F.min(d).alias("min_distance"), F.max(d).alias("max_distance"),
+        F.expr(f"percentile({distance_col}, 0.5, {n_col})").alias("median_distance"),
+        F.sqrt(F.greatest(F.sum(d * d * n) / F.sum(n) - mean * mean, F.lit(0.0))).alias("std_distance"),
+    )
+
+
 def match_rates(pairs: DataFrame, thresholds: tuple[int, ...] = (2, 5, 8, 10, 12, 15, 20), by: tuple[str, ...] = (), distance_col: str = "distance") -> DataFrame:
     """(by..., threshold, matches, rate): one aggregation for all thresholds, then unpivoted."""
     d = F.col(distance_col)

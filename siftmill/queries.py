@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftmill.functions import hashing, language, ocr, pixels, rules, titles, uris
 from siftmill.operators import catalog, components, dedup, grouping, joins, metrics, prune, ranking, similarity
 from siftmill.plans import cascade, workflows
+from siftmill.plans.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,7 +51,7 @@ def survivors(spark, sf_dir):
 
 
 def _fingerprints(spark, sf_dir) -> DataFrame:
-    """Names of parts as 52-bit fingerprints, each name once: a set whose full distance table is small at every scale."""
+    """Names of parts as 52-bit fingerprints, each name once, as the SQL has them. The queries named ..._rows take every part."""
     names = read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("id")).distinct()
     return names.withColumn("h", F.substr(F.md5("id"), F.lit(1), F.lit(13))).withColumn("chunks", hashing.hex_chunks(F.col("h"), 13))
 
@@ -94,10 +95,7 @@ r AS (SELECT c_mktsegment || s AS uri, ('0x' || substr(md5(c_mktsegment || s), 1
 m AS (SELECT id, uri, bit_count(xor(h.v, r.v))::INT AS d FROM h, r)
 SELECT id, min(uri) AS ref_uri, d AS distance FROM m WHERE d <= 18 AND d = (SELECT min(d) FROM m x WHERE x.id = m.id) GROUP BY id, d""")
 def reference_match(spark, sf_dir):
-    seg = read(spark, sf_dir, "customer").select("c_mktsegment").distinct()
-    flags = read(spark, sf_dir, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("s")).distinct()
-    ref = seg.join(flags, F.lit(True)).select(F.concat("c_mktsegment", "s").alias("uri"))
-    ref = ref.withColumn("chunks", hashing.hex_chunks(F.substr(F.md5("uri"), F.lit(1), F.lit(13)), 13))
+    ref = _reference(spark, sf_dir)
     return similarity.reference_match(_fingerprints(spark, sf_dir).withColumn("uri", F.col("id")), ref, 18, 52)
 
 
@@ -133,18 +131,80 @@ def customer_components(spark, sf_dir):
     return components.connected_components(_user_edges(spark, sf_dir))
 
 
+def _row_fingerprints(spark, sf_dir) -> DataFrame:
+    """Every part by its key, with the fingerprint of its name: copies and large groups of equal fingerprints are in."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.md5(F.concat_ws(" ", "p_name", "p_type")).alias("m"))
+    return part.withColumn("h", F.substr("m", F.lit(1), F.lit(13))).withColumn("chunks", hashing.hex_chunks(F.col("h"), 13))
+
+
+def _row_distances(spark, sf_dir) -> DataFrame:
+    """(distance, n) over all pairs of parts."""
+    return similarity.class_pairs(_row_fingerprints(spark, sf_dir), lambda a, b: hashing.hamming(F.col(a + "h"), F.col(b + "h"), 13), "h")
+
+
+@query()
+def hamming_pairs_rows(spark, sf_dir):
+    """Pairs of parts within 16 bits, copies too: the result itself grows with the square of a group of equal names."""
+    return similarity.hamming_pairs(_row_fingerprints(spark, sf_dir), 16, 52)
+
+
+@query()
+def hamming_stats_rows(spark, sf_dir):
+    x = similarity.counted_stats(_row_distances(spark, sf_dir))
+    return x.withColumn("avg_distance", F.round("avg_distance", 6)).withColumn("std_distance", F.round("std_distance", 6))
+
+
+@query()
+def match_rate_curve_rows(spark, sf_dir):
+    d, n = F.col("distance"), F.col("n")
+    limits = (2, 5, 8, 10, 12, 15, 20)
+    one = _row_distances(spark, sf_dir).agg(F.sum(n).alias("all"), *[F.sum(F.when(d <= t, n).otherwise(0)).alias(f"t{t}") for t in limits])
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{t}").alias("matches")) for t in limits])).alias("r")
+    return one.select("all", rows).select("r.threshold", "r.matches", F.round(F.col("r.matches") / F.col("all"), 9).alias("rate"))
+
+
+@query()
+def distance_histogram_rows(spark, sf_dir):
+    b = F.least(F.floor(F.col("distance") / (52 / 30)), F.lit(29)).cast("int")
+    return _row_distances(spark, sf_dir).groupBy(b.alias("bin")).agg(F.sum("n").alias("n"))
+
+
+def _reference(spark, sf_dir) -> DataFrame:
+    seg = read(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    flags = read(spark, sf_dir, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("s")).distinct()
+    ref = seg.join(flags, F.lit(True)).select(F.concat("c_mktsegment", "s").alias("uri"))
+    return ref.withColumn("chunks", hashing.hex_chunks(F.substr(F.md5("uri"), F.lit(1), F.lit(13)), 13))
+
+
+@query()
+def reference_match_rows(spark, sf_dir):
+    items = _row_fingerprints(spark, sf_dir).withColumn("uri", F.col("id").cast("string"))
+    return similarity.reference_match(items, _reference(spark, sf_dir), 18, 52)
+
+
+@query()
+def hash_size_benchmark_rows(spark, sf_dir):
+    sizes = F.explode(F.array(F.lit(4), F.lit(10)))
+    h = _row_fingerprints(spark, sf_dir).select("id", "m", sizes.alias("hash_size")).withColumn("hash", F.substr("m", F.lit(1), F.col("hash_size")))
+    counts = similarity.class_pairs(h, lambda a, b: hashing.hamming_any(F.col(a + "hash"), F.col(b + "hash")), "hash", by=("hash_size",))
+    x = similarity.counted_stats(counts, ("hash_size",)).withColumn("suggested_threshold", F.greatest(F.lit(1), F.floor(F.col("avg_distance") * 0.3).cast("int")))
+    return x.withColumn("avg_distance", F.round("avg_distance", 6)).withColumn("std_distance", F.round("std_distance", 6))
+
+
 @query()
 def star_groups(spark, sf_dir):
-    """Greedy stars over names of parts within 18 bits."""
-    fp = _fingerprints(spark, sf_dir)
-    return grouping.star_groups(fp, similarity.hamming_pairs(fp, 18, 52))
+    """Greedy stars over parts within 18 bits."""
+    save = Scratch(spark, "star_groups").save
+    stars = lambda c: save(grouping.star_groups(c, save(similarity.hamming_pairs(c, 18, 52))))
+    return grouping.by_class(_row_fingerprints(spark, sf_dir), "chunks", stars)
 
 
 @query()
 def density_clusters(spark, sf_dir):
-    """Clusters of the same names by their fingerprints, numbered by fingerprint; noise is -1."""
-    fp = _fingerprints(spark, sf_dir).withColumn("id", F.col("chunks")[0])
-    return grouping.labelled(grouping.density_clusters(fp, similarity.hamming_pairs(fp, 16, 52), min_samples=3))
+    """Clusters of parts by their names' fingerprints, numbered by their smallest core part; noise is -1."""
+    save = Scratch(spark, "density_clusters").save
+    cluster = lambda c: save(grouping.density_clusters(c, save(similarity.hamming_pairs(c, 16, 52)), min_samples=3, n_col="n"))
+    return grouping.labelled(grouping.by_class(_row_fingerprints(spark, sf_dir), "chunks", cluster))
 
 
 @query("""WITH s AS (SELECT vec_id, label, embedding FROM embeddings),
