@@ -134,29 +134,146 @@ def ssim_of(x: np.ndarray, y: np.ndarray, side: int = 128) -> float:
     return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
 
 
-def text_scores_of(x: np.ndarray) -> dict:
-    """Scores of how much an image looks like a page of text: lines, periodicity, edges, colours, and their weighted total."""
-    g = _gray(x)
+def _luma8(x: np.ndarray) -> np.ndarray:
+    """8-bit luma of BGR, in the usual fixed-point weights."""
+    b, g, r = (x[:, :, i].astype(np.int64) for i in range(3))
+    return ((3735 * b + 19235 * g + 9798 * r + (1 << 14)) >> 15).astype(np.uint8)
+
+
+def _adaptive_dark(g: np.ndarray, block: int = 11, c: int = 2) -> np.ndarray:
+    """Pixels at least `c` below the Gaussian mean of their block; edges are replicated."""
+    half = block // 2
+    sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+    k = np.exp(-((np.arange(block) - half) ** 2) / (2 * sigma**2))
+    k /= k.sum()
     h, w = g.shape
-    dark = g < g.mean() - g.std() * 0.5
-    rows = dark.mean(1) > 0.02
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], rows.astype(np.int8), [0]))))
-    lines = [(a, b) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a < 0.1 * h and w / max(b - a, 1) > 2.5 and (b - a) * w > 0.0005 * h * w]
-    gaps = np.array([b[0] - a[1] for a, b in zip(lines, lines[1:], strict=False)], float)
-    uniform = 1 - min(1.0, gaps.var() / gaps.mean() ** 2) if len(gaps) and gaps.mean() > 0 else 0.0
-    n = len(lines)
-    line = 1.0 if n >= 5 and uniform > 0.7 else 0.7 if n >= 3 and uniform > 0.5 else 0.3 if n >= 2 else 0.0
-    spectrum = np.abs(np.fft.rfft(g.mean(1) - g.mean()))
-    pattern = float(min(1.0, spectrum[2:].max() / (spectrum.sum() + 1e-9) * 2)) if len(spectrum) > 3 else 0.0
-    gx, gy = _sobel(g) if min(h, w) > 1 else (np.zeros_like(g), np.zeros_like(g))
-    strong = np.hypot(gx, gy) > 100
-    density = float(strong.mean())
-    edges = 1.0 if 0.05 <= density <= 0.3 else density / 0.05 if density < 0.05 else max(0.0, 1 - (density - 0.3) / 0.3)
-    hist = np.histogram(g, bins=32, range=(0, 256))[0] / g.size
-    colour = float(np.sort(hist)[-2:].sum())
-    coverage = sum(b - a for a, b in lines) / h
-    total = 0.8 * line + pattern + 0.8 * edges + 1.4 * colour + min(0.4, 0.5 * coverage)
-    return {"line_score": float(line), "pattern_score": pattern, "edge_score": float(edges), "color_score": colour, "total": float(total)}
+    p = np.pad(g.astype(np.float64), half, mode="edge")
+    rows = sum(k[i] * p[i : i + h] for i in range(block))
+    mean = np.rint(sum(k[i] * rows[:, i : i + w] for i in range(block)))
+    return g.astype(np.int64) - mean <= -c
+
+
+def _dilate(m: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    h, w = m.shape
+    p = np.pad(m, ((rows // 2, rows // 2), (0, 0)))
+    m = np.logical_or.reduce([p[i : i + h] for i in range(rows)])
+    p = np.pad(m, ((0, 0), (cols // 2, cols // 2)))
+    return np.logical_or.reduce([p[:, i : i + w] for i in range(cols)])
+
+
+def _labels(m: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(runs (row, start, end), component of each run) of the set pixels, by runs of rows."""
+    d = np.diff(np.pad(m, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (r, s), e = np.nonzero(d == 1), np.nonzero(d == -1)[1]
+    root = list(range(len(r)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first = np.searchsorted(r, np.arange(m.shape[0] + 1))
+    reach = 1 if diagonal else 0
+    for y in range(1, m.shape[0]):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if s[i] < e[j] + reach and s[j] < e[i] + reach:
+                x, z = find(i), find(j)
+                root[max(x, z)] = min(x, z)
+            if e[i] < e[j]:
+                i += 1
+            else:
+                j += 1
+    return np.stack([r, s, e], 1), np.array([find(i) for i in range(len(root))], np.int64)
+
+
+def _outer_boxes(m: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(y, h, x, w) of 8-connected regions that lie in no hole of another, as external contours are."""
+    p = np.pad(m, 1)
+    back, of = _labels(~p, False)
+    outside = np.zeros(p.shape, bool)
+    for y, a, b in back[of == of[0]]:  # the padding is the first run
+        outside[y, a:b] = True
+    runs, of = _labels(p, True)
+    near = _dilate(outside, 3, 1) | _dilate(outside, 1, 3)
+    if not len(runs):
+        return []
+    y, a, b = runs[np.argsort(of, kind="stable")].T
+    start = np.flatnonzero(np.diff(np.sort(of), prepend=-1))
+    met = np.pad(np.cumsum(near, axis=1), ((0, 0), (1, 0)))
+    seen = np.logical_or.reduceat(met[y, b] > met[y, a], start)
+    top, left = np.minimum.reduceat(y, start), np.minimum.reduceat(a, start)
+    boxes = np.stack([top - 1, np.maximum.reduceat(y, start) - top + 1, left - 1, np.maximum.reduceat(b, start) - left], 1)
+    return [tuple(x) for x in boxes[seen].tolist()]
+
+
+def _text_lines(g: np.ndarray) -> tuple[float, int, float, float]:
+    """(score, lines, uniformity, coverage): wide and low regions of joined dark pixels, and how even their gaps are."""
+    height, width = g.shape
+    boxes = _outer_boxes(_dilate(_adaptive_dark(g), 3, 15))
+    lines = sorted(((y, h) for y, h, _, w in boxes if w * h > height * width * 0.0005 and w / h > 2.5 and h < height * 0.1), key=lambda b: b[0])
+    n, uniform, coverage = len(lines), 0.0, 0.0
+    if n >= 3:
+        gaps = [q[0] - p[0] - p[1] for p, q in zip(lines, lines[1:], strict=False)]
+        gaps = np.array([x for x in gaps if x > 0], float)
+        coverage = sum(h for _, h in lines) / height
+        if len(gaps):
+            uniform = 1 - min(1.0, float(gaps.var() / gaps.mean() ** 2))
+    return (1.0 if n >= 5 and uniform > 0.7 else 0.7 if n >= 3 and uniform > 0.5 else 0.3 if n >= 2 else 0.0), n, uniform, coverage
+
+
+def _frequency_score(g: np.ndarray) -> float:
+    """By the ratio of peaks of the 2-D spectrum's horizontal and vertical profiles."""
+    h, w = g.shape
+    m = 20 * np.log(np.abs(np.fft.fftshift(np.fft.fft2(g))) + 1)
+    low, high = m.min(), m.max()
+    m = np.rint((m - low) * (255 / (high - low))) if high - low > np.finfo(float).eps else np.zeros_like(m)
+    across = m[h // 2 - h // 6 : h // 2 + h // 6].sum(0)
+    down = m[:, w // 2 - w // 6 : w // 2 + w // 6].sum(1)
+    ratio = (across > across.mean() * 1.5).sum() / max(1, (down > down.mean() * 1.5).sum())
+    return 1.0 if ratio > 1.8 else 0.7 if ratio > 1.4 else 0.3 if ratio > 1.1 else 0.0
+
+
+def _edge_score(g: np.ndarray) -> float:
+    """By the ratio of strong gradients that point up or down to those that point right, and their density."""
+    gx, gy = _sobel(g.astype(np.float64))
+    size, angle = np.hypot(gx, gy), np.degrees(np.arctan2(gy, gx))
+    strong = size > size.mean() * 1.2
+    horizontal = int(((np.abs(angle) < 20) & strong).sum())
+    vertical = int(((np.abs(angle) > 70) & (np.abs(angle) < 110) & strong).sum())
+    ratio, density = vertical / max(1, horizontal), (vertical + horizontal) / g.size
+    return 1.0 if ratio > 1.8 and density > 0.05 else 0.7 if ratio > 1.5 and density > 0.03 else 0.3 if ratio > 1.2 else 0.0
+
+
+def _colour_score(x: np.ndarray, g: np.ndarray) -> float:
+    """By the number of histogram peaks of the channels and the contrast of the luma."""
+    peaks = 0
+    for i in range(3):
+        h = np.bincount(x[:, :, i].ravel() // 8, minlength=32).astype(np.float32)
+        h = (h - h.min()) / (h.max() - h.min()) if h.max() > h.min() else np.zeros(32)
+        peaks += int(((h[1:-1] > 0.3) & (h[1:-1] > h[:-2]) & (h[1:-1] > h[2:])).sum())
+    contrast = (int(g.max()) - int(g.min())) / 255
+    return 1.0 if peaks < 8 and contrast > 0.5 else 0.7 if peaks < 12 or contrast > 0.4 else 0.3 if peaks < 16 else 0.0
+
+
+def text_scores_of(x: np.ndarray) -> dict:
+    """Scores of how much an image looks like a page of text: lines, periodicity, edges, colours, and their weighted total.
+
+    All are 0 for an image that is not grayscale, white or black, or that has no lines. One channel counts as three equal ones.
+    """
+    none = dict.fromkeys(("line_score", "pattern_score", "edge_score", "color_score", "total"), 0.0)
+    kind = colour_stats_of(x)
+    if not any(kind[k] for k in ("is_grayscale", "is_white_image", "is_pure_white", "is_pure_black")):
+        return none
+    x = np.repeat(x, 3, axis=2) if x.shape[2] == 1 else x[:, :, :3]
+    g = _luma8(x)
+    line, n, uniform, coverage = _text_lines(g)
+    if line == 0:
+        return none
+    pattern, edges, colour = _frequency_score(g), _edge_score(g), _colour_score(x, g)
+    bonus = min(0.4, coverage * 0.5) if n >= 2 and uniform > 0.6 else 0.0
+    return {"line_score": line, "pattern_score": pattern, "edge_score": edges, "color_score": colour, "total": 0.8 * line + pattern + 0.8 * edges + 1.4 * colour + bonus}
 
 
 TEXT_SCORES = "line_score double, pattern_score double, edge_score double, color_score double, total double"
