@@ -654,12 +654,31 @@ def decision_union(spark, sf_dir):
 
 @query()
 def pixel_measures(spark, sf_dir):
-    """Hash, sharpness, colour and text measures of 8 x 8 gray pictures that the components of embeddings make."""
-    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.round((x + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int")), 2, "0"))
-    e = read(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.unhex(F.array_join(grey, "")).alias("d"))
-    args = (F.lit(8), F.lit(8), F.lit(1), F.col("d"))
-    x = e.select("vec_id", pixels.phash(*args, size=4).alias("phash"), pixels.sharpness(*args).alias("sharpness"), pixels.colour_stats(*args).alias("c"), pixels.text_scores(*args).alias("t"))
-    return x.select("vec_id", "phash", "sharpness", "c.*", "t.*")
+    """Measures of 64 x 64 pictures in three channels that embeddings make; null for vectors without 64 components.
+
+    A picture has up to eight lines of eight words on white; a line stands where the level of its first component is even. A word is 0 to 4 rows high and 8 pixels wide by its component, and its channels are
+    the levels of this component and the next two, so that lines, gaps and colours differ between rows.
+    """
+    level = F.transform("embedding", lambda x: F.least(F.greatest(F.round((x * 4 + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.when(F.size("embedding") == 64, level).alias("v"))
+    hexed = lambda i: F.lpad(F.hex(F.col("v")[i]), 2, "0")
+    words = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.repeat(F.concat(hexed(i), hexed((i + 1) % 64), hexed((i + 2) % 64)), F.lit(8)))
+    e = e.withColumn("w", F.when(F.col("v").isNotNull(), words))
+    white = "FF" * 24
+
+    def cell(i):  # 512 cells of 8 pixels; of the eight rows of a line, words stand on the third and up to three below
+        row = (i / 8).cast("int")
+        at = (row / 8).cast("int") * 8 + i % 8
+        inked = (F.col("v")[(row / 8).cast("int") * 8] % 2 == 0) & (row % 8 >= 2) & (row % 8 - 2 < F.col("v")[at] % 5)
+        return F.when(inked, F.col("w")[at]).otherwise(white)
+
+    e = e.select("vec_id", F.when(F.col("w").isNotNull(), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(511)), cell), ""))).alias("d"))
+    args = (F.lit(64), F.lit(64), F.lit(3), F.col("d"))
+    x = e.select(
+        "vec_id", pixels.phash(*args, size=4).alias("phash"), pixels.sharpness(*args).alias("sharpness"), pixels.colour_stats(*args).alias("c"), pixels.text_scores(*args).alias("t"),
+        pixels.sampled_kind(*args).alias("sampled_kind"), pixels.structure_vector(*args).alias("structure"),
+    )
+    return x.select("vec_id", "phash", "sharpness", "c.*", "t.*", "sampled_kind", "structure")
 
 
 @query()
