@@ -31,16 +31,16 @@ def _gray(x: np.ndarray) -> np.ndarray:
     return 0.299 * r + 0.587 * g + 0.114 * b
 
 
-def _resize(x: np.ndarray, n: int) -> np.ndarray:
-    """Area average to n x n."""
+def _resize(x: np.ndarray, n: int, m: int | None = None) -> np.ndarray:
+    """Area average to n x m, n x n without m."""
 
-    def weights(size: int) -> np.ndarray:
+    def weights(size: int, n: int) -> np.ndarray:
         edges = np.linspace(0, size, n + 1)
         cells = np.arange(size)
         cover = np.minimum(edges[1:, None], cells + 1) - np.maximum(edges[:-1, None], cells)
         return np.clip(cover, 0, 1) / (size / n)
 
-    return weights(x.shape[0]) @ x @ weights(x.shape[1]).T
+    return weights(x.shape[0], n) @ x @ weights(x.shape[1], m or n).T
 
 
 def _dct(n: int) -> np.ndarray:
@@ -118,9 +118,20 @@ def is_monochrome(score: Column, least: float = 0.85) -> Column:
 COLOUR_STATS = "is_grayscale boolean, is_white_image boolean, is_pure_white boolean, is_pure_black boolean, channel_std double, grayscale_score double, white_score double, black_score double, colorfulness double"
 
 
-def ssim_of(x: np.ndarray, y: np.ndarray, side: int = 128) -> float:
-    """Structural similarity of luma at side * side pixels, Gaussian window 11, sigma 1.5."""
-    a, b = _resize(_gray(x), side) / 255, _resize(_gray(y), side) / 255
+def ssim_of(x: np.ndarray, y: np.ndarray, side: int | None = None) -> float:
+    """Structural similarity of luma, Gaussian window 11, sigma 1.5.
+
+    At the images' own size, or the smaller height and width of the two, with zeros around (P63); with `side` at
+    side * side pixels and without an edge (V15 with 128).
+    """
+    a, b = _gray(x) / 255, _gray(y) / 255
+    if side is not None:
+        a, b = _resize(a, side), _resize(b, side)
+    else:
+        if a.shape != b.shape:
+            h, w = min(a.shape[0], b.shape[0]), min(a.shape[1], b.shape[1])
+            a, b = _resize(a, h, w), _resize(b, h, w)
+        a, b = np.pad(a, 5), np.pad(b, 5)
     k = np.exp(-((np.arange(11) - 5) ** 2) / (2 * 1.5**2))
     k /= k.sum()
 
