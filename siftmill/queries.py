@@ -11,6 +11,7 @@ from siftmill.functions import hashing, language, ocr, pixels, rules, titles, ur
 from siftmill.operators import catalog, components, dedup, grouping, joins, metrics, prune, ranking, similarity
 from siftmill.plans import cascade, workflows
 from siftmill.plans.scratch import Scratch
+from siftmill.sources import hash_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -434,6 +435,19 @@ def json_hash_parse(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", m["k"].try_cast("int").alias("k"))
 
 
+@query()
+def hash_texts_parse(spark, sf_dir):
+    """Entries of one hash file's text per event, in turn of the three formats, with special keys and hashes in names."""
+    e = read(spark, sf_dir, "events").withColumn("props", F.coalesce("props", F.lit(""))).select("event_id", F.md5("props").alias("h"), F.length("props").alias("size"))
+    name = F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".jpg"))
+    tagged = F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit("[hash-"), F.substr("h", F.lit(1), F.lit(8)), F.lit("].jpg"))
+    new = F.format_string('{"_hash_params": "hash_size=10", "hashes": {"%s": {"hash": "%s", "size": %d}, "%s": {}}}', name, "h", "size", tagged)
+    old = F.format_string('{"results": {"%s": "%s", "%s": ""}}', name, "h", tagged)
+    flat = F.format_string('{"_hash_params": "p", "dry_run": "false", "input_paths": "x", "%s": "%s", "%s": {}}', name, "h", tagged)
+    text = F.when(F.col("event_id") % 3 == 0, new).when(F.col("event_id") % 3 == 1, old).otherwise(flat)
+    return e.select("event_id", F.explode(hash_json.hash_entries(text)).alias("e")).select("event_id", "e.*")
+
+
 # ---- rules and metrics
 
 _RULES = [rules.DimensionRule("small", 0, 15), rules.DimensionRule("tall", 10, 40, 1500, -1), rules.DimensionRule("either", 45, -1, 1800, -1, "or"), rules.DimensionRule("rest", 16, -1)]
