@@ -14,10 +14,13 @@ _own_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset and Spark runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     global _own_root
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="siftmill-")
@@ -29,25 +32,40 @@ class Scratch:
     """Tables of one operator run, each written once as Parquet under the shared folder.
 
     `save` returns a DataFrame that reads the written copy, so later stages never recompute what came
-    before. `drop` removes copies that no live DataFrame needs any more.
+    before; `save_by` one whose copy is bucketed by a column, so that joins on it do not shuffle it again. `drop` removes
+    copies that are not needed any more.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        #: The frames themselves are kept beside their paths: an id is unique only while its object lives.
+        self._kept: dict[int, tuple[DataFrame, str, str | None]] = {}
 
-    def save(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def _next(self) -> str:
         self._n += 1
-        path = f"{self.base}/t{self._n}"
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         if self._n == 1:
             fs, base = self._fs(self.base)
+            fs.mkdirs(base)
             fs.deleteOnExit(base)  # results may read these tables until the application ends
+        return f"{self.base}/t{self._n}"
+
+    def save(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        path = self._next()
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._kept[id(out)] = (out, path, None)
+        return out
+
+    def save_by(self, df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+        """A copy in `buckets` files (the session's shuffle partitions) by hash of `column`. The catalog holds its name until it is dropped or closed."""
+        path, n = self._next(), buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = "siftmill_" + path.rsplit("/", 2)[1].replace("-", "_") + f"_t{self._n}"
+        df.repartition(n, column).write.mode("overwrite").format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self._kept[id(out)] = (out, path, name)
         return out
 
     def _fs(self, path: str):
@@ -61,7 +79,9 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
-            path = self._paths.pop(id(f), None)
+            _, path, name = self._kept.pop(id(f), (None, None, None))
+            if name:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             if path:
                 fs, p = self._fs(path)
                 fs.delete(p, True)
