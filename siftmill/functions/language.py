@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,17 +17,28 @@ JAPANESE_PARTICLES = "の|です|ます|でした|ません|して|した|して
 HAN_BASIC = r"[\x{4e00}-\x{9fff}]"
 KANA_AND_EXTENSION = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}]"
 MIN_TOTAL, MIN_COUNT, MIN_SHARE = 5, 3, 0.5
-# Simplified characters and their traditional forms (the common ones that differ).
-SIMPLIFIED = "汉译无码个语国简体数位图书网页这们来时会说对开关东车马鸟鱼龙门间问闻见觉观学习写读记话话请谢让谁该总爱恋华"
-TRADITIONAL = "漢譯無碼個語國簡體數位圖書網頁這們來時會說對開關東車馬鳥魚龍門間問聞見覺觀學習寫讀記話話請謝讓誰該總愛戀華"
 
 _count = lambda text, pattern: F.regexp_count(text, F.lit(pattern))
 
 
+def _chars(text: Column, one: str) -> Column:
+    """How many characters are of a class: by what is left without them, as runs go at once and no match is kept."""
+    return F.length(text) - F.length(F.regexp_replace(text, one + "+", ""))
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with `value` evaluated once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def by_script(text: Column) -> Column:
     """The script with most characters: chinese, japanese or english, in this order at a tie; unknown without any."""
-    c, j, e = _count(text, HAN_BASIC), _count(text, KANA_AND_EXTENSION), _count(text, LATIN)
-    return F.when(text.isNull() | (c + j + e == 0), "unknown").when((c >= j) & (c >= e), "chinese").when(j >= e, "japanese").otherwise("english")
+
+    def named(x: Column) -> Column:
+        c, j, e = x["c"], x["j"], x["e"]
+        return F.when(c.isNull() | (c + j + e == 0), "unknown").when((c >= j) & (c >= e), "chinese").when(j >= e, "japanese").otherwise("english")
+
+    return _let(F.struct(_chars(text, HAN_BASIC).alias("c"), _chars(text, KANA_AND_EXTENSION).alias("j"), _chars(text, LATIN).alias("e")), named)
 
 
 def heuristic(text: Column, min_total: int = MIN_TOTAL, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE) -> Column:
@@ -34,17 +48,28 @@ def heuristic(text: Column, min_total: int = MIN_TOTAL, min_count: int = MIN_COU
     else Chinese, where Han is 30 % of Han and Latin and no less than Latin; else whatever has most characters. The
     winner needs `min_count` characters and `min_share` of all that are not white space. Null is unknown.
     """
-    t = F.regexp_replace(text, r"(?U)\s+", "")
-    size, c, k, e = F.length(t), _count(t, HAN_WIDE), _count(t, KANA), _count(t, LATIN)
-    particles = _count(t, JAPANESE_PARTICLES)
-    evidence = k + 2 * _count(t, JAPANESE_MARKS) + 4 * particles
-    japanese = (k >= 1) & (((k >= 2) & (100 * k >= 3 * (c + k))) | (evidence >= 6) | (particles >= 2))
-    chinese = (c > 0) & (10 * c >= 3 * (c + e)) & (c >= e)
-    most = F.greatest(c, k, e)
-    winner = F.when(japanese, "japanese").when(chinese | (c == most), "chinese").when(e == most, "english").otherwise("japanese")
-    count = F.when(winner == "japanese", k).when(winner == "chinese", c).otherwise(e)
-    enough = (size >= min_total) & (c + k + e > 0) & (count >= min_count) & (count >= min_share * size)
-    return F.when(F.coalesce(enough, F.lit(False)), winner).otherwise("unknown")
+
+    def counts(t: Column) -> Column:
+        # particles and marks only count beside kana
+        kana = _chars(t, KANA)
+        beside = lambda c: F.when(t.rlike(KANA), c).otherwise(0)
+        return F.struct(
+            F.length(t).alias("size"), _chars(t, HAN_WIDE).alias("c"), kana.alias("k"), _chars(t, LATIN).alias("e"),
+            beside(_chars(t, JAPANESE_MARKS)).alias("marks"), beside(_count(t, JAPANESE_PARTICLES)).alias("particles"),
+        )
+
+    def named(x: Column) -> Column:
+        size, c, k, e = x["size"], x["c"], x["k"], x["e"]
+        evidence = k + 2 * x["marks"] + 4 * x["particles"]
+        japanese = (k >= 1) & (((k >= 2) & (100 * k >= 3 * (c + k))) | (evidence >= 6) | (x["particles"] >= 2))
+        chinese = (c > 0) & (10 * c >= 3 * (c + e)) & (c >= e)
+        most = F.greatest(c, k, e)
+        winner = F.when(japanese, "japanese").when(chinese | (c == most), "chinese").when(e == most, "english").otherwise("japanese")
+        count = F.when(winner == "japanese", k).when(winner == "chinese", c).otherwise(e)
+        enough = (size >= min_total) & (c + k + e > 0) & (count >= min_count) & (count >= min_share * size)
+        return F.when(F.coalesce(enough, F.lit(False)), winner).otherwise("unknown")
+
+    return _let(_let(F.regexp_replace(text, r"(?U)\s+", ""), counts), named)
 
 
 def detect(text: Column, library: Column | None = None) -> Column:
@@ -60,15 +85,33 @@ def language_suffix(language: Column) -> Column:
     return F.when(language == "chinese", "_zh").when(language == "english", "_en").when(language == "japanese", "_ja").otherwise("_unk")
 
 
+@cache
+def character_forms() -> tuple[dict[int, str], dict[int, str]]:
+    """(simplified to traditional, traditional to simplified), for str.translate: every Han character that has another form.
+
+    Made from the transliteration rules of the ICU library that Spark brings along; needs a running session.
+    """
+    context = SparkContext._active_spark_context
+    if context is None:
+        raise RuntimeError("a Spark session must run")
+    chars = [*map(chr, range(0x3400, 0x4DC0)), *map(chr, range(0x4E00, 0xA000))]
+    forms = []
+    for rule in ("Simplified-Traditional", "Traditional-Simplified"):
+        other = context._jvm.com.ibm.icu.text.Transliterator.getInstance(rule).transliterate("\n".join(chars)).split("\n")
+        forms.append({ord(a): b for a, b in zip(chars, other, strict=True) if a != b})
+    return forms[0], forms[1]
+
+
 def is_traditional(text: Column) -> Column:
     """More than 5 % of the characters have a simplified form."""
-    changed = F.length(text) - F.length(F.translate(text, "".join(sorted(set(TRADITIONAL) - set(SIMPLIFIED))), ""))
+    traditional = "".join(map(chr, character_forms()[1]))
+    changed = F.length(text) - F.length(F.translate(text, traditional, ""))
     return F.when(F.length(text) > 0, changed > F.length(text) * 0.05).otherwise(False)
 
 
 def keyword_variants(words: list[str]) -> list[str]:
     """Words, their traditional and their simplified forms, lower case, each once."""
-    to_t, to_s = str.maketrans(SIMPLIFIED, TRADITIONAL), str.maketrans(TRADITIONAL, SIMPLIFIED)
+    to_t, to_s = character_forms()
     return sorted({v.lower() for w in words for v in (w, w.translate(to_t), w.translate(to_s))})
 
 

@@ -63,10 +63,12 @@ def is_ad(name: Column, keywords: list[str] = AD_KEYWORDS, patterns: list[str] =
     return F.coalesce(image & name.rlike("|".join([*map(re.escape, keywords), *patterns])), F.lit(False))
 
 
-def excluded_path(path: Column, words: list[str]) -> Column:
-    """Whether any part of the path holds any of the words, lower case."""
-    lows = [w.lower().strip() for w in words]
-    return F.exists(F.split(F.lower(path), r"[/\\]"), lambda p: F.exists(F.array(*map(F.lit, lows)), lambda w: p.contains(w)))
+def excluded_path(path: Column, words: list[str], whole: bool = False) -> Column:
+    """Whether any part of the path holds any of the words, lower case; with `whole`, as a word between spaces, `-`, `_` and `.`."""
+    lows = F.array(*[F.lit(w.lower().strip()) for w in words])
+    if whole:
+        return F.arrays_overlap(F.split(F.lower(path), r"[/\\\s\-_.]+"), lows)
+    return F.exists(F.split(F.lower(path), r"[/\\]"), lambda p: F.exists(lows, lambda w: p.contains(w)))
 
 
 def is_small(width: Column, height: Column, size: int = MIN_SIZE, width_range: tuple | None = None, height_range: tuple | None = None) -> Column:

@@ -24,12 +24,13 @@ def group_tag(name: Column, word: str = "汉化") -> Column:
 
 
 def version(stem: Column) -> Column:
-    """The number N of a separate `vN` in a title; null without one."""
-    return F.regexp_extract(F.lower(stem), r"(?:^|[\s_\-\[\(\{])v(\d+)(?:$|[\s_\-\]\)\}\.])", 1).try_cast("int")
+    """The number N of a `vN` that ends a title, or stands before a bracket that ends it; null without one."""
+    return F.regexp_extract(stem, r"(?i)v(\d+)[)\]]?$", 1).try_cast("int")
 
 
 def without_version(stem: Column) -> Column:
-    return F.trim(F.regexp_replace(stem, r"(?i)(?:^|[\s_\-\[\(\{])v\d+(?=$|[\s_\-\]\)\}\.])", ""))
+    """The title without a final `vN` that a space, `_`, `-` or bracket sets off."""
+    return F.regexp_replace(F.regexp_replace(stem, r"(?iU)[\s_\-(\[]v\d+[)\]]?$", ""), r"(?U)\s+$", "")
 
 
 def without_hash_tag(name: Column) -> Column:

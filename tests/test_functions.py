@@ -114,3 +114,59 @@ def test_ocr(spark):
     assert one(spark, ocr.group_lines(blocks)) == ["a b", "c"]
     assert one(spark, ocr.clean_lines(F.lit("x\n\n[INFO] y\nz"))) == ["x", "z"]
     assert one(spark, hashing.hash_params(F.lit("hash_size=10;hash_version=1"))) == {"hash_size": "10", "hash_version": "1"}
+
+
+def test_versions_end_a_title(spark):
+    want = {"Bookv3": 3, "Book v2 extra": None, "Book (v4)": 4, "a [V12]": 12, "v7": 7, "Book_v05": 5, "Book": None, "v1 v2": 2, "Book v": None, "": None, None: None}
+    for stem, n in want.items():
+        assert one(spark, titles.version(F.col("t")), t=stem) == n, stem
+    bare = {"Bookv3": "Bookv3", "Book v2 extra": "Book v2 extra", "Book (v4)": "Book", "a [V12]": "a", "Book_v05": "Book", "x - v2": "x -", None: None}
+    for stem, rest in bare.items():
+        assert one(spark, titles.without_version(F.col("t")), t=stem) == rest, stem
+
+
+def test_forms_of_han_characters(spark):
+    found = language.keyword_variants(["无邪气", "新视界", "绅士仓库", "机翻", "夢之行蹤", "DL版"])
+    assert {"無邪氣", "新視界", "紳士倉庫", "機翻", "梦之行踪", "dl版"} <= set(found)
+    assert len(language.character_forms()[0]) > 2000
+    assert one(spark, language.is_traditional(F.col("t")), t="紳士倉庫與書") is True
+    assert one(spark, language.is_traditional(F.col("t")), t="绅士仓库与书") is False
+    assert one(spark, language.is_traditional(F.col("t")), t="") is False
+
+
+def test_languages_of_mixed_scripts(spark):
+    """Scripts and the heuristic against plain Python, on texts of Han, kana, Latin, marks and particles."""
+    import random
+    import re
+
+    rnd = random.Random(5)
+    parts = ["漢字", "中文", "の", "です", "カナ", "ひら", "abc", "word ", "「", "！", " ", "\n", "12", "𠀋", "もの", "é"]
+    texts = ["".join(rnd.choices(rnd.sample(parts, rnd.randrange(1, 7)), k=rnd.randrange(0, 14))) for _ in range(400)] + [None, "", "  "]
+    plain = lambda p: re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), p)
+    han, basic, kana, more, marks = map(plain, (language.HAN_WIDE, language.HAN_BASIC, language.KANA, language.KANA_AND_EXTENSION, language.JAPANESE_MARKS))
+
+    def script(t):
+        c, j, e = (len(re.findall(p, t or "")) for p in (basic, more, language.LATIN))
+        return "unknown" if not c + j + e else "chinese" if c >= j and c >= e else "japanese" if j >= e else "english"
+
+    def mixed(t):
+        t = re.sub(r"\s+", "", t or "")
+        c, k, e, n = (len(re.findall(p, t)) for p in (han, kana, language.LATIN, language.JAPANESE_PARTICLES))
+        seen = k + 2 * len(re.findall(marks, t)) + 4 * n
+        if k >= 1 and (k >= 2 and 100 * k >= 3 * (c + k) or seen >= 6 or n >= 2):
+            who, much = "japanese", k
+        elif c and 10 * c >= 3 * (c + e) and c >= e or c == max(c, k, e):
+            who, much = "chinese", c
+        else:
+            who, much = ("english", e) if e == max(c, k, e) else ("japanese", k)
+        return who if len(t) >= 5 and c + k + e and much >= 3 and 2 * much >= len(t) else "unknown"
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", language.by_script(F.col("t")).alias("s"), language.heuristic(F.col("t")).alias("h")).collect():
+        assert (r.s, r.h) == (script(r.t), mixed(r.t)), r.t
+
+
+def test_excluded_words(spark):
+    for path, part, whole in [("a/My-Trash_1/x.zip", True, True), ("a/trashy/x.zip", True, False), ("a/x.trash", True, True), ("a/b", False, False), (None, None, None)]:
+        assert one(spark, rules.excluded_path(F.col("t"), ["Trash"]), t=path) is part
+        assert one(spark, rules.excluded_path(F.col("t"), ["Trash"], whole=True), t=path) is whole
