@@ -7,6 +7,8 @@ operator that is quadratic by definition; it says so.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,17 +66,35 @@ def _bit_range(chunks: Column, start: int, width: int, chunk_bits: int) -> Colum
     return out
 
 
+def _masks(width: int, flips: int) -> list[int]:
+    """What up to `flips` differing bits of a band of `width` bits change."""
+    out = [0] + ([1 << x for x in range(width)] if flips else [])
+    return out + ([1 << x | 1 << y for x in range(width) for y in range(x)] if flips > 1 else [])
+
+
 def _keys(chunks: Column, bits: int, threshold: int, chunk_bits: int, probe: bool) -> Column:
+    """(band, value) of each band and, to probe with, of its neighbours: the masks are constants that expressions loop over."""
+    bands, flips = band_plan(bits, threshold)
+    own = F.array(*[F.struct(F.lit(i).alias("band"), _bit_range(chunks, start, width, chunk_bits).alias("value")) for i, (start, width) in enumerate(bands)])
+    if not probe or not flips:
+        return own
+    masks = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in _masks(width, flips)]) for _, width in bands])
+    return F.flatten(F.transform(own, lambda b: F.transform(F.get(masks, b["band"]), lambda m: F.struct(b["band"].alias("band"), b["value"].bitwiseXOR(m).alias("value")))))
+
+
+def bands_prune(bits: int, threshold: int, least: float = 4.0) -> bool:
+    """Whether bands give less than 1 / `least` of the candidates that comparing everything once gives; a share that does not depend on the data."""
     bands, flips = band_plan(bits, threshold)
-    out = []
-    for i, (start, width) in enumerate(bands):
-        v = _bit_range(chunks, start, width, chunk_bits)
-        masks = [0]
-        if probe:
-            masks += [1 << x for x in range(width)] if flips else []
-            masks += [1 << x | 1 << y for x in range(width) for y in range(x)] if flips > 1 else []
-        out += [F.struct(F.lit(i).alias("band"), v.bitwiseXOR(F.lit(m).cast("bigint")).alias("value")) for m in masks]
-    return F.array(*out)
+    return sum(len(_masks(width, flips)) / 2.0**width for _, width in bands) * least < 1
+
+
+def _blocked(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
+    """Every row of `left` beside every row of `right`: both are dealt to `blocks` parts, and a pair of parts is a key of an equi-join."""
+    n = F.lit(blocks).cast("long")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    a = left.withColumn("_x", F.pmod(F.xxhash64("l"), n)).withColumn("_y", every)
+    b = right.withColumn("_y", F.pmod(F.xxhash64("r"), n)).withColumn("_x", every)
+    return a.join(b, ["_x", "_y"])
 
 
 def hamming_join(
@@ -83,13 +103,20 @@ def hamming_join(
     """(l, r, distance) of all pairs within `threshold` bits; exact.
 
     Rows of `left` are keyed by their bands, rows of `right` by their bands and, where the plan allows
-    differing bits, their neighbours. Candidates are made distinct before they are verified; hot bands are
-    split by AQE's skew join. Null fingerprints match nothing.
+    differing bits, their neighbours; hot bands are split by AQE's skew join, and pairs that met in several bands are made one.
+    A threshold so wide that bands would prune little (`bands_prune`) has everything compared once, block by block, which is then the
+    cheaper way; like its result, that is quadratic. Null fingerprints match nothing.
     """
-    a = left.where(F.col(chunks_col).isNotNull()).select(F.col(id_col).alias("l"), F.col(chunks_col).alias("lc"), F.explode(_keys(F.col(chunks_col), bits, threshold, chunk_bits, False)).alias("k"))
-    b = right.where(F.col(chunks_col).isNotNull()).select(F.col(id_col).alias("r"), F.col(chunks_col).alias("rc"), F.explode(_keys(F.col(chunks_col), bits, threshold, chunk_bits, True)).alias("k"))
-    j = a.join(b, "k").withColumn("distance", hashing.chunk_distance(F.col("lc"), F.col("rc"))).where(F.col("distance") <= threshold)
-    return j.select("l", "r", "distance").distinct()
+    a = left.where(F.col(chunks_col).isNotNull()).select(F.col(id_col).alias("l"), F.col(chunks_col).alias("lc"))
+    b = right.where(F.col(chunks_col).isNotNull()).select(F.col(id_col).alias("r"), F.col(chunks_col).alias("rc"))
+    pruned = bands_prune(bits, threshold)
+    if pruned:
+        keys = lambda c, probe: F.explode(_keys(F.col(c), bits, threshold, chunk_bits, probe))
+        j = a.withColumn("k", keys("lc", False)).join(b.withColumn("k", keys("rc", True)), "k")
+    else:
+        j = _blocked(a, b, max(2, math.isqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    j = j.withColumn("distance", hashing.chunk_distance(F.col("lc"), F.col("rc"))).where(F.col("distance") <= threshold).select("l", "r", "distance")
+    return j.distinct()
 
 
 def hamming_pairs(items: DataFrame, threshold: int, bits: int, id_col: str = "id", chunks_col: str = "chunks", chunk_bits: int = 52) -> DataFrame:
@@ -118,12 +145,6 @@ def reference_match(items: DataFrame, reference: DataFrame, threshold: int, bits
     return near.groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct("distance", F.col("r").alias("ref_uri"))).alias("m")).select("id", "m.ref_uri", "m.distance")
 
 
-def nearest(pairs: DataFrame, id_col: str, other_col: str, distance_col: str = "distance") -> DataFrame:
-    """The nearest partner of each id; the smallest partner at a tie."""
-    best = pairs.groupBy(id_col).agg(F.min(F.struct(distance_col, other_col)).alias("m"))
-    return best.select(id_col, f"m.{other_col}", f"m.{distance_col}")
-
-
 def vector_pairs(items: DataFrame, id_col: str = "id", vector_col: str = "embedding", block_col: str | None = None, metric=vectors.cosine) -> DataFrame:
     """(a, b, score) of all pairs a < b of one block; without blocks the full matrix, quadratic by definition."""
     side = lambda p: items.select(F.col(id_col).alias(p), F.col(vector_col).alias(f"{p}_v"), *([F.col(block_col).alias(f"{p}_k")] if block_col else []))
