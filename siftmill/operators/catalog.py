@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftmill.functions.uris import catalog_parts, display_parts
+from siftmill.functions.uris import catalog_parts
 
 CATALOG = T.StructType(
     [
@@ -136,9 +136,5 @@ def parse_mismatches(catalog: DataFrame) -> DataFrame:
 
 
 def random_rows(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows in the order of a seeded hash of the key: a sample that is the same in every run."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key).limit(n)
-
-
-def display(catalog: DataFrame) -> DataFrame:
-    return catalog.withColumn("parts", display_parts(F.col("uri"))).select("*", "parts.file_format", "parts.uri_without_format").drop("parts")
+    """n rows in the order of the MD5 of seed/key: a sample that is the same in every run."""
+    return rows.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

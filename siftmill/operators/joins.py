@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,14 +35,7 @@ def union_decisions(*stages: DataFrame) -> DataFrame:
     return x.groupBy("item_id").agg(F.max(F.struct("_i", "stage", "reason")).alias("m")).select("item_id", "m.stage", "m.reason")
 
 
-def one_folder(items: DataFrame, folder: str) -> DataFrame:
-    """(mergeable): whether all items lie in one folder."""
-    return items.agg((F.count_distinct(folder) == 1).alias("mergeable"))
-
-
-def image_map(items: DataFrame, archive: str, member: str) -> DataFrame:
-    return items.withColumn("archive_uri", F.concat(F.lit("archive:///"), F.col(archive), F.lit("!"), F.col(member)))
-
-
-def first_per(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
+def one_folder(items: DataFrame, folder: str, group: str | None = None) -> DataFrame:
+    """([group,] mergeable): whether all items, or all of a group, lie in one folder."""
+    by = [F.col(group).alias("group")] if group else []
+    return items.groupBy(*by).agg((F.count_distinct(folder) == 1).alias("mergeable"))

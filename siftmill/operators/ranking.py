@@ -124,13 +124,13 @@ def newest_version(items: DataFrame, group: str, version: str, size: str, item:
 
 
 def sample_by_size(items: DataFrame, group: str, size: str, k: int = 3, item: str = "item_id") -> DataFrame:
-    """The largest row, the middle one by size (of more than two), and rows of the top third in hash order, k at most in all."""
+    """The largest row, the middle one by size (of more than two), and rows of the top third in the order of the MD5 of their ids, k at most in all."""
     w = Window.partitionBy(group)
     x = items.withColumn("_r", F.row_number().over(w.orderBy(F.desc_nulls_last(size), item))).withColumn("_n", F.count("*").over(w))
     fixed = (F.col("_r") == 1) | ((F.col("_n") > 2) & (F.col("_r") == F.floor(F.col("_n") / 2) + 1))
     pool = F.col("_r") <= F.greatest(F.lit(3), F.floor(F.col("_n") / 3))
     x = x.withColumn("_p", F.when(fixed, 0).when(pool, 1).otherwise(2)).where("_p < 2")
-    pick = Window.partitionBy(group).orderBy("_p", F.when(F.col("_p") == 0, F.col("_r")).otherwise(F.xxhash64(F.col(item).cast("string"))), item)
+    pick = Window.partitionBy(group).orderBy("_p", F.when(F.col("_p") == 0, F.col("_r")), F.md5(F.col(item).cast("string")), item)
     return x.withColumn("pick", F.row_number().over(pick)).where(F.col("pick") <= k).select(F.col(group).alias("group"), F.col(item).alias("item_id"), "pick")
 
 

@@ -320,7 +320,10 @@ def front_back_indices(spark, sf_dir):
     return ranking.select_indices(c, "conv_id", F.col("turn"), front=3, back=2).select("item_id", F.col("index").cast("long").alias("index"))
 
 
-@query()
+@query("""WITH w AS (SELECT p_brand g, p_partkey i, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC NULLS LAST, p_partkey) r, count(*) OVER (PARTITION BY p_brand) n FROM part),
+c AS (SELECT *, CASE WHEN r = 1 OR n > 2 AND r = n // 2 + 1 THEN 0 WHEN r <= greatest(3, n // 3) THEN 1 END AS p FROM w),
+k AS (SELECT g, i, row_number() OVER (PARTITION BY g ORDER BY p, CASE WHEN p = 0 THEN r END, md5(i::VARCHAR), i) AS pick FROM c WHERE p IS NOT NULL)
+SELECT g AS "group", i AS item_id, pick FROM k WHERE pick <= 5""")
 def size_sample(spark, sf_dir):
     return ranking.sample_by_size(_parts(spark, sf_dir), "p_brand", "p_size", 5)
 
@@ -552,7 +555,7 @@ def language_counts(spark, sf_dir):
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[(count(*) // 2)::INT + 1] AS width FROM lineitem GROUP BY 1")
 def upper_median(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(metrics.upper_median(F.col("l_quantity")).alias("width"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(metrics.upper_median("l_quantity").alias("width"))
 
 
 @query("SELECT user_id, round(avg(value) FILTER (value > 0), 6) AS clarity FROM events GROUP BY 1")

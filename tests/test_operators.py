@@ -124,7 +124,7 @@ def test_catalog(spark):
 
 def test_metrics(spark):
     x = spark.createDataFrame([(1,), (2,), (3,), (4,)], "v long")
-    assert x.agg(metrics.upper_median(F.col("v")).alias("m")).first().m == 3
+    assert x.agg(metrics.upper_median("v").alias("m")).first().m == 3
     ads = spark.createDataFrame([("a", True)] * 3 + [("a", False)] + [("b", True)] * 2 + [("b", False)] * 2, "g string, ad boolean")
     assert [r.g for r in metrics.guarded_removals(ads, "g", F.col("ad")).collect()] == ["b", "b"]
 
