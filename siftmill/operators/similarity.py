@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,13 +147,66 @@ def reference_match(items: DataFrame, reference: DataFrame, threshold: int, bits
     return near.groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct("distance", F.col("r").alias("ref_uri"))).alias("m")).select("id", "m.ref_uri", "m.distance")
 
 
-def vector_pairs(items: DataFrame, id_col: str = "id", vector_col: str = "embedding", block_col: str | None = None, metric=vectors.cosine) -> DataFrame:
-    """(a, b, score) of all pairs a < b of one block; without blocks the full matrix, quadratic by definition."""
-    side = lambda p: items.select(F.col(id_col).alias(p), F.col(vector_col).alias(f"{p}_v"), *([F.col(block_col).alias(f"{p}_k")] if block_col else []))
+def vector_pairs(items: DataFrame, id_col: str = "id", vector_col: str = "embedding", block_col: str | None = None) -> DataFrame:
+    """(a, b, score) of all pairs a < b of one block, by cosine; without blocks the full matrix, quadratic by definition.
+
+    Lengths of vectors are taken once. The score is null where a vector is null, zero, or of another length than its partner.
+    """
+    v = items.withColumn("_norm", F.sqrt(vectors.dot(F.col(vector_col), F.col(vector_col))))
+    side = lambda p: v.select(F.col(id_col).alias(p), F.col(vector_col).alias(f"{p}_v"), F.col("_norm").alias(f"{p}_n"), *([F.col(block_col).alias(f"{p}_k")] if block_col else []))
     on = F.col("a") < F.col("b")
     if block_col:
         on = (F.col("a_k") == F.col("b_k")) & on
-    return side("a").join(side("b"), on).select("a", "b", metric(F.col("a_v"), F.col("b_v")).alias("score"))
+    norm = F.col("a_n") * F.col("b_n")
+    score = F.when((F.size("a_v") == F.size("b_v")) & (norm > 0), vectors.dot(F.col("a_v"), F.col("b_v")) / norm)
+    return side("a").join(side("b"), on).select("a", "b", score.alias("score"))
+
+
+#: Vectors that a task compares with as many others at a time.
+VECTOR_BLOCK = 1024
+
+
+def best_pairs(items: DataFrame, n: int, id_col: str = "id", vector_col: str = "embedding", block_col: str | None = None, digits: int = 6) -> DataFrame:
+    """(a, b, score): the n pairs a < b, within one block, of largest cosine rounded to `digits`; ties by (a, b).
+
+    A report: every pair is looked at, but none is put out that is not among the n best of its task. Blocks are cut into parts of about
+    VECTOR_BLOCK rows, and each pair of parts is a group of its own, whatever a block's size. Null and zero vectors, and those
+    with null or non-finite components, pair with nothing, as do vectors of different lengths and rows without a block.
+    """
+    x = items.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), (F.col(block_col) if block_col else F.lit(0)).alias("k")).where("v IS NOT NULL AND k IS NOT NULL")
+    sizes = x.groupBy("k").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("parts"))
+    x = x.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    x = x.select("id", "v", "k", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    kind = items.schema[id_col].dataType.simpleString()
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        for _, rows in pdf.groupby(pdf["v"].map(len)):
+            m = np.array(rows["v"].tolist(), np.float64).reshape(len(rows), -1)
+            size = np.sqrt((m * m).sum(1))
+            good = np.isfinite(size) & (size > 0)
+            m, ids, part = m[good] / size[good, None], rows["id"].to_numpy()[good], rows["part"].to_numpy()[good]
+            i, j = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+            if not len(i) or not len(j):
+                continue
+            score = m[i] @ m[j].T
+            near = np.floor(score * 10**digits + 0.5)
+            pick = ids[i][:, None] < ids[j][None, :]
+            if lo != hi:
+                pick |= ids[i][:, None] > ids[j][None, :]
+            p, q = np.nonzero(pick)
+            if len(p) > n:
+                least = np.partition(near[p, q], len(p) - n)[len(p) - n]
+                keep = near[p, q] >= least
+                p, q = p[keep], q[keep]
+            a, b = np.minimum(ids[i][p], ids[j][q]), np.maximum(ids[i][p], ids[j][q])
+            order = np.lexsort((b, a, -near[p, q]))[:n]
+            found.append(pd.DataFrame({"a": a[order], "b": b[order], "score": score[p, q][order]}))
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "score": []})
+
+    few = x.groupBy("k", "lo", "hi").applyInPandas(best, f"a {kind}, b {kind}, score double")
+    return top_pairs(few.withColumn("score", F.round("score", digits)), n)
 
 
 def top_pairs(pairs: DataFrame, n: int, score_col: str = "score", largest: bool = True) -> DataFrame:

@@ -111,8 +111,7 @@ def reference_containment(spark, sf_dir):
  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
 SELECT * FROM p ORDER BY score DESC, a, b LIMIT 50""")
 def embedding_topk(spark, sf_dir):
-    pairs = similarity.vector_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
-    return similarity.top_pairs(pairs.withColumn("score", F.round("score", 6)), 50)
+    return similarity.best_pairs(read(spark, sf_dir, "embeddings"), 50, "vec_id", "embedding", "label")
 
 
 def _user_edges(spark, sf_dir) -> DataFrame:

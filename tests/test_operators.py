@@ -182,3 +182,19 @@ def test_files():
     assert files.load_rules('{"width_ranges": [[0, 900, "a"]]}')[0].max_width == 900
     tree = {"path": "/r", "compress_mode": "skip", "children": [{"path": "/r/漫画A", "compress_mode": "entire", "file_types": {"image": 3}}]}
     assert files.virtual_folders(tree) == ["/r/漫画A.folderzip"]
+
+
+def test_best_pairs(spark, monkeypatch):
+    """The best of all pairs, however rows are cut into parts; copies tie and go by id."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "VECTOR_BLOCK", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=5).round(1).tolist(), i % 3) for i in range(90)]
+    rows += [(100 + i, rows[4][1], 1) for i in range(8)] + [(200, None, 0), (201, [0.0] * 5, 0), (202, [1.0], 0), (203, [2.0], 0), (204, [1.0] * 5, None), (205, [float("nan")] * 5, 0)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, label int")
+    ok = [(i, np.array(v), k) for i, v, k in rows if k is not None and v and np.isfinite(v).all() and np.any(v)]
+    want = [(a, b, float(u @ v / np.linalg.norm(u) / np.linalg.norm(v))) for a, u, p in ok for b, v, q in ok if a < b and p == q and len(u) == len(v)]
+    want = sorted(((a, b, round(s, 6)) for a, b, s in want), key=lambda r: (-r[2], r[0], r[1]))
+    for n in (5, 40, 100):
+        assert [(r.a, r.b, round(r.score, 6)) for r in similarity.best_pairs(df, n, block_col="label").collect()] == want[:n]
