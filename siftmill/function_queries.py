@@ -150,3 +150,17 @@ def reference_folders(spark, sf_dir):
     folder = F.when(n % 2 == 0, F.concat(F.lit("/lib/["), n.cast("string"), F.lit("] x"))).otherwise("/lib/plain")
     x = _fingerprints(spark, sf_dir).withColumn("uri", F.col("id")).withColumn("folder", folder).withColumn("path", F.concat("folder", F.lit("/in/"), "id"))
     return workflows.against_reference(x.drop("folder"), _reference(spark, sf_dir), x.select("folder").distinct(), 18, 52).select("id", "ref_uri", "distance", "folder")
+
+
+@query("SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey ORDER BY 1, 2 LIMIT 50")
+def first_pairs(spark, sf_dir):
+    return similarity.first_pairs(read(spark, sf_dir, "customer"), 50, "c_custkey")
+
+
+@query("""SELECT doc_id, contains(text, 'th') AS marked, contains(text, 'th') <> (doc_id % 2 = 0) AS differ FROM documents WHERE text IS NOT NULL""")
+def watermark_pairs(spark, sf_dir):
+    """Whether a document's lines hold a mark, and whether this differs from a partner's."""
+    d = read(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("lines", F.split("text", "\n"))
+    partner = F.array(F.when(F.col("doc_id") % 2 == 0, "with th").otherwise("without"))
+    own, other = rules.has_watermark(F.col("lines"), ["th"]), rules.has_watermark(partner, ["with th"])
+    return d.select("doc_id", own.alias("marked"), (own != other).alias("differ"))

@@ -214,6 +214,12 @@ def top_pairs(pairs: DataFrame, n: int, score_col: str = "score", largest: bool
     return pairs.orderBy(F.desc(score_col) if largest else F.asc(score_col), "a", "b").limit(n)
 
 
+def first_pairs(items: DataFrame, n: int, id_col: str = "id") -> DataFrame:
+    """(a, b): the first n pairs a < b in the order of (a, b). The first n + 1 items hold them all; null ids are in no pair."""
+    few = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("a")).distinct().orderBy("a").limit(n + 1)
+    return few.join(few.select(F.col("a").alias("b")), F.col("a") < F.col("b")).orderBy("a", "b").limit(n)
+
+
 def distance_stats(pairs: DataFrame, by: tuple[str, ...] = (), distance_col: str = "distance") -> DataFrame:
     """Count, mean, least, largest, median and population deviation of distances, per group; null distances do not count."""
     d = F.col(distance_col)
