@@ -437,7 +437,9 @@ def json_hash_parse(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", m["k"].try_cast("int").alias("k"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, md5(coalesce(props, '')) AS h, length(coalesce(props, '')) AS n, CASE event_id % 3 WHEN 0 THEN 'hash_size=10' WHEN 2 THEN 'p' END AS params FROM events)
+SELECT event_id, 'e' || event_id || '.jpg' AS uri, h AS hash, CASE WHEN event_id % 3 = 0 THEN n END::INT AS size, params FROM e
+UNION ALL SELECT event_id, 'e' || event_id || '[hash-' || substr(h, 1, 8) || '].jpg', substr(h, 1, 8), NULL, params FROM e""")
 def hash_texts_parse(spark, sf_dir):
     """Entries of one hash file's text per event, in turn of the three formats, with special keys and hashes in names."""
     e = read(spark, sf_dir, "events").withColumn("props", F.coalesce("props", F.lit(""))).select("event_id", F.md5("props").alias("h"), F.length("props").alias("size"))
@@ -647,11 +649,15 @@ def ocr_density(spark, sf_dir):
     return d.withColumn("text_area", F.round("text_area", 4)).withColumn("text_density", F.round("text_density", 8))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT user_id AS u, event_type AS t, value / 3 AS y, row_number() OVER (PARTITION BY user_id ORDER BY value / 3, event_type) AS i FROM events),
+r AS (SELECT u, t, i, y AS first, 1 AS line FROM b WHERE i = 1 UNION ALL
+ SELECT b.u, b.t, b.i, CASE WHEN abs(b.y - r.first) <= 10 THEN r.first ELSE b.y END, CASE WHEN abs(b.y - r.first) <= 10 THEN r.line ELSE r.line + 1 END FROM r JOIN b ON b.u = r.u AND b.i = r.i + 1),
+l AS (SELECT u, line, string_agg(t, ' ' ORDER BY i) AS t FROM r GROUP BY 1, 2)
+SELECT u AS user_id, string_agg(t, chr(10) ORDER BY line) AS lines FROM l GROUP BY 1""")
 def ocr_lines(spark, sf_dir):
     """Lines of boxes (event type at height value / 3) per user, joined while within 10 of a line's first."""
     e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("text"), (F.col("value") / 3).alias("y"))).alias("blocks"))
-    return e.select("user_id", ocr.group_lines(F.col("blocks")).alias("lines"))
+    return e.select("user_id", F.array_join(ocr.group_lines(F.col("blocks")), "\n").alias("lines"))
 
 
 @query("""SELECT event_id, 'watermark ' || event_type AS line FROM events WHERE event_type IN ('click', 'view')""")
