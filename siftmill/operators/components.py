@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     scratch = Scratch(spark, "components")
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     # each edge once, larger end first
-    cur = scratch.save(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    cur = scratch.save(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), slim=True)
 
     minima: list[DataFrame] = []
 
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = pairs.union(pairs.select(F.col("v"), F.col("u"))) if large else pairs
         m = both.groupBy("u").agg(F.min("v").alias("m"))
         # written first, so that the join reads two tables and AQE can split a node with very many neighbours
-        m = scratch.save(m.withColumn("m", F.least("u", "m")))
+        m = scratch.save(m.withColumn("m", F.least("u", "m")), slim=True)
         minima.append(m)
         j = both.join(m, "u")
         if large:
@@ -41,8 +41,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         return out.where("u <> v").distinct()
 
     for _ in range(max_rounds):
-        big = scratch.save(star(cur, True))
-        nxt = scratch.save(star(big, False))
+        big = scratch.save(star(cur, True), slim=True)
+        nxt = scratch.save(star(big, False), slim=True)
         scratch.drop(big, *minima)
         minima.clear()
         # done when the edges are stars: no node is both a child and a parent, and no child has two parents

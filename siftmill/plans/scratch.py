@@ -51,19 +51,30 @@ class Scratch:
             fs.deleteOnExit(base)  # results may read these tables until the application ends
         return f"{self.base}/t{self._n}"
 
-    def save(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        path = self._next()
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    def save(self, df: DataFrame, slim: bool = False) -> DataFrame:
+        """A written copy. `slim` is for tables of a few narrow columns that no Python makes: they go to as few files as their size asks for."""
+        path, key = self._next(), "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+        before = self.spark.conf.get(key)
+        try:
+            if slim:
+                self.spark.conf.set(key, "false")
+            self._writer(df).parquet(path)
+        finally:
+            if slim:
+                self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._kept[id(out)] = (out, path, None)
         return out
 
+    def _writer(self, df: DataFrame):
+        # each file costs something on most stores, on local ones a process to set its mode; nobody looks for this one
+        return df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+
     def save_by(self, df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
         """A copy in `buckets` files (the session's shuffle partitions) by hash of `column`. The catalog holds its name until it is dropped or closed."""
         path, n = self._next(), buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         name = "siftmill_" + path.rsplit("/", 2)[1].replace("-", "_") + f"_t{self._n}"
-        df.repartition(n, column).write.mode("overwrite").format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
+        self._writer(df.repartition(n, column)).format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
         out = self.spark.table(name)
         self._kept[id(out)] = (out, path, name)
         return out
