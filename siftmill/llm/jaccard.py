@@ -32,7 +32,13 @@ CHUNK_SHINGLES = 1_000_000
 #: the work to be done, never the result.
 MAX_FREQUENT = 200_000
 #: Lists of up to so many members are paired by a join; longer ones are scanned block by block against bitmaps.
-SHORT_LIST = 32
+SHORT_LIST = 8
+#: Postings that a task deals out to buckets together; keys that occur HOT times among them go there once, with their count.
+CHUNK_POSTINGS, HOT = 1 << 20, 64
+#: Buckets of keys for each shuffle partition; a task holds one bucket at a time.
+BUCKETS = 4
+#: Lists of up to so many members are sifted by the sizes of sets that may link.
+SIFTED = 16
 #: Members of a long list in one block.
 BLOCK = 512
 #: One in so many shingles is counted to estimate the length of inverted lists, for the cost of the boundary only.
@@ -50,8 +56,11 @@ def shingles(data: bytes, k: int = WORDS) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity bitmap of a set: bit (token mod width) is flipped per token; width is a power of two of about 4 per token."""
-    width = max(64, 1 << math.ceil(math.log2(4 * max(len(tokens), 1))))
+    """Parity bitmap of a set: bit (token mod width) is flipped per token; width is a power of two, one or two bits per token.
+
+    A pair that differs in more than about a third of its tokens is ruled out by such a bitmap already.
+    """
+    width = max(64, 1 << math.ceil(math.log2(max(len(tokens), 1))))
     bits = np.bincount((tokens & bt.U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -101,23 +110,40 @@ def choose_boundary(sizes: dict[int, int], rounds: float, percent: int = PERCENT
     return at
 
 
-def keys_of(tokens: np.ndarray, boundary: int, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Join keys of a set. `frequent` (sorted) and `rank` give the shingles that come last, and their order."""
+def placed_keys(tokens: np.ndarray, boundary: int, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(join keys of a set, tokens of the order that stand before the last one of each key and are not in it).
+
+    `frequent` (sorted) and `rank` give the shingles that come last, and their order.
+    """
     n = len(tokens)
     late = np.zeros(n, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         late = np.where(frequent[at] == tokens, rank[at], 0)
     order = tokens[np.lexsort((tokens, late))]
-    parts = []
+    keys, before = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     if n > boundary or n >= boundary * percent // 100:
-        parts.append(bt.mix(order[: prefix_length(n, 1, percent)] ^ bt.U(0x51)))
+        keys.append(bt.mix(order[: prefix_length(n, 1, percent)] ^ bt.U(0x51)))
+        before.append(np.arange(len(keys[-1])))
     if n <= boundary:
         q = order[: prefix_length(n, 2, percent)]
         i, j = np.triu_indices(len(q), 1)
         with np.errstate(over="ignore"):
-            parts.append(bt.mix(q[i] * bt.U(0xC2B2AE3D27D4EB4F) ^ bt.mix(q[j])))
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+            keys.append(bt.mix(q[i] * bt.U(0xC2B2AE3D27D4EB4F) ^ bt.mix(q[j])))
+        before.append(j - 1)
+    return np.concatenate(keys), np.concatenate(before)
+
+
+def keys_of(tokens: np.ndarray, boundary: int, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return placed_keys(tokens, boundary, frequent, rank, percent)[0]
+
+
+def largest_partner(n: int, before: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How large a set may be that links to one of `n` shingles, if theirs meet first at a key with `before` shingles before it.
+
+    Of those none is shared, so at most n - before are. A linked pair passes, on both sides, at the first key where it meets.
+    """
+    return (100 + percent) * (n - before) // percent - n
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +188,125 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _blocks(broad, boundary: int, percent: int, buckets: int):
+    """Postings of texts (id, z), in rows of one bucket of keys each: kind 0 of (keys, ids, ns, caps, cs); caps are of `largest_partner`.
+
+    A key that a chunk of postings holds HOT times or more goes to its bucket once, with the smallest of its ids and the count;
+    its postings go to any bucket, as kind 1: so a bucket gets few rows of any key, however many texts share it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z, (late, order) = zstandard.ZstdDecompressor(), broad.value
+        held: list[np.ndarray] = []
+        held_caps: list[np.ndarray] = []
+        sizes: list[int] = []
+        whose: list[pa.Array] = []
+        size, turn = 0, 0
+
+        def rows(kind: int, j: np.ndarray, k: np.ndarray, doc: np.ndarray, cap: np.ndarray, c: np.ndarray, ids: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            by = np.argsort(j, kind="stable")
+            first = np.flatnonzero(np.diff(j[by], prepend=-1))
+            ends = pa.array(np.concatenate((first, [len(by)])), pa.int32())
+            lists = [pa.array(k[by].view(np.int64)), ids.take(pa.array(doc[by])), *(pa.array(x[by].astype(np.int32)) for x in (n[doc], cap, c))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(j[by][first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int8)), *(pa.ListArray.from_arrays(ends, x) for x in lists)], ["j", "kind", "keys", "ids", "ns", "caps", "cs"]
+            )
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size, turn
+            ids, n = pa.concat_arrays(whose), np.array(sizes)
+            k, cap, doc = np.concatenate(held), np.concatenate(held_caps), np.repeat(np.arange(len(held)), [len(x) for x in held])
+            _, at, count = np.unique(k, return_inverse=True, return_counts=True)
+            count = count[at]
+            cold, often = np.flatnonzero(count < HOT), np.flatnonzero(count >= HOT)
+            rank = np.empty(len(ids), np.int64)
+            rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            often = often[np.lexsort((rank[doc[often]], k[often]))]
+            lead = often[np.flatnonzero(np.concatenate(([True], k[often][1:] != k[often][:-1])))] if len(often) else often
+            both = np.concatenate((cold, lead))
+            if len(both):
+                yield rows(0, (k[both] % bt.U(buckets)).astype(np.int64), k[both], doc[both], cap[both], np.concatenate((np.ones(len(cold), np.int64), count[lead])), ids, n)
+            if len(often):
+                turn += 1
+                spread = (np.arange(len(often)) // 1000 * 7919 + turn * 104729 + int(k[often[0]] % bt.U(1 << 31))) % buckets
+                yield rows(1, spread, k[often], doc[often], cap[often], np.ones(len(often), np.int64), ids, n)
+            held.clear()
+            held_caps.clear()
+            sizes.clear()
+            whose.clear()
+            size = 0
+
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                for t in part.column("z"):
+                    s = shingles(z.decompress(t.as_py()))
+                    sizes.append(len(s))
+                    k, before = placed_keys(s, boundary, late, order, percent)
+                    held.append(k)
+                    held_caps.append(largest_partner(len(s), before, percent))
+                    size += len(held[-1])
+                whose.append(part.column("id"))
+                if size >= CHUNK_POSTINGS:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inverted lists of two or more texts, from blocks of a bucket: kind 0 of (k, id, n, cap, leader, nl, capl, m) is a posting with its
+    list's length and its member of smallest id, kind 1 of (k, id, n, cap) one of a hot key, kind 2 of (k, leader, nl, capl, m) the list of a hot key.
+    Members of a list of up to SIFTED that cannot link to any other by their caps are left out."""
+    names = ["kind", "k", "id", "n", "cap", "leader", "nl", "capl", "m"]
+    for (_, kind), rows in adjacent_groups(batches, ["j", "kind"]):
+        k, ids, n, cap, c = (pc.list_flatten(rows.column(x)) for x in ("keys", "ids", "ns", "caps", "cs"))
+        if kind == 1:
+            for at in range(0, len(k), 10_000):
+                own = [x[at : at + 10_000] for x in (k, ids, n, cap)]
+                none = [pa.nulls(len(own[0]), t) for t in (ids.type, pa.int32(), pa.int32(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(own[0]), np.int8)), *own, *none], names)
+            continue
+        key, size, most, count = (x.to_numpy() for x in (k, n, cap, c))
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        by = np.lexsort((rank, key))
+        by = by[sifted(key[by], size[by], most[by], count[by])]
+        if not len(by):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1])))
+        m = np.add.reduceat(count[by], first)
+        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
+        hot = np.maximum.reduceat(count[by], first) > 1
+        keep = np.flatnonzero((m[own] > 1) & (count[by] == 1))
+        for kinds, at, group in ((0, by[keep], own[keep]), (2, by[first[hot]], np.flatnonzero(hot))):
+            head = by[first[group]]
+            for i in range(0, len(at), 10_000):
+                x, h = pa.array(at[i : i + 10_000]), pa.array(head[i : i + 10_000])
+                lead = [y.take(h) for y in (ids, n, cap)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kinds, np.int8)), *(y.take(x) for y in (k, ids, n, cap)), *lead, pa.array(m[group[i : i + 10_000]])], names)
+
+
+def sifted(key: np.ndarray, n: np.ndarray, cap: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which postings, sorted by key, have a partner in their list, as far as sizes and caps can tell; hot and long lists are kept whole."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    length = np.diff(np.append(first, len(key)))
+    stays = np.ones(len(key), bool)
+    hot = np.maximum.reduceat(count, first) > 1
+    stays[first[(length == 1) & ~hot]] = False
+    for size in np.unique(length[(length > 1) & (length <= SIFTED) & ~hot]):
+        lists = first[(length == size) & ~hot]
+        for at in range(0, len(lists), 50_000):
+            i = lists[at : at + 50_000, None] + np.arange(size)
+            fits = (n[i][:, :, None] <= cap[i][:, None, :]) & (n[i][:, None, :] <= cap[i][:, :, None])
+            fits &= ~np.eye(size, dtype=bool)
+            stays[i] = fits.any(2)
+    return np.flatnonzero(stays)
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles long, component_id): one row per input row.
 
@@ -173,7 +318,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     compared with one leader; what this leaves in one component needs no more comparing. Of lists that still hold
     several components, all pairs across components are tested: short lists are joined with themselves, long ones are cut
     into blocks, and each pair of blocks is scanned in a task of its own that puts out only the pairs that a bitmap cannot
-    rule out. Lists are aggregated or joined (skewed ones are split by AQE), never collected.
+    rule out. Postings are shuffled once, in buckets of keys; of a key that very many texts share only counts go to its bucket, and its postings
+    meet them in a join that AQE can split. So no list is ever held by one task.
 
     Rows that repeat an id share its component; null ids link with nothing and keep a null component. An
     empty table gives an empty result; other columns are not read.
@@ -183,7 +329,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     scratch = Scratch(spark, "jaccard")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    seen = scratch.save(src.mapInArrow(bt.tidied(_survey), f"kind tinyint, id {kind}, n long, key binary, bits binary, token long"), ["kind"])
+    seen = scratch.save(src.mapInArrow(bt.tidied(_survey), f"kind tinyint, id {kind}, n long, key binary, bits binary, token long"))
     meta = seen.where("kind = 0").select("id", "n", "key", "bits")
 
     # frequent shingles last, the most frequent at the very end; a bounded list
@@ -194,89 +340,80 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     broad = spark.sparkContext.broadcast((frequent[by], rank[by]))
     # the boundary: sizes on a logarithmic scale (a few hundred numbers) and the mean number of rounds a posting takes part in
     step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 16) / 16)))
-    classes = scratch.save(meta.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+    classes = scratch.save(meta.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n")), slim=True)
     sizes = {int(r.size): r["count"] for r in classes.groupBy(step.alias("size")).count().collect()}
     rare = seen.where("kind = 2").groupBy("token").agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * F.log2("m")).alias("a"), F.sum("m").alias("b")).first()
     boundary = choose_boundary(sizes, (rare.a or 0) / max(rare.b or 1, 1), percent)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, order = broad.value
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                n, keys = [], []
-                for t in bt.texts(part.column("text")):
-                    s = shingles(t or b"")
-                    n.append(len(s))
-                    keys.append(keys_of(s, boundary, late, order, percent).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "keys"])
-
-    reps = scratch.save(classes.select(F.col("rep").alias("id")))
-    listed = scratch.save(src.mapInArrow(bt.tidied(prefixes), f"id {kind}, n long, keys array<bigint>").join(reps, "id", "left_semi"))
-    scratch.release()
-    postings = listed.select("id", "n", F.explode("keys").alias("k"))
-    lists = postings.groupBy("k").agg(F.count("*").alias("m"), F.min("id").alias("leader")).where("m > 1")
-    heads = scratch.save(lists.select("k", "leader"))  # written, so that AQE can split a hot list in the join
-    lists = scratch.save(postings.join(heads, "k"))
-    scratch.drop(listed, heads)
+    # texts are shuffled this once, compressed; whatever needs them below reads them where they lie
+    packed = scratch.save_by(_packed(src.where("id IS NOT NULL"), kind), "id")
     scratch.release()
-
-    bits = meta.select("id", "n", "bits").join(lists.select("id").distinct(), "id", "left_semi")
-    bits = scratch.save(bits.dropDuplicates(["id", "bits"]))
-    packed = scratch.save(_packed(src, kind).join(bits.select("id").distinct(), "id", "left_semi"))
+    reps = scratch.save(classes.select(F.col("rep").alias("id")), slim=True)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = packed.join(reps, "id", "left_semi").mapInArrow(
+        bt.tidied(_blocks(broad, boundary, percent, parts * BUCKETS)), f"j int, kind tinyint, keys array<bigint>, ids array<{kind}>, ns array<int>, caps array<int>, cs array<int>"
+    )
+    met = blocks.repartition(parts, "j").sortWithinPartitions("j", "kind").mapInArrow(bt.tidied(_meet), f"kind tinyint, k long, id {kind}, n int, cap int, leader {kind}, nl int, capl int, m long")
+    met = scratch.save(met)
+    # postings of hot keys have met nobody yet: both sides are written, so that AQE can split a hot key in this join
+    hot = scratch.save(met.where("kind = 1").select("k", "id", "n", "cap").join(met.where("kind = 2").select("k", "leader", "nl", "capl", "m"), "k"), slim=True)
+    lists = met.where("kind = 0").select("k", "id", "n", "cap", "leader", "nl", "capl", "m").unionByName(hot)
     scratch.release()
 
+    bits = scratch.save(meta.where("key IS NOT NULL AND id IS NOT NULL").select("id", "n", "bits").dropDuplicates(["id", "bits"]), slim=True)
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (bits.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
-        close = scratch.save(pairs.join(a, "a").join(b, "b").mapInArrow(_by_bitmap(percent), f"a {kind}, b {kind}"))
-        a, b = (packed.select(F.col("id").alias(c), F.col("z").alias(f"z{c}")) for c in "ab")
-        out = scratch.save(close.join(a, "a").join(b, "b").mapInArrow(_by_text(percent), f"a {kind}, b {kind}"))
-        scratch.drop(close)
+        close = scratch.save(pairs.join(a, "a").join(b, "b").mapInArrow(bt.tidied(_by_bitmap(percent)), f"a {kind}, b {kind}"))
+        # texts of the pairs that are left; written, so that AQE can split a text in many pairs
+        some = scratch.save(packed.join(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "id", "left_semi"))
+        a, b = (some.select(F.col("id").alias(c), F.col("z").alias(f"z{c}")) for c in "ab")
+        out = scratch.save(close.join(a, "a").join(b, "b").mapInArrow(bt.tidied(_by_text(percent)), f"a {kind}, b {kind}"))
+        scratch.drop(close, some)
+        scratch.release()
         return out
 
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    sized = bits.select(F.col("id").alias("leader"), F.col("n").alias("nl"))
-    star = lists.where("id <> leader").select(F.col("id"), "n", "leader").distinct().join(sized, "leader").where(fits("n", "nl"))
-    # distinct before the join, not after it: an aggregation by leader above the join would keep AQE from splitting a hot leader
-    star = scratch.save(star.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    star = lists.where((F.col("id") != F.col("leader")) & (F.col("n") <= F.col("capl")) & (F.col("nl") <= F.col("cap"))).select("leader", "id").distinct()
+    star = scratch.save(star.select(F.col("leader").alias("a"), F.col("id").alias("b")), slim=True)
     same = meta.where("id is not null").join(classes.select("key", "rep"), "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     # first each text with its smallest leader, then what is still apart
     links = scratch.save(same.unionByName(verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))))
-    comp = scratch.save(connected_components(links))
+    comp = scratch.save(connected_components(links), slim=True)
     links = links.unionByName(verified(_apart(star, comp)))
     scratch.drop(star)
-    comp = scratch.save(connected_components(links))
-    # lists that still hold several components: every pair across components is tested, in one of two ways
+    comp = scratch.save(connected_components(links), slim=True)
+    # lists that still hold several components: every pair across components is tested, in one of two ways; a list of two is settled by its leader
     c = comp.select(F.col("node").alias("id"), "component")
-    open_ = lists.select("k", "id", "n").join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = lists.where("m > 2").select("k", "id", "n", "cap").join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = open_.groupBy("k").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k", "m")
-    open_ = scratch.save(open_.join(scratch.save(split), "k"))
-    scratch.drop(lists)
+    open_ = scratch.save(open_.join(scratch.save(split, slim=True), "k"), slim=True)
+    scratch.drop(met, hot)
     short = open_.where(F.col("m") <= SHORT_LIST).drop("m")
-    other = short.select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    pairs = short.join(other, "k").where((F.col("id") > F.col("a")) & (F.col("component") != F.col("ca")) & fits("n", "na")).select("a", F.col("id").alias("b"))
+    other = short.select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("cap").alias("capa"), F.col("component").alias("ca"))
+    may = (F.col("n") <= F.col("capa")) & (F.col("na") <= F.col("cap"))
+    pairs = short.join(other, "k").where((F.col("id") > F.col("a")) & (F.col("component") != F.col("ca")) & may).select("a", F.col("id").alias("b"))
     links = scratch.save(links.unionByName(verified(pairs.distinct().unionByName(_long_lists(open_, bits, percent, kind)).distinct())))
-    scratch.drop(open_)
+    scratch.drop(open_, packed)
     scratch.release()
-    comp = scratch.save(connected_components(links))
+    comp = scratch.save(connected_components(links), slim=True)
 
     out = meta.select("id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def _long_lists(members: DataFrame, bits: DataFrame, percent: int, kind: str) -> DataFrame:
-    """(a, b) of long lists (k, id, n, component, m): pairs across components that their bitmaps do not rule out."""
+    """(a, b) of long lists (k, id, n, cap, component, m): pairs across components that their bitmaps do not rule out."""
     x = members.where(F.col("m") > SHORT_LIST).withColumn("parts", F.ceil(F.col("m") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    x = x.select("id", "n", "component", "k", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part")
+    x = x.select("id", "n", "cap", "component", "k", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part")
     x = x.join(bits.select("id", "bits"), "id").repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi")
     code = F.xxhash64("component")  # only compared for equality within a block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in adjacent_groups(batches, ["k", "lo", "hi"]):
-            i, j = close_pairs(
-                rows.column("n").to_numpy(), rows.column("part").to_numpy(), rows.column("component").to_numpy(), rows.column("bits").to_pylist(), percent
-            )
+            n, cap, part, component = (rows.column(c).to_numpy() for c in ("n", "cap", "part", "component"))
+            i, j = close_pairs(n.astype(np.int64), part, component, rows.column("bits").to_pylist(), percent)
+            may = (n[i] <= cap[j]) & (n[j] <= cap[i])
+            i, j = i[may], j[may]
             if len(i):
                 x, y = rows.column("id").take(pa.array(i)), rows.column("id").take(pa.array(j))
                 yield pa.RecordBatch.from_arrays([pc.min_element_wise(x, y), pc.max_element_wise(x, y)], ["a", "b"])
