@@ -150,7 +150,7 @@ def _map(docs: DataFrame, id_col: str, text_col: str, out: str, names: list[str]
 
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
     run_schema = [None, *(kinds[x.strip().split(" ")[1]] for x in out.split(","))]
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, {out}").withColumnRenamed("id", id_col)
+    return src.mapInArrow(bt.tidied(run), f"id {src.schema['id'].dataType.simpleString()}, {out}").withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
@@ -182,7 +182,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             got = [c.decode(x or []) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.binary()), pa.array([g.decode("utf-8", "replace") for g in got])], ["id", "text_bytes", "text"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text_bytes binary, text string").withColumnRenamed("id", id_col)
+    return src.mapInArrow(bt.tidied(run), f"id {src.schema['id'].dataType.simpleString()}, text_bytes binary, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,6 +22,8 @@ WIDTHS = (2, 3, 4)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PAD = 0x20
+#: Windows classified together.
+BATCH = 4096
 
 
 def windows(data: bytes, size: int = WINDOW) -> np.ndarray:
@@ -79,22 +81,78 @@ class ByteCnn:
             out[i : i + 64] = z - np.log(np.exp(z).sum(1, keepdims=True))
         return out
 
-    def predict(self, data: bytes | None) -> tuple[str, float]:
-        """(language, probability); ("und", 0.0) for null, for texts without a letter and for a model without languages."""
-        if not self.langs or not data or not has_letter(data):
-            return "und", 0.0
-        total = np.zeros(len(self.langs))
-        weight = 0
-        step = WINDOW << 12
-        for at in range(0, len(data), step):  # bounded memory for very long texts
-            x = windows(data[at : at + step])
+    def predict_all(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
+        """(language, probability) of each text; ("und", 0.0) for null, for texts without a letter and for a model without languages.
+
+        Windows of many texts go through the network together, BATCH at a time, whatever the texts' lengths.
+        """
+        out, held = [("und", 0.0)] * len(texts), 0
+        total, weight = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        parts: list[np.ndarray] = []
+        owner: list[np.ndarray] = []
+
+        def flush() -> None:
+            nonlocal held
+            x, own = np.concatenate(parts), np.concatenate(owner)
             w = _LETTER[x].sum(1)
-            total += w @ self.log_probs(x)
-            weight += int(w.sum())
-        z = total / max(weight, 1)
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        return self.langs[int(p.argmax())], float(p.max())
+            np.add.at(total, own, w[:, None] * self.log_probs(x))
+            np.add.at(weight, own, w)
+            parts.clear()
+            owner.clear()
+            held = 0
+
+        open_ = [i for i, t in enumerate(texts) if self.langs and t and has_letter(t)]
+        step = WINDOW * BATCH
+        for i in open_:
+            for at in range(0, len(texts[i]), step):  # bounded memory for very long texts
+                x = windows(texts[i][at : at + step])
+                parts.append(x)
+                owner.append(np.full(len(x), i))
+                held += len(x)
+                if held >= BATCH:
+                    flush()
+        if held:
+            flush()
+        for i in open_:
+            z = total[i] / max(weight[i], 1)
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            out[i] = (self.langs[int(p.argmax())], float(p.max()))
+        return out
+
+    def predict(self, data: bytes | None) -> tuple[str, float]:
+        return self.predict_all([data])[0]
+
+
+def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean softmax cross-entropy of windows `x` whose languages have the numbers `target`, and its gradient by each of the parameters `p`."""
+    n, per_width = len(x), len(p[f"b{WIDTHS[0]}"])
+    emb = p["e"][x]  # n, L, d
+    acts, tops = [], {}
+    for w in WIDTHS:
+        span = x.shape[1] - w + 1
+        z = sum(emb[:, j : j + span] @ p[f"k{w}"][j] for j in range(w))
+        tops[w] = z.argmax(1)  # n, f
+        acts.append(np.take_along_axis(z, tops[w][:, None], 1)[:, 0] + p[f"b{w}"])
+    a = np.concatenate(acts, 1)
+    r = np.maximum(a, 0)
+    z = r @ p["o"] + p["ob"]
+    z = np.exp(z - z.max(1, keepdims=True))
+    g = z / z.sum(1, keepdims=True)
+    loss = float(-np.log(np.maximum(g[np.arange(n), target], 1e-30)).mean())
+    g[np.arange(n), target] -= 1
+    g /= n
+    grad = {"o": r.T @ g, "ob": g.sum(0), "e": np.zeros_like(p["e"])}
+    da = (g @ p["o"].T) * (a > 0)
+    for i, w in enumerate(WIDTHS):
+        d = da[:, i * per_width : (i + 1) * per_width]
+        grad[f"b{w}"] = d.sum(0)
+        grad[f"k{w}"] = np.empty_like(p[f"k{w}"])
+        for j in range(w):
+            byte = np.take_along_axis(x, tops[w] + j, 1)  # n, f: only the pooled position gets a gradient
+            grad[f"k{w}"][j] = np.einsum("nfd,nf->df", p["e"][byte], d)
+            np.add.at(grad["e"], byte, d[:, :, None] * p[f"k{w}"][j].T[None])
+    return loss, grad
 
 
 def train(x: np.ndarray, y: list[str], dim: int = 8, per_width: int = 16, epochs: int = 6, rate: float = 0.003, seed: int = 7) -> ByteCnn:
@@ -114,31 +172,7 @@ def train(x: np.ndarray, y: list[str], dim: int = 8, per_width: int = 16, epochs
         order = rng.permutation(len(x))
         for at in range(0, len(order), 32):
             rows = order[at : at + 32]
-            xb, n = x[rows], len(rows)
-            emb = p["e"][xb]  # n, L, d
-            acts, tops = [], {}
-            for w in WIDTHS:
-                span = xb.shape[1] - w + 1
-                z = sum(emb[:, j : j + span] @ p[f"k{w}"][j] for j in range(w))
-                tops[w] = z.argmax(1)  # n, f
-                acts.append(np.take_along_axis(z, tops[w][:, None], 1)[:, 0] + p[f"b{w}"])
-            a = np.concatenate(acts, 1)
-            r = np.maximum(a, 0)
-            z = r @ p["o"] + p["ob"]
-            z = np.exp(z - z.max(1, keepdims=True))
-            g = z / z.sum(1, keepdims=True)
-            g[np.arange(n), target[rows]] -= 1
-            g /= n
-            grad = {"o": r.T @ g, "ob": g.sum(0), "e": np.zeros_like(p["e"])}
-            da = (g @ p["o"].T) * (a > 0)
-            for i, w in enumerate(WIDTHS):
-                d = da[:, i * per_width : (i + 1) * per_width]
-                grad[f"b{w}"] = d.sum(0)
-                grad[f"k{w}"] = np.empty_like(p[f"k{w}"])
-                for j in range(w):
-                    byte = np.take_along_axis(xb, tops[w] + j, 1)  # n, f: only the pooled position gets a gradient
-                    grad[f"k{w}"][j] = np.einsum("nfd,nf->df", p["e"][byte], d)
-                    np.add.at(grad["e"], byte, d[:, :, None] * p[f"k{w}"][j].T[None])
+            _, grad = loss_and_gradients(p, x[rows], target[rows])
             step += 1
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * grad[k]
@@ -154,7 +188,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     The bound: about `texts_per_lang` texts of each language, chosen by a hash of the id, and from each its
     first, middle and last windows (`windows_per_text`), so the driver gets at most about
     texts_per_lang * windows_per_text * languages windows of WINDOW bytes. Rows with null text or language are
-    not used. More than `max_langs` languages raise. Without rows the model predicts "und".
+    not used. More than `max_langs` languages raise. Without rows the model predicts "und". Repeated rows are examples of their own;
+    rows of one id are chosen together; other columns are not read.
     """
     bt.small_batches(labelled.sparkSession)
     src = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -179,7 +214,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                         ids.append(f"{i}/{j}")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(got, pa.binary()), pa.array(langs, pa.string())], ["key", "x", "lang"])
 
-    rows = sorted(chosen.mapInArrow(cut, "key string, x binary, lang string").collect())
+    rows = sorted(chosen.mapInArrow(bt.tidied(cut), "key string, x binary, lang string").collect())
     if not rows:
         return ByteCnn([], np.zeros((256, 1)), {}, {}, np.zeros((0, 0)), np.zeros(0))
     return train(np.stack([np.frombuffer(bytes(r.x), np.uint8) for r in rows]), [r.lang for r in rows])
@@ -196,7 +231,7 @@ def predict(docs: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.predict(t) for t in bt.texts(b.column("text"))]
+            got = model.predict_all(list(bt.texts(b.column("text"))))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["id", "lang_pred", "score"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return src.mapInArrow(bt.tidied(run), f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)

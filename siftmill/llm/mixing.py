@@ -94,7 +94,7 @@ def mix(
 ) -> DataFrame:
     """(id, domain, lang, source, epoch int, tokens long, start long, carry...): the selected rows.
 
-    `total_tokens` None means all tokens once. In each epoch a leaf's rows stand in the order of a hash of (seed, epoch, id);
+    `total_tokens` None means all tokens once. In each epoch a leaf's rows stand in the order of the first 15 hex digits of md5(seed/epoch/id);
     `start` is the number of tokens before a row within its leaf, earlier epochs included, and a row is taken
     when start < budget: the last row may pass the budget, so no leaf with a budget stays below it.
     Prefix sums are taken in two steps: hash ranges of about `rows_per_bucket` rows are summed first, so
@@ -125,9 +125,10 @@ def mix(
     if len(plan) <= 2000:  # a checked bound; larger trees are joined by shuffle
         table = F.broadcast(table)
     x = src.join(table, leaf)
-    x = x.withColumn("order", F.xxhash64(F.lit(seed), F.col("epoch"), F.col("id").cast("string")))
-    # the order's leading part: equal hash ranges, of which a leaf has as many as its rows need
-    x = x.withColumn("bucket", F.floor((F.shiftrightunsigned(F.col("order").bitwiseXOR(F.lit(-(1 << 63))), 33).cast("double") / float(1 << 31)) * F.col("buckets")))
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("epoch"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    x = x.withColumn("order", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    # the order's leading part: equal ranges of digests, of which a leaf has as many as its rows need
+    x = x.withColumn("bucket", F.floor(F.col("order").cast("double") / float(1 << 60) * F.col("buckets")))
     sums = x.groupBy(*leaf, "epoch", "bucket").agg(F.sum("tok").alias("s"), F.first("buckets").alias("buckets"))
     # prefix sums of bucket sums: again in two steps, by groups of 1024 buckets
     sums = sums.withColumn("block", F.floor(F.col("bucket") / 1024))

@@ -62,7 +62,7 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             rows = [statistics(t or b"") for t in bt.texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.list_(pa.float64()))], ["id", "f"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, f array<double>").withColumnRenamed("id", id_col)
+    return src.mapInArrow(bt.tidied(run), f"id {src.schema['id'].dataType.simpleString()}, f array<double>").withColumnRenamed("id", id_col)
 
 
 @dataclass
@@ -108,7 +108,7 @@ def fit(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
         yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(total.ravel())], ["pos", "v"])
 
     total = np.zeros(2 * (1 + d + d * d))
-    for r in j.mapInArrow(sums, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect():
+    for r in j.mapInArrow(bt.tidied(sums), "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect():
         total[r.pos] = r.v
     total = total.reshape(2, -1)
     n, s, p = total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d)
@@ -141,7 +141,7 @@ def score(features: DataFrame, model: Discriminant, id_col: str = "doc_id") -> D
             y = model.score(x)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(y), pa.array((y >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+    return src.mapInArrow(bt.tidied(run), f"id {src.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text") -> DataFrame:
@@ -156,4 +156,4 @@ def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text") -> D
                 x = np.array([statistics(t or b"") for t in bt.texts(part.column(text_col))]).reshape(-1, len(FEATURES))
                 yield part.filter(pa.array(model.score(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bt.tidied(run), docs.schema)

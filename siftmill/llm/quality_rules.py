@@ -100,7 +100,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(r.failed(), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return src.mapInArrow(run, out_type).withColumn("fail_bits", bits).withColumnRenamed("id", id_col)
+    return src.mapInArrow(bt.tidied(run), out_type).withColumn("fail_bits", bits).withColumnRenamed("id", id_col)
 
 
 def apply_policy(led: DataFrame, version: int, policies: dict[int, int] = POLICIES) -> DataFrame:
