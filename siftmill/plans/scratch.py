@@ -41,7 +41,7 @@ class Scratch:
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         #: The frames themselves are kept beside their paths: an id is unique only while its object lives.
-        self._kept: dict[int, tuple[DataFrame, str, str | None]] = {}
+        self._kept: dict[int, tuple[DataFrame, str]] = {}
 
     def _next(self) -> str:
         self._n += 1
@@ -63,7 +63,7 @@ class Scratch:
             if slim:
                 self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._kept[id(out)] = (out, path, None)
+        self._kept[id(out)] = (out, path)
         return out
 
     def _writer(self, df: DataFrame):
@@ -71,12 +71,17 @@ class Scratch:
         return df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
 
     def save_by(self, df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
-        """A copy in `buckets` files (the session's shuffle partitions) by hash of `column`. The catalog holds its name until it is dropped or closed."""
+        """A copy in `buckets` files (the session's shuffle partitions) by hash of `column`.
+
+        Buckets are known to the catalog only, so the copy is a table there for a moment: the frame keeps what it needs of it.
+        """
         path, n = self._next(), buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         name = "siftmill_" + path.rsplit("/", 2)[1].replace("-", "_") + f"_t{self._n}"
         self._writer(df.repartition(n, column)).format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
         out = self.spark.table(name)
-        self._kept[id(out)] = (out, path, name)
+        out.schema  # noqa: B018  resolved while the name is there
+        self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+        self._kept[id(out)] = (out, path)
         return out
 
     def _fs(self, path: str):
@@ -90,9 +95,7 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
-            _, path, name = self._kept.pop(id(f), (None, None, None))
-            if name:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            _, path = self._kept.pop(id(f), (None, None))
             if path:
                 fs, p = self._fs(path)
                 fs.delete(p, True)
