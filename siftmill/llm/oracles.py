@@ -1,5 +1,29 @@
 """DuckDB SQL for the queries that SQL can express; the others are tested against plain Python."""
 
+
+
+def _fill(n: int, children: str, parent: str, key: str) -> str:
+    """What each of `children` (parent, key, p = the parent's amount, w, cap) gets, as table r<n>: the level at which some are full."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    order = f"OVER ({by} ORDER BY cap / w, {key} ROWS BETWEEN"
+    return f"""c{n} AS ({children}),
+o{n} AS (SELECT *, least(p, sum(cap) OVER ({by})) AS amt, coalesce(sum(cap) {order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, sum(w) {order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM c{n} WHERE w > 0 AND cap > 0),
+g{n} AS (SELECT *, cap / w * ws + s <= amt AS is_full FROM o{n}),
+r{n} AS (SELECT *, CASE WHEN is_full THEN cap ELSE w * (amt - coalesce(sum(cap) FILTER (WHERE is_full) OVER ({by}), 0)) / sum(w) FILTER (WHERE NOT is_full) OVER ({by}) END AS got FROM g{n})"""
+
+
+MIX = f"""WITH d AS (SELECT doc_id, CASE WHEN try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 2 = 0 THEN 'reference' ELSE 'web' END AS l0, coalesce(lang, '') AS l1, coalesce(source, '') AS l2,
+ coalesce(ceil(strlen(text) / 4.0), 0)::BIGINT AS tok FROM documents),
+leaf AS (SELECT l0, l1, l2, sum(tok)::DOUBLE AS n FROM d GROUP BY ALL),
+{_fill(0, "SELECT l0, sum(n) AS t, 3 * sum(n) AS cap, CASE l0 WHEN 'reference' THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END AS w, (SELECT sum(n) FROM leaf) AS p FROM leaf GROUP BY 1", "", "l0")},
+k1 AS (SELECT l0, l1, sum(n) AS t, CASE WHEN l0 = 'web' AND l1 = 'en' THEN 0.5::DOUBLE END AS given FROM leaf GROUP BY 1, 2),
+{_fill(1, "SELECT k1.l0, k1.l1, k1.t, 3 * k1.t AS cap, r0.got AS p, coalesce(given, (1 - coalesce(sum(given) OVER z, 0)) * k1.t / nullif(sum(k1.t) FILTER (WHERE given IS NULL) OVER z, 0)) AS w FROM k1 JOIN r0 ON r0.l0 = k1.l0 WINDOW z AS (PARTITION BY k1.l0)", "l0", "l1")},
+{_fill(2, "SELECT leaf.l0, leaf.l1, l2, n AS t, 3 * n AS cap, r1.got AS p, n / nullif(sum(n) OVER (PARTITION BY leaf.l0, leaf.l1), 0) AS w FROM leaf JOIN r1 ON r1.l0 = leaf.l0 AND r1.l1 = leaf.l1", "l0, l1", "l2")},
+b AS (SELECT l0, l1, l2, t::BIGINT AS n, floor(got + 1e-6)::BIGINT AS b FROM r2),
+e AS (SELECT *, unnest(generate_series(0, (b + n - 1) // n - 1)) AS e FROM b WHERE b > 0),
+x AS (SELECT d.*, e, n, b, sum(tok) OVER (PARTITION BY d.l0, d.l1, d.l2, e ORDER BY substr(md5('17/' || e || '/' || doc_id), 1, 15), doc_id, tok ROWS UNBOUNDED PRECEDING) - tok AS start FROM d JOIN e ON e.l0 = d.l0 AND e.l1 = d.l1 AND e.l2 = d.l2)
+SELECT doc_id, l0 AS domain, l1 AS lang, l2 AS source, e::INT AS epoch, tok AS tokens, (start + e * n)::BIGINT AS start FROM x WHERE start < least(b - e * n, n)"""
+
 CHAT = """WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 e AS (SELECT *, replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;') AS r, replace(replace(text, '&', '&amp;'), '<|', '&lt;|') AS x, ceil((strlen(text) + strlen(role)) / 4.0)::BIGINT + 4 AS tok FROM c),
@@ -52,12 +76,18 @@ b AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)
  + 32 * (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::INT + 64 * (100 * n_alpha_words < 60 * n_words)::INT + 128 * (100 * n_upper > 60 * n_letters)::INT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 127) = 0 AS kept, fail_bits FROM b"""
 
+ABLATION = f"""WITH q AS (SELECT fail_bits & 127 AS p FROM ({RULES})),
+r(bit, rule) AS (VALUES (0, 'too_few_words'), (1, 'repeated_words'), (2, 'short_words'), (3, 'long_words'), (4, 'many_symbols'), (5, 'duplicate_lines'), (6, 'few_letters'))
+SELECT 2 AS version, bit, rule, count(*) FILTER (p & (1 << bit) <> 0) AS n_failed, count(*) FILTER (p = (1 << bit)) AS n_failed_alone, count(*) FILTER (p & ~(1 << bit) = 0) AS n_kept_without FROM q, r GROUP BY ALL"""
+
+OFFSETS = "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_covered, strlen(coalesce(text, ''))::BIGINT AS last_end FROM documents"
+
 SUFFIX = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents), q AS (SELECT doc_id, hx, unnest(generate_series(0, length(hx) // 2 - 400)) AS i FROM h WHERE length(hx) >= 800),
 p AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 800)) AS m FROM q), k AS (SELECT m FROM p GROUP BY 1 HAVING count(*) > 1), d AS (SELECT doc_id, i FROM p WHERE m IN (SELECT m FROM k)),
 f AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM d), g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
 r AS (SELECT doc_id, run, min(i) AS s, max(i) + 400 AS e FROM g GROUP BY 1, 2), l AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev FROM r),
 x AS (SELECT l.doc_id, string_agg(substr(hx, 2 * prev + 1, 2 * (s - prev)), '' ORDER BY s) AS lead, max(e) AS e, sum(l.e - l.s)::BIGINT AS n, count(*) AS c FROM l JOIN h ON h.doc_id = l.doc_id GROUP BY 1)
-SELECT h.doc_id, length(hx)::BIGINT // 2 AS n_bytes, coalesce(x.n, 0) AS n_removed, coalesce(x.c, 0) AS n_spans, sha256(unhex(CASE WHEN x.n IS NULL THEN hx ELSE x.lead || substr(hx, 2 * x.e + 1) END)) AS kept_sha256
+SELECT h.doc_id, length(hx)::BIGINT // 2 AS n_bytes, coalesce(x.n, 0) AS n_removed, coalesce(x.c, 0) AS n_spans, coalesce(x.n, 0) > 0 AS has_repeats, sha256(unhex(CASE WHEN x.n IS NULL THEN hx ELSE x.lead || substr(hx, 2 * x.e + 1) END)) AS kept_sha256
 FROM h LEFT JOIN x ON x.doc_id = h.doc_id"""
 
-ORACLES = {"op2_chat_windows": CHAT, "op3_near_embeddings": EMBEDDINGS, "op4_suffix_dedup": SUFFIX, "op5_warc_fixity": WARC, "op6_ngram_jaccard": JACCARD, "op9_quality_rules": RULES}
+ORACLES = {"op1_mix_sources": MIX, "op2_chat_windows": CHAT, "op3_near_embeddings": EMBEDDINGS, "op4_suffix_dedup": SUFFIX, "op5_warc_fixity": WARC, "op6_ngram_jaccard": JACCARD, "op9_quality_rules": RULES, "rule_ablation": ABLATION, "bpe_offsets": OFFSETS}

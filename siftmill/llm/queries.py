@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm import byte_bpe, byte_cnn, chat, jaccard, mixing, near_embed, qda, quality_rules, suffix_dedup, warc_fixity
@@ -54,28 +54,33 @@ def op3_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.Repeats(read(spark, sf_dir, "documents"), min_len=400).cut()
+    cut = suffix_dedup.Repeats(read(spark, sf_dir, "documents"), min_len=400).cut()
+    return cut.withColumn("has_repeats", F.col("n_removed") > 0)
 
 
-def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """WARC records of all pages, 512 ids to a file, and a replica of them with known damage: every page whose id leaves
-    7 modulo 101 has its last byte changed, every one that leaves 5 modulo 211 is gone."""
-    a = pages.select("page_id", F.floor(F.col("page_id") / 512).alias("n"), warc_fixity.record_bytes(F.col("url"), F.col("page_id"), F.col("html")).alias("record"))
-    w = Window.partitionBy("n").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    a = a.withColumn("offset", F.coalesce(F.sum(F.octet_length("record")).over(w), F.lit(0)).cast("long"))
-    a = a.withColumn("file", F.format_string("part-%08d.warc", "n"))
+def suffix_repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeats themselves, with all occurrences."""
+    return suffix_dedup.Repeats(read(spark, sf_dir, "documents"), min_len=400).groups()
+
+
+def replicas(pages: DataFrame) -> DataFrame:
+    """(page_id, file, offset, length, hash, length_b, hash_b): WARC records of all pages, 512 ids to a file, and of a replica with known
+    damage: there, every page whose id leaves 7 modulo 101 has its last byte changed. Records are measured before anything is shuffled."""
+    record = warc_fixity.record_bytes(F.col("url"), F.col("page_id"), F.col("html"))
+    r = pages.select("page_id", F.format_string("part-%08d.warc", F.floor(F.col("page_id") / 512)).alias("file"), record.alias("record"))
     flipped = F.concat(F.substr("record", F.lit(1), F.octet_length("record") - 1), F.lit(b"\x00"))
-    b = a.where(F.col("page_id") % 211 != 5).withColumn("record", F.when(F.col("page_id") % 101 == 7, flipped).otherwise(F.col("record")))
-    return a, b
+    r = r.withColumn("record_b", F.when(F.col("page_id") % 101 == 7, flipped).otherwise(F.col("record")))
+    length_b, hash_b = warc_fixity.measured(F.col("record_b"))
+    r = r.select("page_id", "file", *warc_fixity.measured(F.col("record")), length_b.alias("length_b"), hash_b.alias("hash_b"))
+    return warc_fixity.placed(r, "file", "page_id")
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "op5")
-    a, b = replicas(read(spark, sf_dir, "pages"))
-    ids = scratch.save(a.select("page_id", *[F.col(c).alias(c) for c in ("file", "offset")], F.octet_length("record").cast("long").alias("length"), F.sha2(F.concat(F.lit(b"\x00"), F.col("record")), 256).alias("hash")))
-    found = warc_fixity.audit(ids, warc_fixity.hashed(b))
-    status = found.select("file", "offset", "status")
-    return ids.join(status, ["file", "offset"], "left").select(
+    both = Scratch(spark, "op5").save(replicas(read(spark, sf_dir, "pages")))
+    # from the replica, every page whose id leaves 5 modulo 211 is gone
+    b = both.where(F.col("page_id") % 211 != 5).select("file", "offset", F.col("length_b").alias("length"), F.col("hash_b").alias("hash"))
+    status = warc_fixity.audit(both, b).select("file", "offset", "status")
+    return both.join(status, ["file", "offset"], "left").select(
         "page_id", F.col("file").alias("warc_file"), F.col("offset").alias("warc_offset"), "length", "hash", F.coalesce("status", F.lit("ok")).alias("status")
     )
 
@@ -97,17 +102,29 @@ def op8_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality_rules.ledger(read(spark, sf_dir, "documents"))
+    led = Scratch(spark, "op9").save(quality_rules.ledger(read(spark, sf_dir, "documents")))
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.BASE).cast("long")) != 0
     return quality_rules.apply_policy(led, 2).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits"
     )
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy 2 does, from the stored ledger alone."""
+    return quality_rules.ablate(Scratch(spark, "ablation").save(quality_rules.ledger(read(spark, sf_dir, "documents"))), 2)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer_path())
 
 
+def bpe_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that the tokens' offsets cover, and where the last token ends: both are a text's length, as tokens tile it."""
+    x = byte_bpe.encode(read(spark, sf_dir, "documents"), *tokenizer_path())
+    covered = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda n, k: n + k)
+    return x.select("doc_id", covered.alias("n_covered"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("last_end"))
+
+
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents grouped by links of Jaccard 0.8 or more over five-word shingles: every link counts, and each is verified.
 
@@ -116,4 +133,4 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("item_id"), F.col("component_id").alias("group_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op4_suffix_dedup, op5_warc_fixity, op6_ngram_jaccard, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe, simhash_groups)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op4_suffix_dedup, op5_warc_fixity, op6_ngram_jaccard, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe, rule_ablation, bpe_offsets, suffix_repeat_groups, simhash_groups)}

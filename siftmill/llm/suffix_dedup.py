@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.llm import bytetext as bt
@@ -181,14 +181,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def _scan(min_len: int, groups: bool):
-    """Reach of every context (core, ctx, l, r), or with `groups` the maximal repeats (repeat, length, core, ctx, l)."""
+    """Reach of every context (core, ctx, l, r), or with `groups` the maximal repeats (repeat, length, core, ctx, l, g)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["repeat", "length", "core", "ctx", "l"] if groups else ["core", "ctx", "l", "r"]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32()] if groups else [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names = ["repeat", "length", "core", "ctx", "l", "g"] if groups else ["core", "ctx", "l", "r"]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] if groups else [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         out: list[tuple] = []
         name = lambda content: hashlib.sha256(content).hexdigest()[:32]
-        for _, rows in _slices(batches):
+        for g, rows in _slices(batches):
             lefts = [d[:left][::-1] for _, _, left, d in rows]
             rights = [d[left:] for _, _, left, d in rows]
             reach = np.zeros((len(rows), 2), np.int64)
@@ -198,7 +198,7 @@ def _scan(min_len: int, groups: bool):
                     content = x[3][x[2] - left : x[2] + length]
                     # only from anchors of windows within it, which all its occurrences have
                     if left in anchors(bt.as_array(content), min_len)[0]:
-                        out += [(name(content), left + length, rows[i][0], rows[i][1], left) for i in members]
+                        out += [(name(content), left + length, rows[i][0], rows[i][1], left, g) for i in members]
                 else:
                     reach[members, 0] = np.maximum(reach[members, 0], far)
                     reach[members, 1] = np.maximum(reach[members, 1], length)
@@ -213,24 +213,25 @@ def _scan(min_len: int, groups: bool):
     return run
 
 
-def _halves(min_len: int):
+def _halves(min_len: int, groups: bool):
     """Two rows per row of a group that is too large: one for each half of its range of offsets.
 
-    `g` becomes a hash of the group, the half and the bytes that all windows of the half share; `u` one of
-    all bytes that they touch. A half in which the text has no window is left out.
+    `g` becomes a hash of the group, the half and the bytes that all windows of the half share, `up` is the group it comes from; the
+    context is cut to the bytes that windows of the half touch, and `u` is their hash. A half in which the text has no window is left out.
+    `own` (for `groups`) says whether one of these windows has this anchor, so that all occurrences of the bytes have it too.
     """
 
     def key(*parts) -> int:
         return int.from_bytes(hashlib.blake2b(b"|".join(p if isinstance(p, bytes) else str(p).encode() for p in parts), digest_size=8).digest(), "little", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g", "o1", "o2", "u", "reach_l", "reach_r", "core", "ctx", "left", "data", "n"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+        names = ["g", "up", "o1", "o2", "u", "core", "ctx", "left", "data", "w", "own"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()]
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 out = []
-                for g, o1, o2, core, ctx, left, data, n in zip(*(part.column(c).to_pylist() for c in ("g", "o1", "o2", "core", "ctx", "left", "data", "n")), strict=True):
+                for g, o1, o2, core, ctx, left, data, w in zip(*(part.column(c).to_pylist() for c in ("g", "o1", "o2", "core", "ctx", "left", "data", "w")), strict=True):
                     mid = (o1 + o2) // 2
                     right = len(data) - left
                     for lo, hi in ((o1, mid), (mid + 1, o2)):
@@ -238,7 +239,9 @@ def _halves(min_len: int):
                             continue
                         shared = data[left - lo : left + min_len - hi]
                         l, r = min(left, hi), min(right, min_len - lo)
-                        out.append((key(g, lo, hi, shared), lo, hi, key(l, data[left - l : left + r]), l, r, core, ctx, left, data, n))
+                        touched = data[left - l : left + r]
+                        own = groups and l in anchors(bt.as_array(touched), min_len)[0]
+                        out.append((key(g, lo, hi, shared), g, lo, hi, key(l, touched), core, ctx, l, touched, w, own))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -261,10 +264,18 @@ class Repeats:
         self.scratch = Scratch(self.spark, "repeats")
         self.src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.kind = self.src.schema["id"].dataType.simpleString()
+        #: What `cut` is to carry; the copy of the texts that all joins read, and what it carries.
+        self.carry, self.packed, self.carried = (), None, ()
         self._sample()
 
-    def _packed(self, carry: tuple[str, ...] = ()) -> DataFrame:
-        """(id, th, z[, c]): texts, compressed before they are shuffled; th tells texts of one id apart, c is a struct of `carry`."""
+    def _row(self) -> Column:
+        """A key that tells rows apart by id and text."""
+        return F.concat_ws("/", F.col("th").cast("string"), F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")))
+
+    def _pack(self, carry: tuple[str, ...] = ()) -> DataFrame:
+        """(id, z, row[, c]): texts, compressed and dealt out by `row`, this once; c is a struct of `carry`."""
+        if self.packed is not None and self.carried == carry:
+            return self.packed
         src = self.src
         if carry:
             src = self.docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text"), F.struct(*carry).alias("c"))
@@ -274,10 +285,15 @@ class Repeats:
 
             z = zstandard.ZstdCompressor(level=1)
             for b in batches:
-                t = [x or b"" for x in bt.texts(b.column("text"))]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_text_hash(x) for x in t], pa.int64()), pa.array([z.compress(x) for x in t], pa.binary()), *([b.column("c")] if carry else [])], ["id", "th", "z"] + ["c"] * bool(carry))
+                for at in range(0, b.num_rows, 200):
+                    part = b.slice(at, 200)
+                    t = [x or b"" for x in bt.texts(part.column("text"))]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([_text_hash(x) for x in t], pa.int64()), pa.array([z.compress(x) for x in t], pa.binary()), *([part.column("c")] if carry else [])], ["id", "th", "z"] + ["c"] * bool(carry))
 
-        return src.mapInArrow(bt.tidied(run), f"id {self.kind}, th long, z binary" + (f", c {src.schema['c'].dataType.simpleString()}" if carry else ""))
+        x = src.mapInArrow(bt.tidied(run), f"id {self.kind}, th long, z binary" + (f", c {src.schema['c'].dataType.simpleString()}" if carry else ""))
+        self.packed, self.carried = self.scratch.save_by(x.select("id", "z", *["c"] * bool(carry), self._row().alias("row")), "row"), carry
+        self.scratch.release()
+        return self.packed
 
     def _sample(self) -> None:
         min_len = self.min_len
@@ -311,8 +327,8 @@ class Repeats:
         cores = spots.groupBy("core").agg(F.sum(F.size("pos")).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
         #: Contexts of texts whose core occurs again, with the positions of their anchors. Not `mixed`: all of its contexts are equal, so all of them repeat whole.
         # written first, so that the join reads two tables and AQE can split a hot core
-        cores = self.scratch.save(cores.select("core", (F.col("lo") != F.col("hi")).alias("mixed")))
-        self.spots = self.scratch.save(spots.join(cores, "core"))
+        cores = self.scratch.save(cores.select("core", (F.col("lo") != F.col("hi")).alias("mixed")), slim=True)
+        self.spots = self.scratch.save(spots.join(cores, "core"), slim=True)
         self.scratch.drop(spots, cores)
         self.scratch.release()
 
@@ -320,11 +336,10 @@ class Repeats:
         """(core, ctx, left, data, n): one row per class of equal contexts of mixed cores; n: how often it occurs."""
         place = F.struct("id", "th", F.col("pos")[0].alias("pos"), "rt")
         #: Classes: equal contexts of a core, with how often they occur.
-        self.classes = self.scratch.save(self.spots.where("mixed").groupBy("core", "ctx").agg(F.sum(F.size("pos")).alias("n"), F.min(place).alias("at")))
+        self.classes = self.scratch.save(self.spots.where("mixed").groupBy("core", "ctx").agg(F.sum(F.size("pos")).alias("n"), F.min(place).alias("at")), slim=True)
         wanted = self.classes.select("at.id", "at.th", F.struct(F.col("at.pos").alias("pos"), F.col("at.rt").alias("rt"), "core", "ctx", "n").alias("s"))
-        wanted = wanted.groupBy("id", "th").agg(F.collect_list("s").alias("spots"))  # bounded by a text's length
-        w = wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"), "spots")
-        j = self._packed().join(w, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("z", "spots")
+        wanted = wanted.groupBy(self._row().alias("row")).agg(F.collect_list("s").alias("spots"))  # bounded by a text's length
+        j = self._pack(self.carry).join(wanted, "row").select("z", "spots")
         reach = self.min_len - core_length(self.min_len)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,50 +363,52 @@ class Repeats:
         # repeated rows of one text give a class's context once each
         return j.mapInArrow(bt.tidied(run), "core long, ctx long, left int, data binary, n long").dropDuplicates(["core", "ctx"])
 
-    def _scanned(self, groups: bool) -> tuple[DataFrame, DataFrame | None]:
-        """The scan of all groups, and the reach (core, ctx, l, r) that dividing large groups has settled by counting."""
-        schema = "repeat string, length int, core long, ctx long, l int" if groups else "core long, ctx long, l int, r int"
+    def _scanned(self, groups: bool) -> tuple[DataFrame, list[DataFrame]]:
+        """The scan of all groups, and what dividing large groups has settled: per level, the contexts of each class (g, u) of those that
+        agree in all bytes that windows of a half touch; one of them stands for the class below."""
+        schema = "repeat string, length int, core long, ctx long, l int, g long" if groups else "core long, ctx long, l int, r int"
         rows = self.rows = self.scratch.save(self._contexts())
         self.scratch.release()
         sizes = rows.groupBy("core").count()
-        large = self.scratch.save(sizes.where(F.col("count") > GROUP_MAX).select("core"))
-        settled, parts = None, []
-        if large.limit(1).count():
-            hot = rows.join(large, "core", "left_semi").select(F.col("core").alias("g"), F.lit(0).alias("o1"), F.lit(self.min_len - core_length(self.min_len)).alias("o2"), "core", "ctx", "left", "data", "n")
-            parts.append(rows.join(large, "core", "left_anti").select(F.col("core").alias("g"), "core", "ctx", "left", "data", "n"))
-            hot = self.scratch.save(hot)
-            while hot.limit(1).count():
-                cols = "g long, o1 int, o2 int, u long, reach_l int, reach_r int, core long, ctx long, left int, data binary, n long"
-                halves = self.scratch.save(hot.mapInArrow(bt.tidied(_halves(self.min_len)), cols))
-                same = halves.groupBy("g", "u").agg(F.count("*").alias("c"), F.min(F.struct("core", "ctx")).alias("one"))
-                same = self.scratch.save(same)
-                kinds = same.groupBy("g").agg(F.count("*").alias("m"))
-                judged = self.scratch.save(same.join(self.scratch.save(kinds), "g").where("m > 1 OR c > 1"))
-                j = self.scratch.save(halves.join(judged, ["g", "u"]))
-                done = j.where("c > 1").select("u", "core", "ctx", F.col("reach_l").alias("l"), F.col("reach_r").alias("r"))
-                settled = done if settled is None else settled.unionByName(done)
-                left_over = j.where((F.col("m") > 1) & (F.struct("core", "ctx") == F.col("one")))
-                parts.append(left_over.where(F.col("m") <= GROUP_MAX).select("g", "core", "ctx", "left", "data", "n"))
-                self.scratch.drop(hot, halves, same)
-                hot = self.scratch.save(left_over.where(F.col("m") > GROUP_MAX).select("g", "o1", "o2", "core", "ctx", "left", "data", "n"))
+        large = self.large = self.scratch.save(sizes.where(F.col("count") > GROUP_MAX).select("core"), slim=True)
+        work = ["g", "core", "ctx", "left", "data"]
+        own, levels = rows.withColumn("g", F.col("core")), []
+        if not large.limit(1).count():
+            parts, hot = [own.select(work)], None
         else:
-            parts.append(rows.select(F.col("core").alias("g"), "core", "ctx", "left", "data", "n"))
-        work = parts[0]
+            parts = [own.join(large, "core", "left_anti").select(work)]
+            top = F.lit(self.min_len - core_length(self.min_len)).alias("o2")
+            hot = self.scratch.save(own.join(large, "core", "left_semi").select(*work, F.lit(0).alias("o1"), top, F.col("n").alias("w")))
+        while hot is not None and hot.limit(1).count():
+            cols = "g long, up long, o1 int, o2 int, u long, core long, ctx long, left int, data binary, w long, own boolean"
+            halves = self.scratch.save(hot.mapInArrow(bt.tidied(_halves(self.min_len, groups)), cols))
+            # c contexts come to a class here, which with those merged into them before are w
+            same = halves.groupBy("g", "u").agg(F.count("*").alias("c"), F.sum("w").alias("all"), F.min(F.struct("core", "ctx")).alias("one"))
+            same = self.scratch.save(same, slim=True)
+            kinds = same.groupBy("g").agg(F.count("*").alias("m"))
+            judged = self.scratch.save(same.join(self.scratch.save(kinds, slim=True), "g").where("m > 1 OR all > 1"))
+            j = self.scratch.save(halves.drop("w").join(judged.withColumnRenamed("all", "w"), ["g", "u"]))
+            levels.append(j)
+            left_over = j.where((F.col("m") > 1) & (F.struct("core", "ctx") == F.col("one")))
+            parts.append(left_over.where(F.col("m") <= GROUP_MAX).select(work))
+            self.scratch.drop(hot, halves, same)
+            hot = self.scratch.save(left_over.where(F.col("m") > GROUP_MAX).select(*work, "o1", "o2", "w"))
+        todo = parts[0]
         for p in parts[1:]:
-            work = work.unionByName(p)
+            todo = todo.unionByName(p)
         # a group of one context has nothing to compare
-        work = work.repartition("g").sortWithinPartitions("g")
-        return work.mapInArrow(bt.tidied(_scan(self.min_len, groups)), schema), settled
+        todo = todo.repartition("g").sortWithinPartitions("g")
+        return todo.mapInArrow(bt.tidied(_scan(self.min_len, groups)), schema), levels
 
     def reach(self) -> DataFrame:
         """(id, th, spans array<struct<start, stop>>): for the anchors in repeated bytes, the repeated bytes around them."""
-        found, settled = self._scanned(False)
-        if settled is not None:
-            found = found.unionByName(settled.drop("u"))
+        found, levels = self._scanned(False)
+        for x in levels:
+            found = found.unionByName(x.where("c > 1").select("core", "ctx", F.col("left").alias("l"), (F.octet_length("data") - F.col("left")).alias("r")))
         found = found.groupBy("core", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))
         # a class of several occurrences repeats whole
         whole = self.classes.select("core", "ctx", (F.col("n") > 1).alias("whole"))
-        found = self.scratch.save(whole.join(found, ["core", "ctx"], "left").where("whole OR r IS NOT NULL"))
+        found = self.scratch.save(whole.join(found, ["core", "ctx"], "left").where("whole OR r IS NOT NULL"), slim=True)
         left = F.lit(self.min_len - core_length(self.min_len)).cast("long")
 
         def around(before, after):
@@ -402,29 +419,62 @@ class Repeats:
         spans = around(F.when(F.col("whole"), left).otherwise(F.col("l").cast("long")), F.when(F.col("whole"), rt).otherwise(F.col("r").cast("long")))
         return self.spots.where("NOT mixed").select("id", "th", around(left, rt).alias("spans")).unionByName(mixed.select("id", "th", spans.alias("spans")))
 
-    def groups(self) -> DataFrame:
-        """(repeat string, length int, id, start long): maximal repeats of min_len bytes or more, with all occurrences.
-
-        `repeat` is a digest of the repeated bytes. A repeat is looked for within the contexts of its anchors, so
-        one longer than these is given as overlapping pieces that together cover it; around anchors with more than
-        GROUP_MAX different contexts, a repeat may be given in several parts, each with occurrences of its own.
-        """
-        found, settled = self._scanned(True)
-        place = self.spots.select("core", "ctx", "id", F.explode("pos").alias("pos"), "rt", "mixed")
-        mixed = found.join(place, ["core", "ctx"]).select("repeat", "length", "id", (F.col("pos") - F.col("l")).alias("start"))
-        # contexts that occur whole several times
-        several = self.rows.where("n > 1").select(F.substr(F.sha2("data", 256), F.lit(1), F.lit(32)).alias("repeat"), F.octet_length("data").alias("length"), "core", "ctx", "left")
-        mixed = mixed.unionByName(several.join(place, ["core", "ctx"]).select("repeat", "length", "id", (F.col("pos") - F.col("left")).alias("start")))
+    def _pieces(self) -> DataFrame:
+        """(piece, length, id, th, start): repeats within contexts, each with all of its occurrences."""
+        found, levels = self._scanned(True)
+        found = self.scratch.save(found)
+        piece = F.substr(F.sha2("data", 256), F.lit(1), F.lit(32)).alias("repeat")
+        # from the lowest level up: a context that stood for others has passed on to them what was found for it
+        for x in reversed(levels):
+            members = x.select("g", "up", "core", "ctx", F.col("one.core").alias("one_core"), F.col("one.ctx").alias("one_ctx"))
+            here = found.join(x.select("g").distinct(), "g", "left_semi").withColumnsRenamed({"core": "one_core", "ctx": "one_ctx"})
+            passed = here.join(members, ["g", "one_core", "one_ctx"]).select("repeat", "length", "core", "ctx", "l", F.col("up").alias("g"))
+            # a class cut short by an end of a text may be part of others: where these are compared later, so is it
+            full = (F.col("left") == F.col("o2")) & (F.octet_length("data") == F.lit(self.min_len) - F.col("o1") + F.col("o2"))
+            whole = x.where(F.col("own") & (F.col("w") > 1) & ((F.col("m") <= GROUP_MAX) | full)).select(piece, F.octet_length("data").alias("length"), "core", "ctx", F.col("left").alias("l"), F.col("up").alias("g"))
+            above = found.join(x.select("g").distinct(), "g", "left_anti").select("repeat", "length", "core", "ctx", "l", "g")
+            found = self.scratch.save(above.unionByName(passed).unionByName(whole).distinct())
+        place = self.spots.select("core", "ctx", "id", "th", F.explode("pos").alias("pos"), "rt", "mixed")
+        out = found.join(place, ["core", "ctx"]).select("repeat", "length", "id", "th", (F.col("pos") - F.col("l")).alias("start"))
+        # contexts that occur whole several times; one that a text's end cuts short may be part of others, which dividing compares part by part
+        reach = self.min_len - core_length(self.min_len)
+        full = self.rows.where((F.col("n") > 1) & (F.col("left") == reach) & (F.octet_length("data") == reach + self.min_len))
+        several = self.rows.where("n > 1").join(self.large, "core", "left_anti").unionByName(full.join(self.large, "core", "left_semi")).select(piece, F.octet_length("data").alias("length"), "core", "ctx", "left")
+        out = out.unionByName(several.join(place, ["core", "ctx"]).select("repeat", "length", "id", "th", (F.col("pos") - F.col("left")).alias("start")))
         # where all contexts of a core are equal they repeat whole, and nothing else does around it
         left = F.least(F.col("pos"), F.lit(self.min_len - core_length(self.min_len)).cast("long"))
         whole = place.where("NOT mixed").select(
-            F.format_string("%016x%016x", "core", "ctx").alias("repeat"), (left + F.col("rt")).cast("int").alias("length"), "id", (F.col("pos") - left).alias("start")
+            F.format_string("%016x%016x", "core", "ctx").alias("repeat"), (left + F.col("rt")).cast("int").alias("length"), "id", "th", (F.col("pos") - left).alias("start")
         )
-        out = mixed.unionByName(whole)
-        if settled is not None:
-            s = settled.join(place, ["core", "ctx"]).select(F.format_string("%016x", "u").alias("repeat"), (F.col("l") + F.col("r")).alias("length"), "id", (F.col("pos") - F.col("l")).alias("start"))
-            out = out.unionByName(s)
-        return out.distinct().withColumnRenamed("id", self.id_col)
+        return out.unionByName(whole).distinct()
+
+    def groups(self) -> DataFrame:
+        """(repeat string, length int, id, start long): repeats of min_len bytes or more, each with all of its occurrences.
+
+        Within the context of an anchor these are the maximal repeats. Longer ones are put together from pieces: pieces that occur at
+        the same places, but for a shift, and that overlap or touch, are one repeat (a copied document, a long passage). Where part of
+        a long repeat occurs in more places than the rest, that part is a repeat of its own, and what stands to its two sides ends within a context of it.
+        `repeat` is a digest that tells repeats of one length apart. Repeated rows count as occurrences each.
+        """
+        pieces = self.scratch.save(self._pieces())
+        at = F.struct("id", "th", "start")
+        first = self.scratch.save(pieces.groupBy("repeat", "length").agg(F.min(at).alias("first"), F.count("*").alias("n")))
+        shift = F.struct("id", "th", F.col("start") - F.col("first.start"))
+        # the places of a piece, told from those of others by sums that need no list of them
+        places = pieces.join(first, ["repeat", "length"]).groupBy("repeat", "length", "first", "n")
+        places = places.agg(F.sum(F.xxhash64(shift).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), shift).cast("decimal(38,0)")).alias("b"))
+        same = ["first.id", "first.th", "n", "a", "b"]
+        by = Window.partitionBy(*same).orderBy("first.start", "length", "repeat")
+        x = places.withColumn("stop", F.col("first.start") + F.col("length"))
+        x = x.withColumn("until", F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+        x = x.withColumn("run", F.sum(F.when(F.col("first.start") <= F.col("until"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        x = x.groupBy(F.col("first.id").alias("i"), F.col("first.th").alias("h"), "n", "a", "b", "run").agg(
+            F.min(F.struct("first.start", "length", "repeat")).alias("lead"), (F.max("stop") - F.min("first.start")).cast("int").alias("whole"),
+            F.sum(F.xxhash64("repeat").cast("decimal(38,0)")).alias("code"),
+        )
+        x = x.select(F.col("lead.repeat").alias("repeat"), F.col("lead.length").alias("length"), "whole", F.sha2(F.concat_ws("|", "lead.repeat", "whole", "code"), 256).alias("name"))
+        out = pieces.join(self.scratch.save(x), ["repeat", "length"])
+        return out.select(F.substr("name", F.lit(1), F.lit(32)).alias("repeat"), F.col("whole").alias("length"), "id", "start").withColumnRenamed("id", self.id_col)
 
     def cut(self, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
         """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept string][, c struct of the columns in `carry`]) of every row.
@@ -433,10 +483,10 @@ class Repeats:
         judged on the input; n_spans counts maximal removed runs. `kept` is the text that is left: where a cut split
         a character, what is left of it goes too (the digest is of all remaining bytes).
         """
+        self.carry = carry
         reach = self.reach()
-        spans = reach.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by a text's length
-        s = spans.select(F.col("id").alias("sid"), F.col("th").alias("sth"), "spans")
-        j = self._packed(carry).join(s, F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")), "left").select("id", "z", "spans", *["c"] * bool(carry))
+        spans = reach.groupBy(self._row().alias("row")).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by a text's length
+        j = self._pack(carry).join(spans, "row", "left").select("id", "z", "spans", *["c"] * bool(carry))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard

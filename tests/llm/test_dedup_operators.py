@@ -57,7 +57,9 @@ def near_rows(seed, n=60, groups=8):
 @pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("lists", ["default", "long"])
 def test_jaccard(spark, seed, lists, monkeypatch):
-    if lists == "long":  # every list takes the block scan, in blocks of a few members
+    if lists == "long":  # every list takes the block scan, in blocks of a few members, and every key that a chunk has twice is hot
+        monkeypatch.setattr(jaccard, "HOT", 2)
+        monkeypatch.setattr(jaccard, "CHUNK_POSTINGS", 200)
         monkeypatch.setattr(jaccard, "SHORT_LIST", 1)
         monkeypatch.setattr(jaccard, "BLOCK", 5)
     rows = near_rows(seed)
@@ -150,15 +152,28 @@ def test_suffix_groups(spark, group_max, monkeypatch):
         assert n >= 40 and len(places) > 1
         content = {texts[i][s : s + n] for i, s in places}
         assert len(content) == 1
-        if group_max == 3000:
-            x = content.pop()
-            assert places == {(i, s) for i, t in texts.items() for s in range(len(t) - n + 1) if t[s : s + n] == x}
+        x = content.pop()
+        assert places == {(i, s) for i, t in texts.items() for s in range(len(t) - n + 1) if t[s : s + n] == x}
         for i, s in places:
             covered[i][s : s + n] = True
     want = brute_cut(list(texts.values()), 40)
     assert [int(c.sum()) for c in covered.values()] == [w[1] for w in want]
 
 
+@pytest.mark.parametrize("group_max", [3000, 3])
+def test_long_repeats_are_whole(spark, group_max, monkeypatch):
+    """Repeats many times longer than a context, alone in their places, come as one group of that length."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_MAX", group_max)
+    rnd = random.Random(8)
+    text = lambda k: "".join(rnd.choices("abcdefgh ", k=k))
+    copied, passage = text(700), text(333)
+    rows = [(1, copied), (2, copied), (3, text(90) + "<" + passage + ">" + text(50)), (4, "[" + passage + "]"), (5, text(200) + "(" + passage + ")"), (6, text(400))]
+    groups = {}
+    for r in suffix_dedup.Repeats(frame(spark, rows), min_len=40).groups().collect():
+        groups.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.start))
+    assert sorted((n, tuple(sorted(p))) for (_, n), p in groups.items()) == [(333, ((3, 91), (4, 1), (5, 201))), (700, ((1, 0), (2, 0)))]
+
+
 def test_suffix_odd(spark):
     assert suffix_dedup.Repeats(frame(spark, []), min_len=40).cut().count() == 0
     t = "0123456789" * 5 + "abc"
