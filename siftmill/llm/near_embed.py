@@ -18,6 +18,8 @@ from siftmill.plans.scratch import Scratch
 
 #: Vectors of a bucket are compared in square blocks of this many; a task holds two blocks at a time.
 BLOCK = 1024
+#: Further signs, by which a bucket's vectors are sifted before the vectors themselves are brought together.
+SKETCH = 256
 
 
 def table_plan(n: int, cosine: float, miss: float = 1e-4, per_bucket: int = 64) -> tuple[int, int]:
@@ -28,6 +30,16 @@ def table_plan(n: int, cosine: float, miss: float = 1e-4, per_bucket: int = 64)
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-same))) if same < 1 else 1
 
 
+def sketch_limit(cosine: float, miss: float) -> int:
+    """In how many of SKETCH signs a pair at exactly `cosine` differs at most, but for a chance of `miss`."""
+    p = math.acos(min(cosine, 1.0)) / math.pi
+    tail, k = 1.0, -1
+    while tail > miss and k < SKETCH:
+        k += 1
+        tail -= math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+    return k
+
+
 def _valid(v: list | None) -> bool:
     return bool(v) and None not in v
 
@@ -46,8 +58,9 @@ def near_duplicates(
     Two vectors link when their labels are equal and not null and their cosine, in double precision, is at
     least `cosine`. Vectors that are null, empty, zero, or hold null or non-finite components, and those
     without label (if `label_col` is given) or of different length, link with nothing. Candidates share the signs of `bits` random
-    projections in one of several tables (`table_plan`; both numbers follow the row count); every pair of
-    a bucket is verified exactly, so no link is below the threshold.
+    projections in one of several tables (`table_plan`; both numbers follow the row count) and nearly all of SKETCH further signs
+    (`sketch_limit`); every pair that is left is verified exactly, so no link is below the threshold. Only ids and signs are dealt out by
+    table; vectors follow where they have a candidate.
 
     Equal vectors are one class and are compared once. A bucket is never held by one task: it is cut into
     blocks of about BLOCK vectors by a hash, and each pair of blocks is a group of its own; tasks put out
@@ -61,70 +74,98 @@ def near_duplicates(
     bt.small_batches(spark)
     scratch = Scratch(spark, "near-embed")
     label = F.col(label_col).cast("string") if label_col else F.lit("")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     src = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), label.alias("label"))
     kind = src.schema["id"].dataType.simpleString()
+    raw_type = np.float32 if single else np.float64  # as exact as the input is
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, units = [], []
+            keys, raws = [], []
             for v in b.column("v").to_pylist():
                 x = np.array(v, np.float64) if _valid(v) else np.zeros(0)
                 top = np.abs(x).max() if len(x) else 0.0
-                if not np.isfinite(top) or top == 0:
-                    keys.append(None)
-                    units.append(None)
-                else:
-                    # scaled by the largest component first, so that squares neither overflow nor vanish
-                    y = x / top
-                    keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest())
-                    units.append((y / np.sqrt((y * y).sum())).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["id", "label", "key", "unit"])
-
-    rows = src.mapInArrow(prepare, f"id {kind}, label string, key binary, unit binary")
+                usable_ = np.isfinite(top) and top > 0
+                keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest() if usable_ else None)
+                raws.append(x.astype(raw_type).tobytes() if usable_ else None)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], ["id", "label", "key", "raw"])
+
+    rows = src.mapInArrow(bt.tidied(prepare), f"id {kind}, label string, key binary, raw binary")
     rows = scratch.save(rows)
     usable = rows.where("key is not null and label is not null")
     # classes of equal vectors: the smallest id stands for all
-    classes = scratch.save(usable.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
+    classes = scratch.save(usable.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
     # two classes may hold rows of one id: `cid` tells them apart
     classes = classes.withColumn("cid", F.xxhash64("label", "key"))
     largest = classes.groupBy("label").count().agg(F.max("count").alias("m")).first().m or 0
     bits, tables = table_plan(int(largest), cosine, miss)
+    apart = sketch_limit(cosine, miss / 100)
+    width = -(-bits // 8)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            units = [np.frombuffer(u.as_py()) for u in b.column("unit")]
-            sigs = np.empty((len(units), tables), np.int64)
-            size = np.array([len(u) for u in units])
+            raws = b.column("raw").to_pylist()
+            size = np.array([len(u) // raw_type().itemsize for u in raws])
+            buckets = np.empty((len(raws), tables), np.int64)
+            sigs, sketch = np.empty((len(raws), tables * width), np.uint8), np.empty((len(raws), SKETCH // 8), np.uint8)
             for d in np.unique(size):
                 if d not in planes:
-                    planes[d] = np.random.default_rng([seed, int(d)]).normal(size=(int(d), tables * bits))
+                    planes[d] = np.random.default_rng([seed, int(d)]).normal(size=(int(d), tables * bits + SKETCH))
                 at = np.flatnonzero(size == d)
-                s = (np.stack([units[i] for i in at]) @ planes[d] >= 0).reshape(len(at), tables, bits)
-                sigs[at] = s @ (1 << np.arange(bits)) * 65536 + d % 65536
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("label", "cid", "rep", "copies", "unit")] + [pa.array(list(sigs), pa.list_(pa.int64()))], ["label", "cid", "rep", "copies", "unit", "sigs"])
-
-    signed = scratch.save(classes.mapInArrow(sign, f"label string, cid long, rep {kind}, copies long, unit binary, sigs array<bigint>"))
-    # (table, bucket) of every class, and the bucket's size, which says into how many blocks it is cut
-    spots = signed.select("cid", "label", F.posexplode("sigs").alias("t", "bucket"))
-    sizes = spots.groupBy("label", "t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    spots = spots.join(scratch.save(sizes), ["label", "t", "bucket"]).withColumn("parts", F.ceil(F.col("n") / BLOCK))
+                up = _units([raws[i] for i in at], raw_type) @ planes[d] >= 0
+                s = up[:, : tables * bits].reshape(len(at), tables, bits)
+                buckets[at] = s @ (1 << np.arange(bits)) * 65536 + d % 65536
+                sigs[at] = np.packbits(s, axis=2).reshape(len(at), -1)
+                sketch[at] = np.packbits(up[:, tables * bits :], axis=1)
+            more = [pa.array(list(buckets), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("label", "cid", "rep", "copies", "raw")] + more, ["label", "cid", "rep", "copies", "raw", "buckets", "sigs", "sketch"])
+
+    signed = classes.mapInArrow(bt.tidied(sign), f"label string, cid long, rep {kind}, copies long, raw binary, buckets array<bigint>, sigs binary, sketch binary")
+    signed = scratch.save(signed)
+    spots = signed.select("cid", "label", "sketch", F.posexplode("buckets").alias("t", "bucket"))
+    # buckets of more than a block are cut into blocks
+    sizes = spots.groupBy("label", "t", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    spots = spots.join(scratch.save(sizes, slim=True), ["label", "t", "bucket"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1).cast("long")))
     spots = spots.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(seed)), F.col("parts")))
     # block pairs (lo, hi): a row joins one group per block of its bucket
     spots = spots.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    spots = spots.select("cid", "label", "t", "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part")
-    work = spots.join(signed.select("cid", "rep", "copies", "unit", "sigs"), "cid")
     group = ["label", "t", "bucket", "lo", "hi"]
-    work = work.withColumn("g", F.xxhash64(*group))
-    work = work.select("g", *group, "part", "cid", "rep", "copies", "unit", "sigs").repartition("g").sortWithinPartitions(*["g", *group, "cid"])
+    spots = spots.select("cid", "sketch", "label", "t", "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part")
+
+    def dealt(x: DataFrame) -> DataFrame:
+        return x.withColumn("g", F.xxhash64(*group)).repartition("g").sortWithinPartitions("g", *group, "cid").drop("g")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a group that have a partner whose sketch is near enough: most vectors have none, and go no further."""
+        names = [*group, "part", "cid"]
+        for key, rows_ in adjacent_groups(batches, group):
+            part = rows_.column("part").to_numpy(zero_copy_only=False)
+            left, right = np.flatnonzero(part == key[3]), np.flatnonzero(part == key[4])
+            if len(rows_) < 2 or not len(left) or not len(right):
+                continue
+            sketch = np.frombuffer(b"".join(rows_.column("sketch").to_pylist()), np.uint64).reshape(len(part), -1)
+            hit = np.zeros(len(part), bool)
+            for at in range(0, len(left), 128):
+                few = left[at : at + 128]
+                near = np.bitwise_count(sketch[few][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64) <= apart
+                near &= few[:, None] != right[None, :]
+                hit[few] |= near.any(1)
+                hit[right] |= near.any(0)
+            if hit.any():
+                yield rows_.select(names).filter(pa.array(hit))
+
+    kinds = "label string, t int, bucket long, lo long, hi long, part long, cid long"
+    near = scratch.save(dealt(spots).mapInArrow(bt.tidied(sift), kinds))
+    work = near.join(signed.select("cid", "rep", "copies", "raw", "sigs"), "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows_ in adjacent_groups(batches, group):
             t, lo, hi = key[1], key[3], key[4]
-            unit = np.stack([np.frombuffer(u.as_py()) for u in rows_.column("unit")])
-            sigs = np.stack(rows_.column("sigs").to_numpy(zero_copy_only=False))
+            unit = _units(rows_.column("raw").to_pylist(), raw_type)
+            sigs = np.frombuffer(b"".join(rows_.column("sigs").to_pylist()), np.uint8).reshape(len(rows_), tables, width)
             part = rows_.column("part").to_numpy(zero_copy_only=False)
             copies = rows_.column("copies").to_numpy(zero_copy_only=False)
             left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
@@ -132,7 +173,7 @@ def near_duplicates(
                 continue
             linked = unit[left] @ unit[right].T >= cosine
             for e in range(t):  # counted in an earlier table
-                linked &= sigs[left, e][:, None] != sigs[right, e][None, :]
+                linked &= (sigs[left, e][:, None] != sigs[right, e][None, :]).any(2)
             if lo == hi:
                 np.fill_diagonal(linked, False)
             if not linked.any():
@@ -148,20 +189,28 @@ def near_duplicates(
                 [rows_.column("cid").take(pa.array(hit)), pa.array(n[hit]), rows_.column("rep").take(pa.array(hit)), rows_.column("rep").take(pa.array(root[hit]))], ["cid", "n", "rep", "to"]
             )
 
-    found = scratch.save(work.mapInArrow(compare, f"cid long, n long, rep {kind}, to {kind}"))
-    counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
+    found = scratch.save(dealt(work).mapInArrow(bt.tidied(compare), f"cid long, n long, rep {kind}, to {kind}"))
+    # written, as the classes are, so that AQE can split a class of very many copies in the joins
+    counts = scratch.save(found.groupBy("cid").agg(F.sum("n").alias("n")), slim=True)
+    own = scratch.save(usable.groupBy("id", "label", "key").agg(F.count("*").alias("own")), slim=True)
+    known = scratch.save(classes.select("label", "key", "cid", "rep", "copies").join(counts, "cid", "left").select("label", "key", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies")).alias("n")), slim=True)
     # copies of one vector are linked with each other
-    members = usable.groupBy("id", "label", "key").agg(F.count("*").alias("own"))
-    members = members.join(classes.select("label", "key", "cid", "rep", "copies"), ["label", "key"])
+    members = own.join(known, ["label", "key"])
     edges = found.select(F.col("rep").alias("a"), F.col("to").alias("b")).union(members.select("id", "rep"))
     comp = connected_components(edges).withColumnRenamed("node", "id")
-    per = members.join(counts, "cid", "left")
-    per = per.groupBy("id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("copies") - F.col("own")).alias("n_links")).join(comp, "id", "left")
+    per = members.groupBy("id").agg(F.sum(F.col("n") - F.col("own")).alias("n_links")).join(comp, "id", "left")
     out = rows.select("id").join(per, "id", "left")
     cid = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.col("id").eqNullSafe(cid).alias("kept"))
 
 
+def _units(raws: list[bytes], kind) -> np.ndarray:
+    """Unit vectors, in double precision; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    x = np.frombuffer(b"".join(raws), kind).reshape(len(raws), -1).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """Root of each row in the graph of `linked`, by breadth-first sweeps over the matrix."""
     root = np.arange(n)
