@@ -90,4 +90,4 @@ x AS (SELECT l.doc_id, string_agg(substr(hx, 2 * prev + 1, 2 * (s - prev)), '' O
 SELECT h.doc_id, length(hx)::BIGINT // 2 AS n_bytes, coalesce(x.n, 0) AS n_removed, coalesce(x.c, 0) AS n_spans, coalesce(x.n, 0) > 0 AS has_repeats, sha256(unhex(CASE WHEN x.n IS NULL THEN hx ELSE x.lead || substr(hx, 2 * x.e + 1) END)) AS kept_sha256
 FROM h LEFT JOIN x ON x.doc_id = h.doc_id"""
 
-ORACLES = {"op1_mix_sources": MIX, "op2_chat_windows": CHAT, "op3_near_embeddings": EMBEDDINGS, "op4_suffix_dedup": SUFFIX, "op5_warc_fixity": WARC, "op6_ngram_jaccard": JACCARD, "op9_quality_rules": RULES, "rule_ablation": ABLATION, "bpe_offsets": OFFSETS}
+ORACLES = {"op1_mix_sources": MIX, "op2_chat_windows": CHAT, "op3_near_embeddings": EMBEDDINGS, "op4_suffix_dedup": SUFFIX, "op5_warc_fixity": WARC, "op6_ngram_jaccard": JACCARD, "op9_quality_rules": RULES, "rule_ablation": ABLATION, "bpe_offsets": OFFSETS, "simhash_groups": f"SELECT doc_id AS item_id, component_id AS group_id FROM ({JACCARD})"}
