@@ -51,14 +51,16 @@ class Scratch:
             fs.deleteOnExit(base)  # results may read these tables until the application ends
         return f"{self.base}/t{self._n}"
 
-    def save(self, df: DataFrame, slim: bool = False) -> DataFrame:
-        """A written copy. `slim` is for tables of a few narrow columns that no Python makes: they go to as few files as their size asks for."""
+    def save(self, df: DataFrame, slim: bool = False, parts: str | None = None) -> DataFrame:
+        """A written copy. `slim` is for tables of a few narrow columns that no Python makes: they go to as few files as their size asks for.
+        With `parts`, the last column, rows of one value of it lie in a folder of their own, and a filter on it reads that folder only."""
         path, key = self._next(), "spark.sql.adaptive.coalescePartitions.parallelismFirst"
         before = self.spark.conf.get(key)
         try:
             if slim:
                 self.spark.conf.set(key, "false")
-            self._writer(df).parquet(path)
+            w = self._writer(df)
+            (w.partitionBy(parts) if parts else w).parquet(path)
         finally:
             if slim:
                 self.spark.conf.set(key, before)
@@ -70,14 +72,15 @@ class Scratch:
         # each file costs something on most stores, on local ones a process to set its mode; nobody looks for this one
         return df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
 
-    def save_by(self, df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
-        """A copy in `buckets` files (the session's shuffle partitions) by hash of `column`.
+    def save_by(self, df: DataFrame, column: str, buckets: int | None = None, sort: bool = False) -> DataFrame:
+        """A copy in `buckets` files (the session's shuffle partitions) by hash of `column`, each in its order with `sort`.
 
         Buckets are known to the catalog only, so the copy is a table there for a moment: the frame keeps what it needs of it.
         """
         path, n = self._next(), buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         name = "siftmill_" + path.rsplit("/", 2)[1].replace("-", "_") + f"_t{self._n}"
-        self._writer(df.repartition(n, column)).format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
+        w = self._writer(df.repartition(n, column)).format("parquet").bucketBy(n, column)
+        (w.sortBy(column) if sort else w).option("path", path).saveAsTable(name)
         out = self.spark.table(name)
         out.schema  # noqa: B018  resolved while the name is there
         self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
