@@ -90,4 +90,36 @@ x AS (SELECT l.doc_id, string_agg(substr(hx, 2 * prev + 1, 2 * (s - prev)), '' O
 SELECT h.doc_id, length(hx)::BIGINT // 2 AS n_bytes, coalesce(x.n, 0) AS n_removed, coalesce(x.c, 0) AS n_spans, coalesce(x.n, 0) > 0 AS has_repeats, sha256(unhex(CASE WHEN x.n IS NULL THEN hx ELSE x.lead || substr(hx, 2 * x.e + 1) END)) AS kept_sha256
 FROM h LEFT JOIN x ON x.doc_id = h.doc_id"""
 
-ORACLES = {"op1_mix_sources": MIX, "op2_chat_windows": CHAT, "op3_near_embeddings": EMBEDDINGS, "op4_suffix_dedup": SUFFIX, "op5_warc_fixity": WARC, "op6_ngram_jaccard": JACCARD, "op9_quality_rules": RULES, "rule_ablation": ABLATION, "bpe_offsets": OFFSETS, "simhash_groups": f"SELECT doc_id AS item_id, component_id AS group_id FROM ({JACCARD})"}
+_UNITS = "regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]')"
+
+FIM = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_UNITS.replace("(t,", "(coalesce(text, ''),")} AS u, sha256('1:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS pre, array_to_string(list_slice(u, a + 1, b), '') AS mid, array_to_string(list_slice(u, b + 1, n), '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+_LOWER = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+VARIANTS = f"""WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER % "text"}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+r AS (SELECT doc_id, w, count(*) AS c, hex(encode(doc_id || ':' || w)) AS hx FROM d GROUP BY ALL),
+t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) AS v FROM range(256) g(i))),
+h AS (SELECT w, c, xor(list_reduce(list_transform(generate_series(1, length(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i - 1, 2))::UBIGINT), lambda x, y: xor(x >> 8, t[((xor(x, y) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h FROM r, t),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, c FROM h),
+n AS (SELECT word, sum(c)::BIGINT AS n FROM s WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+e AS (SELECT word, unnest(generate_series(0, length(word) - 1)) AS i FROM n), x AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS x FROM e),
+p AS (SELECT x.word AS a, n.word AS b FROM x JOIN n ON n.word = x.x UNION SELECT n.word, x.word FROM x JOIN n ON n.word = x.x UNION SELECT x.word, y.word FROM x JOIN x y ON x.x = y.x AND x.i = y.i AND x.word <> y.word),
+b AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS best, max(n) AS best_n FROM p JOIN n ON n.word = p.b GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM n LEFT JOIN b ON a = word),
+z AS (SELECT word, word AS node, 0 AS k FROM f UNION ALL SELECT z.word, f.form, k + 1 FROM z JOIN f ON f.word = z.node WHERE f.form IS NOT NULL),
+o AS (SELECT word, arg_max(node, k) AS root FROM z GROUP BY 1)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN o ON o.word = f.word"""
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINES = f"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM s),
+k AS (SELECT *, {_LOWER % f"trim(line, {_BLANK})"} AS key FROM l), o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT doc_id, line, i, owner IS NOT NULL AND owner <> doc_id AS gone FROM k LEFT JOIN o ON o.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY 1"""
+
+ORACLES = {"op1_mix_sources": MIX, "op2_chat_windows": CHAT, "op3_near_embeddings": EMBEDDINGS, "op4_suffix_dedup": SUFFIX, "op5_warc_fixity": WARC, "op6_ngram_jaccard": JACCARD, "op9_quality_rules": RULES, "op11_fill_in_middle": FIM, "op12_spelling_variants": VARIANTS, "op13_line_dedup": LINES, "rule_ablation": ABLATION, "bpe_offsets": OFFSETS, "simhash_groups": f"SELECT doc_id AS item_id, component_id AS group_id FROM ({JACCARD})"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import byte_bpe, byte_cnn, chat, jaccard, mixing, near_embed, qda, quality_rules, suffix_dedup, warc_fixity
+from siftmill.llm import byte_bpe, byte_cnn, chat, fim, jaccard, line_dedup, mixing, near_embed, qda, quality_rules, suffix_dedup, variants, warc_fixity
 from siftmill.llm.oracles import ORACLES  # noqa: F401  the driver's entry reads it here
 from siftmill.plans.scratch import Scratch
 
@@ -118,6 +118,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer_path())
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(read(spark, sf_dir, "documents"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def bpe_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that the tokens' offsets cover, and where the last token ends: both are a text's length, as tokens tile it."""
     x = byte_bpe.encode(read(spark, sf_dir, "documents"), *tokenizer_path())
@@ -133,4 +147,4 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("item_id"), F.col("component_id").alias("group_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op4_suffix_dedup, op5_warc_fixity, op6_ngram_jaccard, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe, rule_ablation, bpe_offsets, suffix_repeat_groups, simhash_groups)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_windows, op3_near_embeddings, op4_suffix_dedup, op5_warc_fixity, op6_ngram_jaccard, op7_quality_qda, op8_language_cnn, op9_quality_rules, op10_byte_bpe, op11_fill_in_middle, op12_spelling_variants, op13_line_dedup, rule_ablation, bpe_offsets, suffix_repeat_groups, simhash_groups)}
