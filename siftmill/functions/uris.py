@@ -83,7 +83,12 @@ def catalog_parts(uri: Column) -> Column:
 
     base_uri is the URI without the extension, so that one work in two formats has one. Archive members are found
     behind `!/` and, as canonical URIs have it, behind `!`. The null URI gives null parts.
+    The parts are made once, however many of them a query names.
     """
+    return F.transform(F.array(uri), _catalog_parts)[0]
+
+
+def _catalog_parts(uri: Column) -> Column:
     is_archive, is_url = uri.startswith("archive://"), uri.contains("://")
     body = F.substr(uri, F.lit(11))
     sep = F.when(F.instr(body, "!/") > 0, F.lit("!/")).otherwise(F.lit("!"))

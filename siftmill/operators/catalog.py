@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmill.functions.uris import catalog_parts
+from siftmill.operators.needles import contained
+from siftmill.plans.scratch import Scratch
 
 CATALOG = T.StructType(
     [
@@ -52,6 +54,49 @@ def upsert(catalog: DataFrame, new: DataFrame) -> DataFrame:
     return latest(x, ("uri",), ("_batch", "calculated_time")).drop("_batch")
 
 
+class CatalogTable:
+    """A catalog on disk, in `buckets` folders by hash of the URI: an upsert reads and writes the folders of its URIs only.
+
+    Merged rows are written to scratch first and then replace their folders in one commit, so a run that fails before that leaves the table
+    as it was. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[f.name for f in CATALOG.fields]).withColumn("bucket", F.pmod(F.xxhash64("uri"), F.lit(self.buckets)).cast("int"))
+
+    def _put(self, rows: DataFrame) -> None:
+        # a folder's rows come from one task, so that folders do not fill with small files
+        w = rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        w.partitionBy("bucket").parquet(self.path)
+
+    def create(self, rows: DataFrame) -> None:
+        """Writes a new table of catalog rows; the last row of a URI counts."""
+        self._put(self._bucketed(latest(rows)))
+
+    def rows(self) -> DataFrame:
+        schema = T.StructType([*CATALOG.fields, T.StructField("bucket", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.rows().drop("bucket")
+
+    def upsert(self, new: DataFrame) -> list[int]:
+        """Merges catalog rows, which replace those of their URIs whatever their times; the folders that changed. No rows change nothing."""
+        scratch = Scratch(self.spark, "upsert")
+        new = scratch.save(self._bucketed(new))
+        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())
+        if touched:
+            old = self.rows().where(F.col("bucket").isin(touched))
+            merged = scratch.save(self._bucketed(upsert(old.drop("bucket"), new.drop("bucket"))))
+            self._put(merged)
+            scratch.drop(merged)
+        scratch.drop(new)
+        return touched
+
+
 def smart_lookup(queries: DataFrame, catalog: DataFrame, uri_col: str = "uri", base_of=None) -> DataFrame:
     """(queries..., hash_value, matched_uri, match): the exact URI's hash, else the newest of its base URI, else null.
 
@@ -90,8 +135,8 @@ def filename_lookup(queries: DataFrame, catalog: DataFrame, uri_col: str = "uri"
 
 
 def under_path(catalog: DataFrame, paths: DataFrame, path_col: str = "path") -> DataFrame:
-    """Catalog rows whose URI holds a path, with the path. Paths are few (arguments of a run); a nested-loop join by definition."""
-    return catalog.join(paths.select(F.col(path_col).alias("path")), F.col("uri").contains(F.col("path")))
+    """Catalog rows whose URI holds a path, with the path: URIs go through automata over the paths, each path once."""
+    return contained(catalog, paths.select(F.col(path_col).alias("path")), "uri", "path")
 
 
 def without_invalid(rows: DataFrame, valid: DataFrame, columns: Sequence[str] = ("uri",)) -> DataFrame:

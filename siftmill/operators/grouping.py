@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,36 +25,79 @@ def groups_only(groups: DataFrame) -> DataFrame:
     return groups.withColumn("_n", F.count("*").over(w)).where("_n > 1").drop("_n")
 
 
-def star_groups(items: DataFrame, pairs: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:
-    """(item_id, group_id): greedy stars. In the order of `order_col`, an item in no group founds one and takes its
+def _taken_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The later ends that are taken, of pairs (late, early) sorted by their later end: those with an earlier partner that is not. Of the last
+    one pairs may be missing; if it is not seen to be taken, it stays open with those."""
+    taken: set = set()
+    current, hit = None, False
+    for pdf in batches:
+        out = []
+        for late, early in zip(pdf["late"], pdf["early"], strict=True):
+            if late != current:
+                if hit:
+                    taken.add(current)
+                    out.append(current)
+                current, hit = late, False
+            hit = hit or early not in taken
+        yield pd.DataFrame({"late": out}, dtype=pdf["late"].dtype)
+    if hit:
+        yield pd.DataFrame({"late": [current]})
+
+
+def star_groups(items: DataFrame, pairs: DataFrame, id_col: str = "id", order_col: str | None = None, block_edges: int = 1_000_000) -> DataFrame:
+    """(item_id, group_id): greedy stars. In the order of (`order_col`, id), an item in no group founds one and takes its
     partners that are in none; partners of partners do not join. Items of equal fingerprints are partners like any others.
 
-    The greedy order matters only within a connected component, so components are worked on apart, each in one task: memory is
-    bounded by the largest component. `similarity_groups` is the alternative without that bound.
+    The founders are the greedy independent set of that order, found in rounds on written tables: an item that precedes all its undecided partners
+    founds a group, and its partners are taken. Orders that leave little to a round, as along a chain, are gone through one item after the other, the
+    first `block_edges` undecided pairs at a time, which bounds what one task reads. A taken item then goes to its first founder.
+
+    Defined cases: null orders come first; repeated items, the first order counting, and repeated pairs count once; pairs with an end that is
+    no item are ignored, as are pairs of an item with itself; without pairs every item is a group.
     """
-    order_col = order_col or id_col
-    groups = similarity_groups(items, pairs, id_col)
-    pos = items.select(F.col(id_col).alias("item_id"), F.col(order_col).alias("pos"))
-    e = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("item_id", "other").distinct()
-    rows = groups.join(pos, "item_id").join(e, "item_id", "left")
-    kind = items.schema[id_col].dataType.simpleString()
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf[["item_id", "pos"]].drop_duplicates("item_id").sort_values(["pos", "item_id"])["item_id"].tolist()
-        place = {x: i for i, x in enumerate(order)}
-        partners: dict = {}
-        for x, y in zip(pdf["item_id"], pdf["other"], strict=True):
-            if not pd.isna(y):
-                partners.setdefault(x, []).append(y)
-        owner: dict = {}
-        for x in order:
-            if x not in owner:
-                owner[x] = x
-                for y in sorted(partners.get(x, ()), key=place.__getitem__):
-                    owner.setdefault(y, x)
-        return pd.DataFrame({"item_id": list(owner), "group_id": list(owner.values())})
-
-    return rows.groupBy("group_id").applyInPandas(lambda pdf: greedy(pdf), f"item_id {kind}, group_id {kind}")
+    scratch = Scratch(items.sparkSession, "stars")
+    at = F.col(order_col) if order_col and order_col != id_col else F.lit(0)
+    item = items.select(F.col(id_col).alias("item_id"), at.alias("at")).where("item_id is not null").groupBy("item_id").agg(F.min(F.struct("at")).alias("o"))
+    item = scratch.save(item.select("item_id", F.col("o.at").alias("at")))
+    # each pair once, from the later item to the earlier
+    x = pairs.select("a", "b").where("a <> b").join(item.toDF("a", "at_a"), "a").join(item.toDF("b", "at_b"), "b")
+    swap = F.struct("at_a", "a") < F.struct("at_b", "b")
+    first = lambda p, q, name: F.when(swap, F.col(p)).otherwise(F.col(q)).alias(name)
+    edges = scratch.save(x.select(first("b", "a", "late"), first("at_b", "at_a", "late_at"), first("a", "b", "early"), first("at_a", "at_b", "early_at")).distinct())
+    kind = item.schema["item_id"].dataType.simpleString()
+    open_, left, taken = edges, edges.count(), []
+
+    def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        for end in ("late", "early"):
+            rows = rows.join(gone.withColumnRenamed("late", end), end, "left_anti")
+        return rows.select(*edges.columns)
+
+    while left:
+        founders = open_.select("early").distinct().join(open_.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+        founders = scratch.save(founders, slim=True)
+        took = scratch.save(open_.join(founders, "early", "left_semi").select("late").distinct(), slim=True)
+        taken.append(took)
+        nxt = scratch.save(without(open_, took))
+        n = nxt.count()
+        if n and (n <= block_edges or n > 0.8 * left):
+            took = scratch.save(nxt.orderBy("late_at", "late").limit(block_edges).select("late", "early").mapInPandas(_taken_in_order, f"late {kind}"))
+            taken.append(took)
+            block, nxt = nxt, scratch.save(without(nxt, took))
+            scratch.drop(block)
+            n = nxt.count()
+        scratch.drop(founders, *([open_] if open_ is not edges else []))
+        open_, left = nxt, n
+    if not taken:
+        return item.select("item_id", F.col("item_id").alias("group_id"))
+    gone = taken[0]
+    for more in taken[1:]:
+        gone = gone.unionByName(more)
+    gone = scratch.save(gone.distinct(), slim=True)
+    founders = item.join(gone.withColumnRenamed("late", "item_id"), "item_id", "left_anti")
+    # a founder's partners are all taken; those that come before it are of an earlier one
+    own = edges.unionByName(edges.selectExpr("early as late", "early_at as late_at", "late as early", "late_at as early_at")).join(founders.select(F.col("item_id").alias("early")), "early", "left_semi")
+    best = own.groupBy(F.col("late").alias("item_id")).agg(F.min(F.struct("early_at", "early")).alias("g"))
+    return item.join(best, "item_id", "left").select("item_id", F.coalesce("g.early", "item_id").alias("group_id"))
 
 
 def two_stage_groups(items: DataFrame, blocks: DataFrame, fine_pairs: DataFrame, id_col: str = "id") -> DataFrame:

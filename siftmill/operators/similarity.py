@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions import hashing, vectors
+from siftmill.operators.needles import PART_CHARS, contained
 
 
 def all_pairs(items: DataFrame, distance, id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -261,20 +262,29 @@ def label_counts(labels: DataFrame, label_col: str = "label", noise: int = -1) -
     return labels.agg(F.count_distinct(F.when(x != noise, x)).alias("n_clusters"), F.count_if(x == noise).alias("n_noise"), F.count("*").alias("n_items"))
 
 
+#: Parts of needles up to which texts are read once per part; beyond, long needles meet texts by word n-grams.
+MOST_PARTS = 8
+
+
 def containment(items: DataFrame, needles: DataFrame, text_col: str, needle_col: str, words: int = 5) -> DataFrame:
     """Rows of `items` joined with the `needles` that their text contains.
 
-    A needle of at least 2 * words - 1 words must hold, wherever it stands, `words` whole words in a row that the text has too, so
-    candidates come from an equi-join on word n-grams, of the needle's side only the first; shorter needles are compared with all texts.
+    Texts go through automata over the needles (`needles.contained`). Where these are too many for a few automata, a needle of at
+    least `words` + 2 words is found by `words` whole words in a row, which texts that hold it have too: an equi-join on word n-grams, of the
+    needle's side only one, and automata are left with the shorter ones. Null and empty needles are in no text.
     """
+    n = needles.withColumn("_size", F.length(needle_col)).where("_size > 0")
+    every = int(n.agg(F.sum("_size")).first()[0] or 0)
+    by_automaton = lambda few: contained(items, few, text_col, needle_col).join(few.drop("_size", "_w"), needle_col)
+    order = [*items.columns, *needles.columns]
+    if every <= MOST_PARTS * PART_CHARS:
+        return by_automaton(n).select(*order)
     gram = lambda w, i: F.array_join(F.slice(w, i, words), " ")
     split = lambda c: F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
-    n = needles.withColumn("_w", split(F.col(needle_col)))
+    n = n.withColumn("_w", split(F.col(needle_col)))
     # the first and last word of a needle may be cut words of the text, so that the key starts at its second
-    long = n.where(F.size("_w") >= words + 2).withColumn("_key", gram(F.col("_w"), F.lit(2))).drop("_w")
-    short = n.where((F.size("_w") < words + 2) & (F.length(needle_col) > 0)).drop("_w")
+    long = n.where(F.size("_w") >= words + 2).withColumn("_key", gram(F.col("_w"), F.lit(2))).drop("_w", "_size")
     t = items.withColumn("_t", split(F.col(text_col)))
     keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - (words - 1), F.lit(1))), lambda i: gram(F.col("_t"), i)))
     t = t.withColumn("_key", F.explode(keys)).drop("_t")
-    hit = lambda df: df.where(F.col(text_col).contains(F.col(needle_col)))
-    return hit(t.join(long, "_key")).drop("_key").unionByName(hit(items.join(short, F.col(text_col).contains(F.col(needle_col)))))
+    return t.join(long, "_key").where(F.col(text_col).contains(F.col(needle_col))).select(*order).unionByName(by_automaton(n.where(F.size("_w") < words + 2)).select(*order))

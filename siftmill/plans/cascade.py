@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions import rules as R
-from siftmill.operators import grouping, ranking, similarity
+from siftmill.operators import fine, grouping, ranking, similarity
 from siftmill.plans.scratch import Scratch
 
 DECISION = ["item_id", "stage", "reason"]
@@ -67,6 +67,22 @@ def near_duplicates(chunks: str, bits: int, threshold: int, keep: Callable[[Data
     return stage
 
 
+def fine_duplicates(chunks: str, bits: int, threshold: int, least: float, keep: Callable[[DataFrame], DataFrame], thumb: str = "thumb", item: str = "item_id") -> Stage:
+    """As `near_duplicates`, with a second look: in greedy groups of close fingerprints, pictures whose structural similarity is `least` or
+    more are linked, and `keep` decides in each cluster. The reason is `cluster`, after what `keep` says."""
+
+    def stage(items: DataFrame) -> DataFrame:
+        scratch = Scratch(items.sparkSession, "fine-stage")
+        fp = scratch.save(items.select(F.col(item).alias("id"), F.col(chunks).alias("chunks")))
+        coarse = grouping.star_groups(fp, scratch.save(similarity.hamming_pairs(fp, threshold, bits)))
+        x = items.select(F.col(item).alias("item_id"), F.col(thumb).alias("thumb")).join(coarse, "item_id")
+        found = fine.fine_clusters(x, fine.fine_pairs(x, least)).where("cluster IS NOT NULL").select(F.col("item_id").alias("_i"), F.col("cluster").alias("group_id"))
+        gone = keep(items.join(found, F.col(item) == F.col("_i")).drop("_i"))
+        return gone.select("item_id", "stage", F.concat(F.lit("cluster: "), "reason").alias("reason"))
+
+    return stage
+
+
 def equal_duplicates(key: Column, keep: Callable[[DataFrame], DataFrame]) -> Stage:
     """As `near_duplicates`, for items of one key."""
     return lambda items: keep(items.withColumn("group_id", key).where("group_id IS NOT NULL")).select(*DECISION)

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.functions import hashing, language, ocr, rules, titles
+from siftmill.functions import hashing, images, language, ocr, rules, titles, uris
 from siftmill.operators import catalog, joins, metrics, ranking, similarity
 from siftmill.plans import cascade
+from siftmill.sources import archives
 
 
 def cover_candidates(members: DataFrame, archive: str, order: Column, front: int = 3, back: int = 5, item: str = "item_id") -> DataFrame:
@@ -89,6 +90,34 @@ def hash_size_benchmark(hashes: DataFrame, sizes: Sequence[int], suggest: float
     return s.withColumn("suggested_threshold", F.greatest(F.lit(1), F.floor(F.col("avg_distance") * suggest).cast("int")))
 
 
+def archive_images(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """All measures (`images.measured`) of the images in ZIP files, from the archives' bytes: archive, inner, file_size, uri and a row for each member.
+
+    Members that cannot be read or decoded are rows with an error, and an archive that cannot be read is one with null names.
+    """
+    listed = archives.members(files, path_col, content_col, with_content=True, pattern=r"(?i)\.(?:" + "|".join(uris.IMAGE_EXTENSIONS) + ")$")
+    x = listed.select("archive", "inner", "file_size", uris.canonical(F.concat_ws("!", "archive", "inner")).alias("uri"), F.col("error").alias("read_error"), "content")
+    x = images.measured(x)
+    return x.withColumn("error", F.coalesce("read_error", "error")).drop("read_error")
+
+
+def archive_metrics(files: DataFrame, sample: int = 3, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(archive, width, page_count, clarity): the upper median width and the mean sharpness above 0 of `sample` images by size, and the number of images.
+
+    Only the sampled members are read and decoded. An archive without images, or one that cannot be read, has 0 for all; so has a measure that fails.
+    """
+    listed = archives.members(files, path_col, content_col)
+    pages = listed.where(F.coalesce(uris.is_image(F.col("inner")), F.lit(False)))
+    # by size, not by name: the largest, the middle one, and others of the largest third
+    picks = ranking.sample_by_size(pages, "archive", "file_size", sample, "inner").groupBy("group").agg(F.collect_set("item_id").alias("_names"))
+    few = files.join(picks, F.col(path_col) == F.col("group"))
+    seen = images.measured(archives.members(few, path_col, content_col, with_content=True, names_col="_names").select("archive", "content"))
+    m = seen.groupBy("archive").agg(metrics.upper_median("width").alias("w"), metrics.positive_mean(F.col("sharpness")).alias("c"))
+    counts = listed.groupBy("archive").agg(F.count_if(F.coalesce(uris.is_image(F.col("inner")), F.lit(False))).alias("page_count"))
+    every = files.select(F.col(path_col).alias("archive")).distinct().join(counts, "archive", "left").join(m, "archive", "left")
+    return every.select("archive", F.coalesce("w", F.lit(0)).cast("int").alias("width"), F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("c", F.lit(0.0)).alias("clarity"))
+
+
 def compare_algorithms(scores: DataFrame, algorithms: Sequence[str], key: str = "pair_id") -> DataFrame:
     """(pair_id, algorithm, similarity_score): wide scores made long, for `metrics.score_stats` and `metrics.pivot_scores`."""
     return scores.unpivot([key], list(algorithms), "algorithm", "similarity_score")

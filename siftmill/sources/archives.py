@@ -1,4 +1,4 @@
-"""Archive members as rows: a Python data source over ZIP files, and operators on member listings."""
+"""Archive members as rows, read from the bytes of ZIP files, archives made of rows, and operators on member listings."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,23 +35,24 @@ def member_name(info: zipfile.ZipInfo) -> str:
     return info.filename if info.flag_bits & 0x800 or info.filename.isascii() else decode_name(info.filename.encode("cp437", "replace"))
 
 
-def members(files: DataFrame, path_col: str = "path", content_col: str = "content", with_content: bool = False, pattern: str | None = None, test: bool = False) -> DataFrame:
+def members(files: DataFrame, path_col: str = "path", content_col: str = "content", with_content: bool = False, pattern: str | None = None, test: bool = False, names_col: str | None = None) -> DataFrame:
     """One row per member of each ZIP (or CBZ) file of a binary-file DataFrame; folders have no row.
 
     `pattern`: only members whose name matches this regular expression. `with_content`: their bytes too. `test`: `ok` says
-    whether the member's checksum holds. Anything that is not a readable ZIP archive gives one row with its error.
+    whether the member's checksum holds. `names_col`: an array of names, only these members of each file. Anything that is not a readable ZIP archive gives one row with its error.
     """
     import re
 
     wanted = re.compile(pattern) if pattern else None
-    src = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
+    names = F.col(names_col) if names_col else F.lit(None).cast("array<string>")
+    src = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"), names.alias("names"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), _KINDS, strict=True)], [n for n, _ in _KINDS])
 
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+            for path, content, only in zip(b.column("path").to_pylist(), b.column("content"), b.column("names").to_pylist(), strict=True):
                 rows: list[tuple] = []
                 try:
                     z = zipfile.ZipFile(io.BytesIO(content.as_py()))
@@ -59,7 +61,7 @@ def members(files: DataFrame, path_col: str = "path", content_col: str = "conten
                     continue
                 for info in z.infolist():
                     name = member_name(info)
-                    if info.is_dir() or wanted and not wanted.search(name):
+                    if info.is_dir() or wanted and not wanted.search(name) or names_col and name not in (only or ()):
                         continue
                     data, ok, error = None, None, None
                     if with_content or test:
@@ -77,6 +79,24 @@ def members(files: DataFrame, path_col: str = "path", content_col: str = "conten
     return src.mapInArrow(run, MEMBERS)
 
 
+def pack(rows: DataFrame, archive_col: str = "archive", name_col: str = "inner", content_col: str = "content") -> DataFrame:
+    """(path, content binary): a ZIP file of each archive's members, stored as they are, in the order of their names.
+
+    A file is a row, and its members go through one task, so archives must be below 2 GB. Null contents are empty members, null archives and names
+    are left out; equal members give equal bytes.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for name, content in sorted(zip(pdf["name"], pdf["content"], strict=True), key=lambda m: m[0]):
+                z.writestr(zipfile.ZipInfo(name), bytes(content or b""))
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [out.getvalue()]})
+
+    src = rows.select(F.col(archive_col).alias("path"), F.col(name_col).alias("name"), F.col(content_col).alias("content")).where("path IS NOT NULL AND name IS NOT NULL")
+    return src.groupBy("path").applyInPandas(lambda pdf: one(pdf), "path string, content binary")
+
+
 def scan_archives(spark: SparkSession, path: str, **options) -> DataFrame:
     """`members` of all ZIP and CBZ files under a folder; paths with trash or multi folders are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -19,19 +19,22 @@ def hash_entries(text: Column) -> Column:
     `hashes` (of structs or strings), else `results`, else `files`, else the flat form without its special keys. A hash may also stand in
     the name, as `[hash-...]`. Text that is not JSON gives null.
     """
-    top = F.from_json(text, _MAP)
-    inner = F.coalesce(*[F.from_json(top[k], _MAP) for k in ("hashes", "results", "files")], top)
-    pairs = F.filter(F.map_entries(inner), lambda e: ~e["key"].isin(*SPECIAL_KEYS))
-
-    def one(e: Column) -> Column:
-        is_struct = e["value"].startswith("{")
-        h = F.when(is_struct, F.get_json_object(e["value"], "$.hash")).otherwise(e["value"])
-        return F.struct(
-            e["key"].alias("uri"), F.coalesce(F.when(h != "", h), hash_in_name(e["key"])).alias("hash"),
-            F.when(is_struct, F.get_json_object(e["value"], "$.size").try_cast("int")).alias("size"), top["_hash_params"].alias("params"),
-        )
-
-    return F.filter(F.transform(pairs, one), lambda x: x["hash"].isNotNull())
+    def entries(top: Column) -> Column:
+        inner = F.coalesce(*[F.from_json(top[k], _MAP) for k in ("hashes", "results", "files")], top)
+        pairs = F.filter(F.map_entries(inner), lambda e: ~e["key"].isin(*SPECIAL_KEYS))
+
+        def one(e: Column) -> Column:
+            is_struct = e["value"].startswith("{")
+            h = F.when(is_struct, F.get_json_object(e["value"], "$.hash")).otherwise(e["value"])
+            return F.struct(
+                e["key"].alias("uri"), F.coalesce(F.when(h != "", h), hash_in_name(e["key"])).alias("hash"),
+                F.when(is_struct, F.get_json_object(e["value"], "$.size").try_cast("int")).alias("size"), top["_hash_params"].alias("params"),
+            )
+
+        return F.filter(F.transform(pairs, one), lambda x: x["hash"].isNotNull())
+
+    # the file is parsed once, and once more within
+    return F.transform(F.array(F.from_json(text, _MAP)), entries)[0]
 
 
 def read_hash_files(spark: SparkSession, path: str, name_pattern: str | None = None) -> DataFrame:

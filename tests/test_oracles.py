@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from siftmill.function_queries import ORACLES, QUERIES
+from siftmill.media_queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
