@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from siftmill.function_queries import ORACLES, QUERIES, query, read
 from siftmill.functions import hashing, images
-from siftmill.operators import catalog, fine, fingerprint, grouping, ranking, similarity
+from siftmill.operators import catalog, fine, fingerprint, grouping, ranking, similarity, structure
+from siftmill.operators import language_profiles as profiles
 from siftmill.plans import cascade, workflows
 from siftmill.plans.scratch import Scratch
 from siftmill.sources import archives, hash_json
@@ -180,3 +181,33 @@ def hash_migration(spark, sf_dir):
     rows, log = migrated(spark, sf_dir, Scratch(spark, "migration").base)
     total = log.where("status = 'completed'").agg(F.count("*").alias("n_files"), F.sum("migrated_count").alias("n_entries")).first()
     return rows.select("uri", "filename", "hash_value", "hash_size", "source_type", F.lit(total.n_files).cast("long").alias("n_files"), F.lit(total.n_entries).cast("long").alias("n_entries"))
+
+
+_PROFILES = """WITH d AS (SELECT doc_id, lang, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS c FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, lang, unnest(c) AS a, generate_subscripts(c, 1) AS i FROM d), w AS (SELECT doc_id, lang, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, lang, a AS g FROM w UNION ALL SELECT doc_id, lang, a || b FROM w WHERE b IS NOT NULL UNION ALL SELECT doc_id, lang, a || b || c FROM w WHERE c IS NOT NULL),
+o AS (SELECT doc_id, any_value(lang) AS lang, g, count(*) AS n FROM g GROUP BY doc_id, g),
+k AS (SELECT * FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) AS r FROM o WHERE lang IS NOT NULL AND doc_id % 2 = 0 GROUP BY lang, g) WHERE r <= 300),
+m AS (SELECT * FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) AS r FROM o) WHERE r <= 300),
+z AS (SELECT m.doc_id, l.lang, sum(coalesce(abs(k.r - m.r), 300)) / (count(*) * 300.0::DOUBLE) AS far, count(*) AS grams FROM m CROSS JOIN (SELECT DISTINCT lang FROM k) l LEFT JOIN k ON k.lang = l.lang AND k.g = m.g GROUP BY 1, 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) AS place, lead(far) OVER (PARTITION BY doc_id ORDER BY far, lang) AS next FROM z),
+b AS (SELECT doc_id, lang, far, CASE WHEN next IS NULL THEN 1.0::DOUBLE WHEN next = 0 THEN 0 ELSE (next - far) / next END AS margin, grams FROM f WHERE place = 1)
+SELECT e.doc_id, b.lang, round(far, 9) AS distance, round(margin, 9) AS margin, coalesce(grams >= 20 AND margin >= 0.05, false) AS reliable FROM documents e LEFT JOIN b ON b.doc_id = e.doc_id"""
+
+
+@query(_PROFILES)
+def language_profiles(spark, sf_dir):
+    """The language of every document by rank profiles of character n-grams, learned from those of even id."""
+    docs = read(spark, sf_dir, "documents")
+    known = Scratch(spark, "profiles").save(profiles.profiles(docs.where("doc_id % 2 = 0")))
+    x = profiles.detect(docs, known)
+    return x.withColumn("distance", F.round("distance", 9)).withColumn("margin", F.round("margin", 9))
+
+
+@query()
+def structure_vectors(spark, sf_dir):
+    """Pictures of all documents as structure features, standardised and reduced to principal components, rounded."""
+    x = structure.features(_pictures(spark, sf_dir)).where("features IS NOT NULL")
+    x = Scratch(spark, "structure").save(x.select("doc_id", "features"))
+    y = structure.transform(x, structure.fit(x, 8))
+    return y.select("doc_id", F.transform("hash_vector", lambda v: F.round(v, 6)).alias("hash_vector"))
