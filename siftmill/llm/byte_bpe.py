@@ -160,11 +160,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     repeated rows included; other columns are not read; an empty table gives an empty result.
     """
 
+    def ids_of(texts: list[str]) -> list[tuple]:
+        return [(ids,) for ids, _ in codec(path, pattern).encode_all(texts)]
+
     def all_of(texts: list[str]) -> list[tuple]:
         c = codec(path, pattern)
         spans = [(ids, c.offsets(ids)) for ids, _ in c.encode_all(texts)]
         return [(ids, [s for s, _ in x], [e for _, e in x]) for ids, x in spans]
 
+    if not offsets:
+        return _map(docs, id_col, text_col, "ids array<int>", ["ids"], ids_of)
     return _map(docs, id_col, text_col, "ids array<int>, starts array<int>, ends array<int>", ["ids", "starts", "ends"], all_of)
 
 

@@ -37,6 +37,8 @@ SHORT_LIST = 8
 CHUNK_POSTINGS, HOT = 1 << 20, 64
 #: Buckets of keys for each shuffle partition; a task holds one bucket at a time.
 BUCKETS = 4
+#: Postings of a bucket, which a task holds at a time: of more than BUCKETS * partitions * this, there are more buckets.
+BUCKET_POSTINGS = 1 << 20
 #: Lists of up to so many members are sifted by the sizes of sets that may link.
 SIFTED = 16
 #: Members of a long list in one block.
@@ -110,6 +112,15 @@ def choose_boundary(sizes: dict[int, int], rounds: float, percent: int = PERCENT
     return at
 
 
+def postings(sizes: dict[int, int], boundary: int, percent: int = PERCENT) -> int:
+    """How many postings the sets (size -> sets) put out: pairs of small ones, prefixes of those that may meet a large one."""
+    total = 0
+    for n, sets in sizes.items():
+        q = prefix_length(n, 2, percent)
+        total += sets * ((q * (q - 1) // 2 if n <= boundary else 0) + (prefix_length(n, 1, percent) if n > boundary * percent // 100 else 0))
+    return total
+
+
 def placed_keys(tokens: np.ndarray, boundary: int, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(join keys of a set, tokens of the order that stand before the last one of each key and are not in it).
 
@@ -350,10 +361,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     scratch.release()
     reps = scratch.save(classes.select(F.col("rep").alias("id")), slim=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts * BUCKETS, -(-postings(sizes, boundary, percent) // BUCKET_POSTINGS))
     blocks = packed.join(reps, "id", "left_semi").mapInArrow(
-        bt.tidied(_blocks(broad, boundary, percent, parts * BUCKETS)), f"j int, kind tinyint, keys array<bigint>, ids array<{kind}>, ns array<int>, caps array<int>, cs array<int>"
+        bt.tidied(_blocks(broad, boundary, percent, buckets)), f"j int, kind tinyint, keys array<bigint>, ids array<{kind}>, ns array<int>, caps array<int>, cs array<int>"
     )
-    met = blocks.repartition(parts, "j").sortWithinPartitions("j", "kind").mapInArrow(bt.tidied(_meet), f"kind tinyint, k long, id {kind}, n int, cap int, leader {kind}, nl int, capl int, m long")
+    met = blocks.repartition(max(parts, -(-buckets // (8 * BUCKETS))), "j").sortWithinPartitions("j", "kind").mapInArrow(bt.tidied(_meet), f"kind tinyint, k long, id {kind}, n int, cap int, leader {kind}, nl int, capl int, m long")
     met = scratch.save(met)
     # postings of hot keys have met nobody yet: both sides are written, so that AQE can split a hot key in this join
     hot = scratch.save(met.where("kind = 1").select("k", "id", "n", "cap").join(met.where("kind = 2").select("k", "leader", "nl", "capl", "m"), "k"), slim=True)

@@ -12,6 +12,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftmill.plans.scratch import Scratch
+
+#: Times the rows that a bucket is meant to have, beyond which it is cut again.
+CROWDED = 8
+
 LEVELS = ("domain", "lang", "source")
 
 
@@ -97,8 +102,9 @@ def mix(
     `total_tokens` None means all tokens once. In each epoch a leaf's rows stand in the order of the first 15 hex digits of md5(seed/epoch/id);
     `start` is the number of tokens before a row within its leaf, earlier epochs included, and a row is taken
     when start < budget: the last row may pass the budget, so no leaf with a budget stays below it.
-    Prefix sums are taken in two steps: hash ranges of about `rows_per_bucket` rows are summed first, so
-    no leaf, however large, is ever in one task. Epochs beyond what a budget needs are never made.
+    Prefix sums are taken in two steps: hash ranges of about `rows_per_bucket` rows are summed first. A range that holds
+    far more, as rows of one id or of none stand in one place, is cut again by sampled quantiles of the whole order, so that neither a
+    leaf nor an id, however many rows it has, is ever in one task. Epochs beyond what a budget needs are never made.
 
     Defined cases: null languages, sources and domains are leaves of their own (written "" in paths); null
     and empty texts have 0 tokens and come along when their turn is before the budget; rows with one id are ordered by
@@ -129,16 +135,28 @@ def mix(
     x = x.withColumn("order", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     # the order's leading part: equal ranges of digests, of which a leaf has as many as its rows need
     x = x.withColumn("bucket", F.floor(F.col("order").cast("double") / float(1 << 60) * F.col("buckets")))
-    sums = x.groupBy(*leaf, "epoch", "bucket").agg(F.sum("tok").alias("s"), F.first("buckets").alias("buckets"))
+    scratch, at = Scratch(spark, "mixing"), [*leaf, "epoch", "bucket"]
+    counted = lambda rows, keys: rows.groupBy(*keys).agg(F.sum("tok").alias("s"), F.count("*").alias("c"))
+    x = x.withColumn("sub", F.lit(0))
+    sums = scratch.save(counted(x, [*at, "sub"]), slim=True)
+    crowded = sums.where(F.col("c") > CROWDED * rows_per_bucket)
+    if (n := crowded.agg(F.sum("c")).first()[0]) is not None:
+        crowded = scratch.save(crowded.select(*at), slim=True)
+        # equal rows may stand in any order, but must keep it: both the number and the place are written
+        many = scratch.save(x.drop("sub").join(crowded, at, "left_semi").withColumn("salt", F.monotonically_increasing_id()))
+        many = many.repartitionByRange(max(2, -(-n // rows_per_bucket)), *at, "order", "id", "tok", "tie", "salt")
+        many = scratch.save(many.drop("salt").withColumn("sub", F.spark_partition_id()))
+        x = x.join(crowded, at, "left_anti").unionByName(many)
+        sums = scratch.save(counted(many, [*at, "sub"]).unionByName(sums.join(crowded, at, "left_anti")), slim=True)
     # prefix sums of bucket sums: again in two steps, by groups of 1024 buckets
     sums = sums.withColumn("block", F.floor(F.col("bucket") / 1024))
     blocks = sums.groupBy(*leaf, "epoch", "block").agg(F.sum("s").alias("bs"))
     wb = Window.partitionBy(*leaf, "epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("b0", F.coalesce(F.sum("bs").over(wb), F.lit(0)))
-    ws = Window.partitionBy(*leaf, "epoch", "block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("s0", F.coalesce(F.sum("s").over(ws), F.lit(0))).join(blocks, [*leaf, "epoch", "block"]).select(*leaf, "epoch", "bucket", (F.col("s0") + F.col("b0")).alias("s0"))
-    x = x.join(sums, [*leaf, "epoch", "bucket"])
-    wi = Window.partitionBy(*leaf, "epoch", "bucket").orderBy("order", "id", "tok", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    ws = Window.partitionBy(*leaf, "epoch", "block").orderBy("bucket", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("s0", F.coalesce(F.sum("s").over(ws), F.lit(0))).join(blocks, [*leaf, "epoch", "block"]).select(*at, "sub", (F.col("s0") + F.col("b0")).alias("s0"))
+    x = x.join(sums, [*at, "sub"])
+    wi = Window.partitionBy(*at, "sub").orderBy("order", "id", "tok", "tie").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("start", F.col("s0") + F.coalesce(F.sum("tok").over(wi), F.lit(0))).where("start < want")
     return x.select(
         F.col("id").alias(id_col), F.col("l0").alias("domain"), F.col("l1").alias("lang"), F.col("l2").alias("source"), "epoch",
