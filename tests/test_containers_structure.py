@@ -173,7 +173,7 @@ def test_encoding_of_all_names_of_an_archive(spark, encoding):
 
 def test_names_that_share_no_encoding():
     assert archives.detect_encoding([b"plain"]) is None and archives.detect_encoding([]) is None
-    assert archives.decode_name(b"\xff\xff\xff") == ""
+    assert archives.decode_name(b"abc\xe9") == "abc" and archives.decode_name("日本".encode("cp932"), "utf-8") == "日本"
 
 
 # rank profiles
