@@ -44,12 +44,11 @@ def anchors(buf: np.ndarray, min_len: int = MIN_LEN) -> tuple[np.ndarray, np.nda
     k = core_length(min_len)
     w = min_len - k + 1
     n = len(buf) - min_len + 1  # windows
-    low = bt.U(_STEP * 2 - 1)
-    if w >= _STEP:
-        raise ValueError("min_len is too large")
+    step = max(_STEP, 1 << w.bit_length())
+    low = bt.U(step * 2 - 1)
     pos, core = [], []
-    for base in range(0, max(n, 0), _STEP):
-        m = min(_STEP, n - base)
+    for base in range(0, max(n, 0), step):
+        m = min(step, n - base)
         h = np.concatenate([x for _, x in bt.gram_hashes(buf[base : base + m + min_len - 1], k)])
         v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         size = 1
@@ -118,13 +117,13 @@ def intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], min_len: int, nested: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], min_len: int, nested: bool = True, within: tuple[int, int] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(left length, right length, members, their farthest left agreement) of the repeats around one anchor.
 
     `lefts` are the contexts before the anchor, reversed. Yields, for each interval of the suffix array, the
     sets of members that agree over min_len bytes around the anchor; the left length is what all of a set share, and beyond it
     they differ. With `nested` also the sets within these that agree on more to the left, by the intervals of the left agreements.
-    Sets that some deeper interval holds entirely (not right-maximal) are left to it.
+    Sets that some deeper interval holds entirely (not right-maximal) are left to it. `within` bounds the right lengths that are wanted.
     """
     n = len(rights)
     order = sorted(range(n), key=rights.__getitem__)
@@ -141,7 +140,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], min_len: int, neste
     back = np.array(by_left)
     for length, first, last in intervals(lcp):
         need = min_len - length
-        if first == last or length == 0:
+        if first == last or length == 0 or within and not within[0] <= length <= within[1]:
             continue
         r = np.sort(in_order[first : last + 1])
         agree = left_min(r[:-1], r[1:])
@@ -160,7 +159,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], min_len: int, neste
                 yield int(own.min()), length, members, far
                 continue
             for left, i, j in intervals(np.concatenate(([0], own))):
-                if left >= need and i < j:
+                if left >= need and i < j and left == int(own[i:j].min()):
                     at = place[members[i : j + 1]]
                     if int(right_min(at.min()[None], at.max()[None])[0]) == length:
                         yield left, length, members[i : j + 1], far[i : j + 1]
@@ -453,7 +452,8 @@ class Repeats:
 
         Within the context of an anchor these are the maximal repeats. Longer ones are put together from pieces: pieces that occur at
         the same places, but for a shift, and that overlap or touch, are one repeat (a copied document, a long passage). Where part of
-        a long repeat occurs in more places than the rest, that part is a repeat of its own, and what stands to its two sides ends within a context of it.
+        a long repeat occurs in more places than the rest, that part is a repeat of its own, and what stands to its two sides ends within a context of it;
+        `repeat_groups.MaximalRepeats` gives all maximal repeats whole, at the cost of that answer's size.
         `repeat` is a digest that tells repeats of one length apart. Repeated rows count as occurrences each.
         """
         pieces = self.scratch.save(self._pieces())
