@@ -97,7 +97,7 @@ def _blocked(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     a = left.withColumn("_x", F.pmod(F.xxhash64("l"), n)).withColumn("_y", every)
     b = right.withColumn("_y", F.pmod(F.xxhash64("r"), n)).withColumn("_x", every)
-    return a.join(b, ["_x", "_y"])
+    return a.hint("merge").join(b, ["_x", "_y"])
 
 
 def hamming_join(
@@ -108,14 +108,15 @@ def hamming_join(
     Rows of `left` are keyed by their bands, rows of `right` by their bands and, where the plan allows
     differing bits, their neighbours; hot bands are split by AQE's skew join, and pairs that met in several bands are made one.
     A threshold so wide that bands would prune little (`bands_prune`) has everything compared once, block by block, which is then the
-    cheaper way; like its result, that is quadratic. Null fingerprints match nothing.
+    cheaper way; like its result, that is quadratic. Null fingerprints match nothing. Neither side is broadcast: Spark takes a table for as small
+    as its compressed files, and arrays of chunks are many times that.
     """
     a = left.where(F.col(chunks_col).isNotNull()).select(F.col(id_col).alias("l"), F.col(chunks_col).alias("lc"))
     b = right.where(F.col(chunks_col).isNotNull()).select(F.col(id_col).alias("r"), F.col(chunks_col).alias("rc"))
     pruned = bands_prune(bits, threshold)
     if pruned:
         keys = lambda c, probe: F.explode(_keys(F.col(c), bits, threshold, chunk_bits, probe))
-        j = a.withColumn("k", keys("lc", False)).join(b.withColumn("k", keys("rc", True)), "k")
+        j = a.withColumn("k", keys("lc", False)).hint("merge").join(b.withColumn("k", keys("rc", True)), "k")
     else:
         j = _blocked(a, b, max(2, math.isqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     j = j.withColumn("distance", hashing.chunk_distance(F.col("lc"), F.col("rc"))).where(F.col("distance") <= threshold).select("l", "r", "distance")
@@ -137,6 +138,20 @@ def hamming_pairs(items: DataFrame, threshold: int, bits: int, id_col: str = "id
     return across.unionByName(same)
 
 
+def hamming_links(items: DataFrame, threshold: int, bits: int, id_col: str = "id", chunks_col: str = "chunks", chunk_bits: int = 52) -> DataFrame:
+    """(a, b, distance) of the links within `threshold`, a < b, without expanding copies into all pairs.
+
+    Items of one fingerprint are a class, represented by its smallest id. Each other item has one row with its representative, at distance 0;
+    each pair of classes within `threshold` has one row of their representatives, at a distance above 0. Two items are within `threshold` if
+    their representatives are, so no pair is lost, and rows grow with the items and with the pairs of different fingerprints.
+    """
+    x = items.where(F.col(chunks_col).isNotNull())
+    classes = x.groupBy(chunks_col).agg(F.min(id_col).alias(id_col))
+    near = hamming_join(classes, classes, threshold, bits, id_col, chunks_col, chunk_bits).where("l < r").toDF("a", "b", "distance")
+    member = x.select(F.col(id_col).alias("b"), chunks_col).hint("merge").join(classes.select(chunks_col, F.col(id_col).alias("a")), chunks_col)
+    return near.unionByName(member.where("a < b").select("a", "b", F.lit(0).alias("distance")))
+
+
 def reference_match(items: DataFrame, reference: DataFrame, threshold: int, bits: int, id_col: str = "id", chunks_col: str = "chunks", uri_col: str = "uri", chunk_bits: int = 52) -> DataFrame:
     """(id, ref_uri, distance): the nearest reference within `threshold` of each item, the smallest URI at a tie.
 
