@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions import hashing, vectors
@@ -155,12 +155,17 @@ def hamming_links(items: DataFrame, threshold: int, bits: int, id_col: str = "id
 def reference_match(items: DataFrame, reference: DataFrame, threshold: int, bits: int, id_col: str = "id", chunks_col: str = "chunks", uri_col: str = "uri", chunk_bits: int = 52) -> DataFrame:
     """(id, ref_uri, distance): the nearest reference within `threshold` of each item, the smallest URI at a tie.
 
-    A reference with an item's own URI never matches it. Items without a match have no row.
+    A reference with an item's own URI never matches it. Items without a match have no row. Items of one fingerprint are compared
+    with the references once, as a class.
     """
-    own = items.select(F.struct(F.col(id_col).alias("id"), F.col(uri_col).alias("uri")).alias("id"), chunks_col)
-    near = hamming_join(own, reference.select(F.col(uri_col).alias("id"), chunks_col), threshold, bits, "id", chunks_col, chunk_bits)
-    near = near.where(~F.col("l.uri").eqNullSafe(F.col("r")))
-    return near.groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct("distance", F.col("r").alias("ref_uri"))).alias("m")).select("id", "m.ref_uri", "m.distance")
+    has = items.where(F.col(chunks_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), F.col(chunks_col).alias("c"))
+    classes = has.select(F.col("c").alias("id"), F.col("c").alias(chunks_col)).distinct()
+    near = hamming_join(classes, reference.select(F.col(uri_col).alias("id"), chunks_col), threshold, bits, "id", chunks_col, chunk_bits)
+    near = near.groupBy(F.col("l").alias("c"), F.col("r").alias("ref_uri")).agg(F.min("distance").alias("distance"))
+    # an item's own URI can take away one reference only, so that the nearest two of a class decide for all its items
+    best = near.withColumn("_at", F.row_number().over(Window.partitionBy("c").orderBy("distance", "ref_uri"))).where("_at <= 2").drop("_at")
+    met = has.hint("merge").join(best, "c").where(~F.col("uri").eqNullSafe(F.col("ref_uri")))
+    return met.groupBy("id").agg(F.min(F.struct("distance", "ref_uri")).alias("m")).select("id", "m.ref_uri", "m.distance")
 
 
 def vector_pairs(items: DataFrame, id_col: str = "id", vector_col: str = "embedding", block_col: str | None = None) -> DataFrame:
