@@ -230,6 +230,58 @@ def best_pairs(items: DataFrame, n: int, id_col: str = "id", vector_col: str = "
     return top_pairs(few.withColumn("score", F.round("score", digits)), n)
 
 
+#: Vectors of a part whose pairs are counted, not put out, and rows and columns of scores that are held at a time.
+SCORE_BLOCK, SCORE_TILE = 4096, 1024
+
+
+def block_scores(items: DataFrame, id_col: str, vector_col: str, block_col: str) -> DataFrame:
+    """(block_col, n_pairs long, avg_score, max_score double): count, mean and largest cosine of all pairs a < b of each block.
+
+    As many pairs as `vector_pairs` has, none of which is put out: a block is cut into parts of about SCORE_BLOCK rows, a pair of parts is a group of its own,
+    and its scores are summed tile by tile. Pairs count without a score where a vector is null, zero, holds a null, or is of another length than its partner. Null ids
+    and blocks are in no pair; blocks without pairs have no row.
+    """
+    v = F.col(vector_col).cast("array<double>")
+    x = items.select(F.col(id_col).alias("id"), F.when(~F.exists(v, lambda c: c.isNull()), v).alias("v"), F.col(block_col).alias("k")).where("id IS NOT NULL AND k IS NOT NULL")
+    sizes = x.groupBy("k").agg(F.ceil(F.count("*") / SCORE_BLOCK).alias("parts"))
+    # a part goes to the pairs that it is in, so that rows of one id, which are no pair, are always in one part
+    x = x.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    x = x.select("id", "v", "k", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    kind = x.schema["k"].dataType.simpleString()
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        ids, part = pdf["id"].to_numpy(), pdf["part"].to_numpy()
+        length = pdf["v"].map(lambda q: -1 if q is None else len(q)).to_numpy()
+        before = lambda p, q: ids[p][:, None] < ids[q][None, :]
+        n_pairs, n, add, most = 0, 0, 0.0, -math.inf
+        i, j = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        if lo != hi:
+            n_pairs = len(i) * len(j)
+        else:
+            n_pairs = sum(int(before(i[a : a + SCORE_TILE], j).sum()) for a in range(0, len(i), SCORE_TILE))
+        for size in np.unique(length[length > 0]):
+            p, q = i[length[i] == size], j[length[j] == size]
+            m, w = (np.array(pdf["v"].iloc[at].tolist(), np.float64).reshape(len(at), size) for at in (p, q))
+            with np.errstate(all="ignore"):
+                nm, nw = np.sqrt((m * m).sum(1)), np.sqrt((w * w).sum(1))
+                for a in range(0, len(p), SCORE_TILE):
+                    for b in range(0, len(q), SCORE_TILE):
+                        rows, cols = slice(a, a + SCORE_TILE), slice(b, b + SCORE_TILE)
+                        norm = nm[rows, None] * nw[None, cols]
+                        has = ~(norm <= 0)
+                        if lo == hi:
+                            has &= before(p[rows], q[cols])
+                        score = (m[rows] @ w[cols].T / norm)[has]
+                        if len(score):
+                            n, add, most = n + len(score), add + float(score.sum()), float(np.maximum(most, score.max()))
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "n_pairs": [n_pairs], "n": [n], "s": [add], "m": pd.Series([most if n else None], dtype=object)})
+
+    got = x.groupBy("k", "lo", "hi").applyInPandas(total, f"k {kind}, n_pairs long, n long, s double, m double")
+    found = got.groupBy(F.col("k").alias(block_col)).agg(F.sum("n_pairs").alias("n_pairs"), F.try_divide(F.sum("s"), F.sum("n")).alias("avg_score"), F.max("m").alias("max_score"))
+    return found.where("n_pairs > 0")
+
+
 def top_pairs(pairs: DataFrame, n: int, score_col: str = "score", largest: bool = True) -> DataFrame:
     """The n best pairs; ties by (a, b)."""
     return pairs.orderBy(F.desc(score_col) if largest else F.asc(score_col), "a", "b").limit(n)

@@ -73,3 +73,26 @@ def test_gates_and_total():
     red[:, :, :2] //= 2  # coloured: nothing counts
     assert set(pixels.text_scores_of(red).values()) == {0.0}
     assert set(pixels.text_scores_of(bgr(page([]))).values()) == {0.0}  # no line: nothing counts
+
+
+def test_block_scores_put_out_no_pairs(spark, monkeypatch):
+    """Against all pairs, with parts of a few rows: null, zero, short and broken vectors, null labels and repeated ids count as there."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from siftmill.functions import vectors
+    from siftmill.operators import similarity
+
+    monkeypatch.setattr(similarity, "SCORE_BLOCK", 7)
+    monkeypatch.setattr(similarity, "SCORE_TILE", 3)
+    rng = random.Random(1)
+    rows = [(i // 2 if i % 9 == 1 else i, [rng.gauss(0, 1) for _ in range(4)], i % 3) for i in range(60)]
+    rows += [(100, None, 0), (101, [0.0] * 4, 0), (102, [1.0, None, 2.0, 3.0], 1), (103, [1.0, 2.0], 1), (104, [2.0, 1.0], 1), (105, [1.0] * 4, None), (106, [1.0] * 4, 7), (107, None, 8), (108, None, 8), (None, [1.0] * 4, 0)]
+    e = spark.createDataFrame(rows, "id long, v array<float>, k int")
+    pairs = similarity.vector_pairs(e.where("id IS NOT NULL"), "id", "v", "k")
+    x, y = e.toDF("a", "av", "k"), e.toDF("b", "bv", "k")
+    want = x.join(y, "k").where("a < b").groupBy("k").agg(F.count("*").alias("n"), F.avg(vectors.cosine(F.col("av"), F.col("bv"))).alias("s"), F.max(vectors.cosine(F.col("av"), F.col("bv"))).alias("m"))
+    rounded = lambda d: sorted((r[0], r[1], *(None if q is None else round(q, 9) for q in r[2:])) for r in d.collect())
+    got = similarity.block_scores(e, "id", "v", "k")
+    assert rounded(got) == rounded(want) and sum(r.n_pairs for r in got.collect()) == pairs.count()
