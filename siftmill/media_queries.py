@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,27 +20,37 @@ from siftmill.sources import archives, hash_json
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def drawn(batches: Iterator[pa.RecordBatch], one) -> Iterator[pa.RecordBatch]:
+    """(archive, inner, content, doc_id) that `one` makes of each id and text's bytes, in batches that end where contents reach images.BATCH_BYTES."""
+    put = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary(), pa.int64()), strict=True)], ["archive", "inner", "content", "doc_id"])
+    for b in batches:
+        rows, size = [], 0
+        for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
+            rows.append(one(i, text.as_py()))
+            size += len(rows[-1][2])
+            if size >= images.BATCH_BYTES:
+                yield put(rows)
+                rows, size = [], 0
+        if rows:
+            yield put(rows)
+
+
 def _pictures(spark, sf_dir) -> DataFrame:
     """(archive, inner, content, doc_id): the bytes of each whole text as pixels: 48 gray ones a line in a PNG, or 16 of three bytes in a BMP for odd
     ids. Forty to an archive. Some are damaged: ids that leave 4 modulo 14 have a wrong last checksum, those that leave 11 modulo 50 are no images."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                raw = text.encode()
-                h = max(1, -(-len(raw) // 48))
-                x = np.frombuffer(raw.ljust(h * 48, b"\0"), np.uint8)
-                data = images.bmp_bytes(x.reshape(h, 16, 3)) if i % 2 else images.png_bytes(x.reshape(h, 48, 1))
-                if i % 14 == 4:
-                    data = data[:-1] + bytes([data[-1] ^ 1])
-                if i % 50 == 11:
-                    data = b"no image"
-                out.append((f"a{i // 40}.zip", f"{i}.{'bmp' if i % 2 else 'png'}", data, i))
-            yield pd.DataFrame(out, columns=["archive", "inner", "content", "doc_id"])
+    def one(i: int, raw: bytes) -> tuple:
+        h = max(1, -(-len(raw) // 48))
+        x = np.frombuffer(raw.ljust(h * 48, b"\0"), np.uint8)
+        data = images.bmp_bytes(x.reshape(h, 16, 3)) if i % 2 else images.png_bytes(x.reshape(h, 48, 1))
+        if i % 14 == 4:
+            data = data[:-1] + bytes([data[-1] ^ 1])
+        if i % 50 == 11:
+            data = b"no image"
+        return f"a{i // 40}.zip", f"{i}.{'bmp' if i % 2 else 'png'}", data, i
 
-    return docs.mapInPandas(run, "archive string, inner string, content binary, doc_id long")
+    return docs.mapInArrow(lambda batches: drawn(batches, one), "archive string, inner string, content binary, doc_id long")
 
 
 def _archives(spark, sf_dir) -> DataFrame:
@@ -74,16 +83,12 @@ def archive_metrics(spark, sf_dir):
     """Representative width and pages of archives of pictures of five widths, from their bytes; only the sampled members are decoded."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                w, raw = 16 + i % 5 * 4, text.encode()
-                h = max(1, -(-len(raw) // (3 * w)))
-                out.append((f"a{i // 40}.zip", f"{i}.bmp", images.bmp_bytes(np.frombuffer(raw.ljust(h * w * 3, b"\0"), np.uint8).reshape(h, w, 3))))
-            yield pd.DataFrame(out, columns=["archive", "inner", "content"])
+    def one(i: int, raw: bytes) -> tuple:
+        w = 16 + i % 5 * 4
+        h = max(1, -(-len(raw) // (3 * w)))
+        return f"a{i // 40}.zip", f"{i}.bmp", images.bmp_bytes(np.frombuffer(raw.ljust(h * w * 3, b"\0"), np.uint8).reshape(h, w, 3)), i
 
-    p = docs.mapInPandas(run, "archive string, inner string, content binary")
+    p = docs.mapInArrow(lambda batches: drawn(batches, one), "archive string, inner string, content binary, doc_id long").drop("doc_id")
     notes = p.select("archive").distinct().select("archive", F.lit("notes.txt").alias("inner"), F.lit(b"about").alias("content"))
     files = Scratch(spark, "archives").save(archives.pack(p.unionByName(notes)))
     return workflows.archive_metrics(files).select("archive", "width", "page_count")

@@ -66,7 +66,7 @@ def features(rows: DataFrame, content_col: str = "content") -> DataFrame:
 
     def one(content: bytes | None) -> tuple:
         x, _, error = images.pixels_of(content)
-        return (None, error) if x is None else (features_of(x).tolist(), None)
+        return (None, error) if x is None else (features_of(x), None)
 
     return images._mapped(rows, content_col, [("features", "array<double>", pa.list_(pa.float64())), ("error", "string", pa.string())], one)
 

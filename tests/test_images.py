@@ -217,3 +217,20 @@ def test_decisions_from_bytes(spark, tmp_path):
         group.sort()
         want |= {u: ("size", f"{s - group[0][0]} smaller") for s, u in group[1:]}
     assert got == want and {s for s, _ in want.values()} >= {"unreadable", "small_image", "size"}
+
+
+def test_batches_end_by_the_size_of_pictures_and_features(monkeypatch):
+    """However many rows a batch brings: one of many pictures, or of many arrays of features, is not held whole."""
+    import pyarrow as pa
+
+    from siftmill import media_queries
+
+    monkeypatch.setattr(images, "BATCH_BYTES", 4000)
+    texts = pa.record_batch({"doc_id": pa.array(range(50)), "text": pa.array(["x" * 1000] * 50)})
+    got = list(media_queries.drawn(iter([texts]), lambda i, raw: (f"a{i}", f"{i}", raw, i)))
+    assert [b.num_rows for b in got] == [4] * 12 + [2] and pa.Table.from_batches(got)["doc_id"].to_pylist() == list(range(50))
+    out = [("features", "array<double>", pa.list_(pa.float64())), ("error", "string", pa.string())]
+    rows = pa.record_batch({"id": pa.array(range(50)), "content": pa.array([b"x"] * 50)})
+    made = list(images.results(iter([rows]), "content", ["id"], out, lambda c: (np.arange(222.0), None)))
+    assert max(b.num_rows for b in made) == 3 and pa.Table.from_batches(made)["id"].to_pylist() == list(range(50))
+    assert made[-1].column("features")[0].as_py() == list(range(222))
