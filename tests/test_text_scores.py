@@ -96,3 +96,18 @@ def test_block_scores_put_out_no_pairs(spark, monkeypatch):
     rounded = lambda d: sorted((r[0], r[1], *(None if q is None else round(q, 9) for q in r[2:])) for r in d.collect())
     got = similarity.block_scores(e, "id", "v", "k")
     assert rounded(got) == rounded(want) and sum(r.n_pairs for r in got.collect()) == pairs.count()
+
+
+def test_grams_are_counted_as_numbers(monkeypatch):
+    """The counts of a plain count, and numbers in the order of the n-grams, for characters of every width and NUL; arrays, not an object per n-gram."""
+    from collections import Counter
+
+    from siftmill.operators import language_profiles as p
+
+    for block in (5, 1 << 20):
+        monkeypatch.setattr(p, "BLOCK", block)
+        for text in ("", "a", "ab", "abcab" * 9, "\0a\0\0b", "z\U0010ffff\u00e9\u6f22a z", "\uffff\U00010000" * 4):
+            keys, n = p._grams(text)
+            want = Counter(text[i : i + k] for k in (1, 2, 3) for i in range(len(text) - k + 1))
+            assert isinstance(keys, np.ndarray) and [(p._gram(k), c) for k, c in zip(keys.tolist(), n.tolist(), strict=True)] == sorted(want.items())
+            assert [p._number(g) for g in sorted(want)] == keys.tolist()
