@@ -136,8 +136,9 @@ def _vector_pictures(spark, sf_dir) -> DataFrame:
 def fine_clusters(spark, sf_dir):
     """Embeddings as pictures: greedy groups of close perceptual hashes, in them clusters by structural similarity, and each cluster's medoid."""
     x = _vector_pictures(spark, sf_dir)
-    fp = x.select(F.col("item_id").alias("id"), "chunks")
-    coarse = grouping.star_groups(fp, Scratch(spark, "coarse").save(similarity.hamming_pairs(fp, 5, 64)))
+    save = Scratch(spark, "coarse").save
+    stars = lambda c: save(grouping.star_groups(c, save(similarity.hamming_pairs(c, 5, 64))))
+    coarse = grouping.by_class(x.select(F.col("item_id").alias("id"), "chunks"), "chunks", stars)
     pairs = fine.fine_pairs(x.join(coarse, "item_id"), 0.8)
     found = Scratch(spark, "clusters").save(fine.fine_clusters(x, pairs))
     best = fine.medoids(found, pairs)
