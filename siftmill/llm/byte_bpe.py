@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from siftmill.llm import bytetext as bt
 
 #: Pieces kept per worker; the cache is emptied before it grows further. Longer pieces are encoded but never kept.
 CACHE_PIECES, CACHE_PIECE_CHARS = 400_000, 64
+#: Texts that are encoded together, and bytes of them, but for a single longer one: ids and offsets can be many times their size.
+PART_ROWS, PART_BYTES = 128, 1 << 20
 
 
 def byte_chars() -> dict[int, str]:
@@ -134,15 +137,25 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of PART_ROWS texts and PART_BYTES."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()):
+        if i > start and (i - start >= PART_ROWS or size + n > PART_BYTES):
+            yield b.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if b.num_rows > start:
+        yield b.slice(start)
+
+
 def _map(docs: DataFrame, id_col: str, text_col: str, out: str, names: list[str], all_of: Callable[[list[str]], list[tuple]]) -> DataFrame:
     bt.small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # small output batches: ids and offsets of one input batch can be many times its size
-            for i in range(0, b.num_rows, 128):
-                part = b.slice(i, 128)
+            for part in _parts(b):
                 rows = all_of([t or "" for t in part.column("text").to_pylist()])
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
                 schema = run_schema[1:]
