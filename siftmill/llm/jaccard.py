@@ -33,12 +33,13 @@ CHUNK_SHINGLES = 1_000_000
 MAX_FREQUENT = 200_000
 #: Lists of up to so many members are paired by a join; longer ones are scanned block by block against bitmaps.
 SHORT_LIST = 8
-#: Postings that a task deals out to buckets together; keys that occur HOT times among them go there once, with their count.
-CHUNK_POSTINGS, HOT = 1 << 20, 64
+#: Postings that a task deals out to buckets together, with those of one text more at most; keys that occur HOT times among them go there
+#: once, with their count. A worker takes about 160 bytes a posting while it deals them out.
+CHUNK_POSTINGS, HOT = 1 << 18, 16
 #: Buckets of keys for each shuffle partition; a task holds one bucket at a time.
 BUCKETS = 4
 #: Postings of a bucket, which a task holds at a time: of more than BUCKETS * partitions * this, there are more buckets.
-BUCKET_POSTINGS = 1 << 20
+BUCKET_POSTINGS = 1 << 17
 #: Lists of up to so many members are sifted by the sizes of sets that may link.
 SIFTED = 16
 #: Members of a long list in one block.
@@ -252,16 +253,19 @@ def _blocks(broad, boundary: int, percent: int, buckets: int):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                for t in part.column("z"):
+                done = 0
+                for i, t in enumerate(part.column("z")):
                     s = shingles(z.decompress(t.as_py()))
                     sizes.append(len(s))
                     k, before = placed_keys(s, boundary, late, order, percent)
                     held.append(k)
                     held_caps.append(largest_partner(len(s), before, percent))
                     size += len(held[-1])
-                whose.append(part.column("id"))
-                if size >= CHUNK_POSTINGS:
-                    yield from flush()
+                    if size >= CHUNK_POSTINGS:
+                        whose.append(part.column("id")[done : i + 1])
+                        done = i + 1
+                        yield from flush()
+                whose.append(part.column("id")[done:])
         if held:
             yield from flush()
 
