@@ -110,7 +110,8 @@ def archive_decisions(spark, sf_dir):
 
 def _vector_pictures(spark, sf_dir) -> DataFrame:
     """(item_id, chunks, thumb): each embedding as a picture, the products of its components beside each other, with its perceptual hash."""
-    e = read(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding")
+    # a small table that much is made of: its few files would be as many tasks
+    e = read(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding").repartition("vec_id", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from siftmill.functions import pixels
