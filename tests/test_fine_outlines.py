@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from siftmill.functions import pixels
 from siftmill.operators import fine
 
 
@@ -36,3 +37,10 @@ def test_unlike_pictures_are_not_scored(monkeypatch):
     assert list(zip(i, j, s, strict=True)) == list(zip(p, q, want[p, q], strict=True)) and set(zip(range(10), range(290, 300), strict=True)) <= set(zip(i, j, strict=True))
     assert sum(scored) <= len(i) + 20
     assert len(fine.alike(x[:0], x, 0.8, among[:0])[0]) == 0
+
+
+def test_weights_of_pictures_of_one_size_are_made_once():
+    x = np.random.default_rng(7).integers(0, 256, (40, 60)).astype(float)
+    want = np.array([[x[i * 5 : i * 5 + 5, j * 5 : j * 5 + 5].mean() for j in range(12)] for i in range(8)])
+    assert np.allclose(pixels._resize(x, 8, 12), want) and np.allclose(pixels._resize(x, 40, 60), x)
+    assert pixels._area_weights(40, 8) is pixels._area_weights(40, 8) and pixels._dct(32) is pixels._dct(32)
